@@ -76,7 +76,7 @@ def _pack(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 ENTRY = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("h1", T.BinaryType()), T.StructField("h2", T.BinaryType())])
 #: h1: hashes of repeated windows; runs: a text's hash, then first window and number of windows of each run that is repeated.
-BACK = T.StructType([T.StructField("id", T.LongType()), T.StructField("h1", T.BinaryType()), T.StructField("runs", T.BinaryType())])
+BACK = T.StructType([T.StructField("id", T.LongType()), T.StructField("h1", T.BinaryType()), T.StructField("runs", T.ArrayType(T.BinaryType()))])
 
 
 def _repeats(ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,29 +163,42 @@ def entries(docs: DataFrame, spec: Window, buckets: int, id_col: str, text: str)
     return src.mapInArrow(run, ENTRY)
 
 
-def repeated(sent: DataFrame, spec: Window) -> DataFrame:
-    """(2): repeated windows by id."""
+def repeated(sent: DataFrame, spec: Window, buckets: int) -> DataFrame:
+    """(2): a row per id that has repeated windows: id, h1, and an array of runs.
+
+    A bucket sends one row to each group of ids, not one to each id; the
+    groups then take their rows apart.
+    """
     kind2 = np.dtype(np.uint64 if spec.wide else np.uint16)
+    groups = max(64, buckets // 16)
+    names = ["g", "ids", "counts", "h1", "runs"]
+
+    def packs(ids: np.ndarray, h1: np.ndarray) -> pa.RecordBatch:
+        group = ids % groups
+        order = np.lexsort((ids, group))
+        ids, h1, group = ids[order], h1[order], group[order]
+        each = _cuts(ids, group)
+        who, count = ids[each[:-1]], np.diff(each)
+        rows = _cuts(group[each[:-1]])  # bounds of the groups' rows among ids
+        none = pa.array([b""] * (len(rows) - 1), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(who[rows[:-1]] % groups), _pack(who, rows).cast(pa.binary()), _pack(count, rows).cast(pa.binary()), _pack(h1, each[rows]).cast(pa.binary()), none], names=names)
 
     def bucket(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch | None:
         h1 = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
         h2 = np.concatenate([np.frombuffer(r[3], kind2) for r in rows])
         ids = np.concatenate([r[0] + np.cumsum(np.frombuffer(r[1], f"u{len(r[1]) * 8 // len(r[2])}").astype(np.int64)) for r in rows])
         _, late = _repeats(ids, h1, h2)
-        if not late.any():
-            return None
-        i, h1 = ids[late], h1[late]
-        order = np.argsort(i, kind="stable")
-        i, h1 = i[order], h1[order]
-        cuts = _cuts(i)
-        return pa.RecordBatch.from_arrays([pa.array(i[cuts[:-1]]), _pack(h1, cuts).cast(pa.binary()), pa.array([b""] * (len(cuts) - 1), pa.binary())], names=BACK.names)
+        return packs(ids[late], h1[late]) if late.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
             known = batch.filter(pc.less(batch.column(0), 0))
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(3), known.column(4)], names=BACK.names)
+            if n := known.num_rows:
+                ids = known.column(1).to_numpy()
+                at = np.arange(n + 1)
+                none = pa.array([b""] * n, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids % groups), _pack(ids, at).cast(pa.binary()), _pack(np.zeros(n, np.int64), at).cast(pa.binary()), none, known.column(4)], names=names)
             cols = [c.to_pylist() for c in batch.filter(pc.greater_equal(batch.column(0), 0)).columns]
             for b, *row in zip(*cols, strict=True):
                 if b != now:
@@ -196,7 +209,34 @@ def repeated(sent: DataFrame, spec: Window) -> DataFrame:
         if rows and (out := bucket(rows)) is not None:
             yield out
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, BACK)
+    def merged(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
+        ids, counts = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (0, 1))
+        h1 = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+        owner = np.repeat(ids, counts)
+        order = np.argsort(owner, kind="stable")
+        owner, h1 = owner[order], h1[order]
+        runs: dict[int, list[bytes]] = {}
+        for r in rows:
+            if r[3]:
+                runs.setdefault(int(np.frombuffer(r[0], np.int64)[0]), []).append(r[3])
+        who = np.unique(ids)
+        cuts = np.searchsorted(owner, np.append(who, np.iinfo(np.int64).max))
+        return pa.RecordBatch.from_arrays([pa.array(who), _pack(h1, cuts).cast(pa.binary()), pa.array([runs.get(i, []) for i in who.tolist()], pa.list_(pa.binary()))], names=BACK.names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != now:
+                    if rows:
+                        yield merged(rows)
+                    now, rows = g, []
+                rows.append(tuple(row))
+        if rows:
+            yield merged(rows)
+
+    sent = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "g long, ids binary, counts binary, h1 binary, runs binary")
+    return sent.repartition("g").sortWithinPartitions("g").mapInArrow(merge, BACK)
 
 
 def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -209,10 +249,10 @@ def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", tex
     with_text = keep is None
     size, wide = spec.window, spec.wide
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    back = repeated(entries(docs, spec, max(1, total // (6 * BUCKET)), id_col, text), spec)
-    back = back.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("h1", "runs")).alias("__back"))
+    buckets = max(1, total // (6 * BUCKET))
+    back = repeated(entries(docs, spec, buckets, id_col, text), spec, buckets).select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("runs").alias("__runs"))
     joined = docs.join(back, F.col(f"`{id_col}`") == F.col("__id"), "left")
-    src = joined.select(F.col(f"`{text}`").alias("__text"), F.col("__back.h1").alias("__h1"), F.col("__back.runs").alias("__runs"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
+    src = joined.select(F.col(f"`{text}`").alias("__text"), "__h1", "__runs", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
     fields = [src.schema["__row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
     schema = T.StructType(fields if with_text else fields[:-1])
 
@@ -222,17 +262,17 @@ def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", tex
                 t = Texts(part.column(0))
                 gone = np.zeros(len(t.start), bool)
                 hashes, runs = part.column(1).to_pylist(), part.column(2).to_pylist()
-                flagged = [i for i, x in enumerate(hashes) if x]
+                flagged = [i for i, x in enumerate(hashes) if x is not None]
                 if flagged:
                     at, h1, _ = window_hashes(t, size, wide)
                     lo, hi = np.searchsorted(at, t.word_at[:-1]), np.searchsorted(at, t.word_at[1:])
                     hit = np.zeros(len(at), bool)
                     for i in flagged:
-                        want = np.frombuffer(b"".join(hashes[i]), np.uint64)
+                        want = np.frombuffer(hashes[i], np.uint64)
                         mine = hit[lo[i] : hi[i]]
                         if len(want):
                             mine |= np.isin(h1[lo[i] : hi[i]], want)
-                        for x in (np.frombuffer(r, "<i8") for r in runs[i] if r):
+                        for x in (np.frombuffer(r, "<i8") for r in runs[i]):
                             if x[0] == t.text_hash[i : i + 1].view(np.int64)[0]:
                                 for first, length in x[1:].reshape(-1, 2):
                                     mine[first : first + length] = True
