@@ -18,7 +18,8 @@ are decoded on their own.  The result is that of one Viterbi run.
 Edge cases: a null or empty text is one empty line; a null order value comes
 first; rows of the same conversation and place follow each other by text;
 null conversation ids are one conversation; an empty table gives an empty
-result; a known role that is none of the three is not counted.
+result; a known role that is none of the three is not counted; input columns
+named like the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import passed_on
+
 ROLES = ("system", "user", "assistant")
 #: What speakers are called.
 NAMES = {"system": "system|instructions|context", "user": "user|human|question|q|customer|prompter|me", "assistant": "assistant|ai|bot|answer|a|agent|gpt|model"}
 MARKER = re.compile(r"\s*(?:#{1,4}\s*|\[|<\|?|\*\*)?(?:" + "|".join(f"(?P<{r}>{n})" for r, n in NAMES.items()) + r")\s*(?:\]|\|?>|\*\*)?\s*(?::\*\*|:|>|(?=\r?$)|(?<=\])|(?<=>))\s*", re.IGNORECASE)
-SYMBOLS = 4 * 2 * 3 * 2
+SYMBOLS = 4 * 2 * 3 * 2 * 2
 STATES = [(r, opens) for r in ROLES for opens in (True, False)]
 START = len(STATES)
 
@@ -47,15 +50,15 @@ class Chat:
     chunk: int = 256
 
 
-def line_symbol(line: str) -> tuple[int, str]:
-    """Symbol of a line, and the line without its marker."""
+def line_symbol(line: str, first: bool) -> tuple[int, str]:
+    """Symbol of a line, first in its row or not, and the line without its marker."""
     m = MARKER.match(line)
     role = next((k + 1 for k, r in enumerate(ROLES) if m[r]), 0) if m else 0
     rest = line[m.end() :] if m else line
     asks = rest.rstrip().endswith("?")
     size = 0 if len(rest) < 40 else 1 if len(rest) < 200 else 2
     form = bool(re.match(r"\s*(?:[-*•]|\d+[.)]|```|    )", rest))
-    return ((role * 2 + asks) * 3 + size) * 2 + form, rest
+    return (((role * 2 + asks) * 3 + size) * 2 + form) * 2 + first, rest
 
 
 def _ordered(rows: DataFrame, conv: str, order: str, text: str, chat: Chat, rest: list[str]) -> DataFrame:
@@ -81,7 +84,7 @@ def fit(rows: DataFrame, role: str, conv: str = "conv_id", order: str = "turn",
                 before = last[1] if last and last[0] == (c, k) else None
                 for n, line in enumerate((t or "").split("\n")):
                     s = STATES.index((name, n == 0))
-                    count[1, s, line_symbol(line)[0]] += 1
+                    count[1, s, line_symbol(line, n == 0)[0]] += 1
                     if before is not None:
                         count[0, before, s] += 1
                     before = s
@@ -131,8 +134,8 @@ def _borders(src: DataFrame, tables: tuple) -> DataFrame:
                     if now is not None:
                         yield row()
                     now, m = (c, k), None
-                for line in (t or "").split("\n"):
-                    step = move + emit[:, line_symbol(line)[0]][None, :]
+                for n, line in enumerate((t or "").split("\n")):
+                    step = move + emit[:, line_symbol(line, n == 0)[0]][None, :]
                     # the first line of a chunk is entered from each state of the line before
                     m = step if m is None else _best(m, step[:START])
         if now is not None:
@@ -193,7 +196,7 @@ def formatted(rows: DataFrame, tables: tuple, conv: str = "conv_id", order: str
     are its canonical form; the end mark of the last turn goes with the next
     conversation's start, that is, is left to the reader.
     """
-    rest = rows.columns if keep is None else keep
+    rest = passed_on(rows.columns if keep is None else keep, ("role", "turns", "rendered"))
     src = _ordered(rows, conv, order, text, chat, rest)
     borders = _borders(src, tables)
     met = src.withColumnRenamed("__conv", "__c").withColumnRenamed("__chunk", "__k").join(borders, F.col("__c").eqNullSafe(F.col("__conv")) & (F.col("__k") == F.col("__chunk")))
@@ -205,7 +208,7 @@ def formatted(rows: DataFrame, tables: tuple, conv: str = "conv_id", order: str
         kind = None
 
         def flush() -> pa.RecordBatch:
-            lines = [[line_symbol(x) for x in (h[2] or "").split("\n")] for h in held]
+            lines = [[line_symbol(x, n == 0) for n, x in enumerate((h[2] or "").split("\n"))] for h in held]
             path = decode_path([s for row in lines for s, _ in row], tables, held[0][4], held[0][5])
             at, out = 0, []
             for row in lines:

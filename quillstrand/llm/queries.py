@@ -62,8 +62,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
-    tables = chat.fit(rows, "role")
     raw = rows.select("conv_id", "turn", F.col("role").alias("true_role"), chat.transcript().alias("text"))
+    tables = chat.fit(raw, "true_role")
     out = chat.formatted(raw, tables, keep=["conv_id", "turn", "true_role"])
     return out.select("conv_id", "turn", "role", (F.col("role") == F.col("true_role")).alias("agrees"), "turns", F.sha2("rendered", 256).alias("rendered_sha256"))
 
