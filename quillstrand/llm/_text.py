@@ -75,6 +75,12 @@ WORD_HASH = Hasher(11)
 LINE_HASH = Hasher(12)
 
 
+def passed_on(columns: list[str], own: tuple[str, ...]) -> list[str]:
+    """Input columns that go into the output: those that have no name of an operator's own column."""
+    taken = {c.lower() for c in own}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,7 +17,8 @@ Edge cases: a null text has no words and fails the base rules; an empty table
 gives an empty result; null strata form a stratum of their own; a label that
 is null, or whose document is missing, is not used; labels repeated for a
 document count once if they agree and not at all if they do not.  Columns
-other than id, text and stratum are passed on.
+other than id, text and stratum are passed on, but for any that have the
+names of the results, which replace them.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from ._text import LINE_HASH, Texts, mix, pieces, repeats_of
+from ._text import LINE_HASH, Texts, mix, passed_on, pieces, repeats_of
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -86,7 +87,7 @@ def measure(t: Texts) -> dict[str, np.ndarray]:
 
 def with_measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns `keep` of it) with the numbers in a struct column ``q``."""
-    rest = [c for c in (docs.columns if keep is None else keep)]
+    rest = passed_on(docs.columns if keep is None else keep, ("q", "base_failed", "kept"))
     names = [*BASE, *RULES]
     src = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row") if rest else F.lit(True).alias("__row"))
     schema = T.StructType([src.schema["__row"], T.StructField("q", T.StructType([T.StructField(c, T.LongType()) for c in names]))])

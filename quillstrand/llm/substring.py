@@ -20,7 +20,8 @@ text).  ``Window.wide`` takes 128 bits instead.
 Edge cases: a null or blank text has no words; of rows with the same id each
 is judged alike (a window repeated inside one id is not removed); an empty
 table gives an empty result; rows whose id is null take no part in (1) and
-(2) and keep their words.
+(2) and keep their words; input columns named like the results are replaced
+by them.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Hasher, Texts, pieces
+from ._text import Hasher, Texts, passed_on, pieces
 
 _FIRST, _SECOND = Hasher(31), Hasher(32)
 #: Windows of a bucket, about; buckets follow from the size of the input.
@@ -245,7 +246,7 @@ def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", tex
     In ``kept_text`` the remaining words keep the white space between them;
     an interval goes with the white space after it.
     """
-    rest = [c for c in (docs.columns if keep is None else keep)]
+    rest = passed_on(docs.columns if keep is None else keep, ("n_words", "n_removed", "kept_sha256", "kept_text"))
     with_text = keep is None
     size, wide = spec.window, spec.wide
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
@@ -316,5 +317,6 @@ def _without(raw: bytes, start: np.ndarray, gone: np.ndarray) -> bytes:
 
 def remove_repeats(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated windows cut out of the text."""
-    out = judged(docs, spec, id_col, text)
-    return out.select(*[F.col("kept_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    given = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    out = judged(docs.toDF(*given.values()), spec, given[id_col], given[text])
+    return out.select(*[F.col("kept_text" if c == text else name).alias(c) for c, name in given.items()])

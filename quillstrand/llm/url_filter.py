@@ -14,7 +14,8 @@ without any, the URL is allowed.
 
 Edge cases: a URL that is null or has no ``://`` has an empty host and path,
 and fits no host rule; a rule without tokens is tried on every URL; rules of
-equal rank are taken in their order.
+equal rank are taken in their order; input columns named like the results are
+replaced by them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import passed_on
+
 TOKEN = re.compile(r"[0-9a-z]+|[^\x00-\x7f]+")
 
 
@@ -111,7 +114,7 @@ def filter_urls(pages: DataFrame, host_rules: Iterable[tuple[str, str]], generic
     """
     rules = [*(Rule.host(r, v) for r, v in host_rules), *generic]
     filed = index(rules, frequencies(pages, rules, url))
-    rest = pages.columns if keep is None else keep
+    rest = passed_on(pages.columns if keep is None else keep, ("host", "path", "rule", "verdict"))
     src = pages.select(F.col(f"`{url}`").cast("string").alias("__url"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
     names = ["host", "path", "rule", "verdict"]
     schema = T.StructType([src.schema["__row"], *[T.StructField(c, T.StringType()) for c in names]])
