@@ -16,7 +16,8 @@
 A document is kept if its bad-score is under one half.  Edge cases: a null
 text has no words and is scored by its measures alone; with an empty table,
 or where one class is missing from the sample, the scorer falls back to its
-prior; human labels that are null, or repeat with different values, abstain.
+prior; human labels that are null, or repeat with different values, abstain;
+input columns named like the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from ._text import Hasher, Texts, mix, pieces
+from ._text import Hasher, Texts, mix, passed_on, pieces
 from .quality_rules import LOWER, STEPS, SYMBOLS, UPPER, measure
 
 #: Words that insult.
@@ -152,23 +153,45 @@ def agreed(labels: DataFrame, id_col: str, column: str) -> DataFrame:
     return rows.agg(F.min(column).alias("label"), F.max(column).alias("hi")).where("label = hi").drop("hi")
 
 
+def sketch_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, sketch) of every document."""
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "__text"):
+                t = Texts(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sketches(t, tokens(t)))], names=["id", "sketch"])
+
+    return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("sketch", T.LongType())]))
+
+
 def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str, text: str, fit: Fit) -> np.ndarray:
-    """Hashes of words that mark toxic texts: met in several of them, and hardly in others."""
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("__text")).join(agreed(labels, id_col, "toxic"), F.col("id") == F.col("__id"))
-    schema = T.StructType([T.StructField("sketch", T.LongType()), T.StructField("label", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
+    """Hashes of words that mark toxic texts: met in several of them, and hardly in others.
+
+    The labelled texts to learn from are chosen by id before any text moves:
+    one of each sketch, the smallest sketches first, which is a fair sample and the
+    same on every run.
+    """
+    rows = sketch_table(docs, id_col, text).join(agreed(labels, id_col, "toxic"), F.col("id") == F.col("__id"))
+    sample = rows.groupBy("sketch").agg(F.min(F.struct("id", "label")).alias("r")).orderBy("sketch").limit(fit.label_rows).select("r.*").collect()
+    if not sample:
+        return np.zeros(0, np.uint64)
+    # at most label_rows ids are broadcast
+    chosen = docs.sparkSession.createDataFrame([(r["id"], int(r["label"])) for r in sample], T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("label", T.LongType())]))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("label", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(1))
-                words = tokens(t)
-                own = [np.unique(words[a:b]).view(np.int64) for a, b in zip(t.word_at[:-1], t.word_at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sketches(t, words)), part.column(3).cast(pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=schema.names)
+                # a row for each different word of each text
+                key = np.unique(np.stack([t.doc.astype(np.uint64), tokens(t)]), axis=1)
+                label = part.column(0).to_numpy()[key[0].astype(np.int64)]
+                word, at = np.unique(key[1], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, label, len(word)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(word)))], names=["w", "bad", "n"])
 
-    sample = src.mapInArrow(run, schema).groupBy("sketch").agg(F.min_by("label", F.size("words")).alias("label"), F.min_by("words", F.size("words")).alias("words"))
-    # the smallest sketches: a hash, so a fair sample, and the same on every run
-    sample = sample.orderBy("sketch").limit(fit.label_rows)
-    words = sample.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    words = src.mapInArrow(run, "w long, bad long, n long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     found = words.where((F.col("bad") >= 6) & (F.col("bad") >= 0.9 * F.col("n"))).orderBy(F.desc("bad"), "w").limit(5000).collect()
     return np.array(sorted(r["w"] for r in found), np.int64).view(np.uint64)
 
@@ -301,7 +324,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray], text: st
     w, bias, learned = model
     used = np.flatnonzero(w)
     used, weight, bits, threshold = used.astype(np.int32), w[used], fit.bits, fit.threshold
-    rest = docs.columns if keep is None else keep
+    rest = passed_on(docs.columns if keep is None else keep, ("bad_score", "kept"))
     src = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
     schema = T.StructType([src.schema["__row"], T.StructField("bad_score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
