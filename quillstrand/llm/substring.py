@@ -33,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +83,7 @@ BACK = T.StructType([T.StructField("id", T.LongType()), T.StructField("h1", T.Bi
 
 def _repeats(ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each window equals one of a smaller or the same id here (one stays out of each class), and whether of a smaller one."""
-    order = np.argsort(h1, kind="stable")
+    order = np.argsort(h1)
     same = h1[order][1:] == h1[order][:-1]
     met = np.zeros(len(h1), bool)
     met[1:] |= same
@@ -240,25 +241,48 @@ def repeated(sent: DataFrame, spec: Window, buckets: int) -> DataFrame:
     return sent.repartition("g").sortWithinPartitions("g").mapInArrow(merge, BACK)
 
 
+def _squeezed(src: DataFrame) -> DataFrame:
+    """(__key, __text, __row) with the text compressed, as it is about to be shuffled."""
+    schema = T.StructType([src.schema["__key"], T.StructField("__zip", T.BinaryType()), src.schema["__row"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in pieces(batch, "__text"):
+                data = part.column(1).cast(pa.large_binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if x is None else zip_(x) for x in data], pa.binary()), part.column(2)], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
 def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns `keep`) with ``n_words``, ``n_removed``, ``kept_sha256`` and, unless `keep` says otherwise, the text without removed words as ``kept_text``.
+    """``n_words``, ``n_removed`` and ``kept_sha256`` next to the columns `keep`, or else next to all columns but the text, which comes without removed words as ``kept_text``.
 
     In ``kept_text`` the remaining words keep the white space between them;
     an interval goes with the white space after it.
     """
-    rest = passed_on(docs.columns if keep is None else keep, ("n_words", "n_removed", "kept_sha256", "kept_text"))
+    rest = passed_on([c for c in docs.columns if c != text] if keep is None else keep, ("n_words", "n_removed", "kept_sha256", "kept_text"))
     with_text = keep is None
     size, wide = spec.window, spec.wide
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(1, total // (6 * BUCKET))
     back = repeated(entries(docs, spec, buckets, id_col, text), spec, buckets).select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("runs").alias("__runs"))
-    joined = docs.join(back, F.col(f"`{id_col}`") == F.col("__id"), "left")
-    src = joined.select(F.col(f"`{text}`").alias("__text"), "__h1", "__runs", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
+    src = _squeezed(docs.select(F.col(f"`{id_col}`").cast("long").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("__row")))
+    src = src.join(back, F.col("__key") == F.col("__id"), "left").select("__zip", "__h1", "__runs", "__row")
     fields = [src.schema["__row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
     schema = T.StructType(fields if with_text else fields[:-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches with texts, a few at a time."""
+        unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [None if x is None else unzip(x) for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.large_binary()).cast(pa.large_string()), *part.columns[1:]], names=["__text", "__h1", "__runs", "__row"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in plain(batches):
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(0))
                 gone = np.zeros(len(t.start), bool)
