@@ -177,8 +177,8 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def repeats_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per key: whether it occurs twice or more; whether it equals one before it."""
-    order = np.argsort(keys, kind="stable")
+    """Per key: whether it occurs twice or more; whether it is counted as a repeat, which one of each class is not."""
+    order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
     many, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     many[order[1:][same]] = many[order[:-1][same]] = True

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ _TOKEN_HASH = Hasher(21)
 class Fit:
     """rows: most texts that the scorer is trained on; label_rows: most labelled texts that insults are learned from; bits: log2 of its hash space."""
 
-    rows: int = 10_000
+    rows: int = 6_000
     label_rows: int = 20_000
     bits: int = 18
     least_z: float = 4.0
@@ -78,17 +79,35 @@ def tokens(t: Texts) -> np.ndarray:
     return _TOKEN_HASH.spans(_TOKEN_HASH.prefix(_TOKEN_HASH.table[data]), start, end)
 
 
-def _insult_hashes() -> np.ndarray:
-    return np.sort(tokens(Texts(pa.array([" ".join(INSULTS)]))))
+class Members:
+    """Membership in a small set of hashes: a table over their highest bits leaves few words to look up."""
 
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.unique(keys)
+        self.high = np.zeros(1 << 16, bool)
+        self.high[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
-def insult_hits(t: Texts, words: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        out = self.high[(words >> np.uint64(48)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.keys, words[at]), len(self.keys) - 1)
+            out[at] = self.keys[place] == words[at]
+        return out
+
+
+@lru_cache(1)
+def _listed() -> Members:
+    return Members(tokens(Texts(pa.array([" ".join(INSULTS)]))))
+
+
+def insult_hits(t: Texts, words: np.ndarray, learned: Members) -> tuple[np.ndarray, np.ndarray]:
     """Words of each text that are listed, and that are listed or learned."""
-    listed = np.isin(words, _insult_hashes())
-    return t.per_word_sum(listed), t.per_word_sum(listed | np.isin(words, learned))
+    listed = _listed()(words)
+    return t.per_word_sum(listed), t.per_word_sum(listed | learned(words))
 
 
-def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: np.ndarray) -> dict[str, np.ndarray]:
+def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: Members) -> dict[str, np.ndarray]:
     """1 bad, -1 good, 0 abstain."""
 
     def by(share: np.ndarray, good: int, bad: int) -> np.ndarray:
@@ -121,8 +140,8 @@ def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: np.nda
     }
 
 
-def features(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text index and bucket of each different feature of each text, in order."""
+def features(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: Members, bits: int, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text index and bucket of each different feature of each text, in order; `used` tells which buckets are wanted."""
     shift = np.uint64(64 - bits)
     doc, bucket = [t.doc], [(words >> shift).astype(np.int64)]
     shares = ("symbol_share", "dup_line_share", "repeat_share", "shout_share")
@@ -131,7 +150,11 @@ def features(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: np.
     for k, level in enumerate(levels):
         doc.append(np.arange(t.n))
         bucket.append(((np.uint64(0x9E3779B97F4A7C15) * (level + 16 * k + 1).astype(np.uint64)) >> shift).astype(np.int64))
-    key = np.unique((np.concatenate(doc) << bits) | np.concatenate(bucket))
+    docs, buckets = np.concatenate(doc), np.concatenate(bucket)
+    if used is not None:
+        wanted = used[buckets]
+        docs, buckets = docs[wanted], buckets[wanted]
+    key = np.unique((docs << bits) | buckets)
     return key >> bits, key & ((1 << bits) - 1)
 
 
@@ -203,11 +226,12 @@ def vote_table(docs: DataFrame, labels: DataFrame | None, learned: np.ndarray, i
     schema = T.StructType([src.schema["id"], T.StructField("sketch", T.LongType()), *[T.StructField(c, T.ByteType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Members(learned)
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(1))
                 words = tokens(t)
-                v = votes(t, measure(t), words, learned)
+                v = votes(t, measure(t), words, known)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sketches(t, words)), *[pa.array(v[c].astype(np.int8)) for c in names]], names=["id", "sketch", *names])
 
     out = src.mapInArrow(run, schema)
@@ -306,10 +330,11 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None, id_col: str, text: str
     bits = fit.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Members(learned)
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(1))
-                doc, bucket = features(t, measure(t), tokens(t), learned, bits)
+                doc, bucket = features(t, measure(t), tokens(t), known, bits)
                 at = np.searchsorted(doc, np.arange(t.n + 1))
                 raw = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["id", "buckets"])
@@ -329,12 +354,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray], text: st
     schema = T.StructType([src.schema["__row"], T.StructField("bad_score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.zeros(1 << bits)
+        full, known = np.zeros(1 << bits), Members(learned)
         full[used] = weight
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(0))
-                doc, bucket = features(t, measure(t), tokens(t), learned, bits)
+                doc, bucket = features(t, measure(t), tokens(t), known, bits, full != 0)
                 s = 1 / (1 + np.exp(-np.clip(bias + np.bincount(doc, full[bucket], minlength=t.n), -500, 500)))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(s), pa.array(s < threshold)], names=["__row", "bad_score", "kept"])
 
