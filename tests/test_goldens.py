@@ -214,3 +214,11 @@ def test_statistics(spark):
     flat = spark.createDataFrame([(i, 1.0) for i in range(3)], "i long, a double")
     with pytest.raises(ValueError, match="differ"):
         delta.relative_bound(flat, "a", 0.1)
+
+
+def test_index_range_takes_the_tile_filter_along(spark, tmp_path):
+    spark.range(5000).select(F.col("id").alias("x"), F.floor(F.col("id") / 256).alias("tile_id")).write.parquet(str(tmp_path / "t"))
+    out = delta.in_index_range(spark.read.parquet(str(tmp_path / "t")), 300, 700)
+    assert [r["x"] for r in out.orderBy("x").collect()] == list(range(300, 700))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(tile_id,1)" in plan and "LessThanOrEqual(tile_id,2)" in plan
