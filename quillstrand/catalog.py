@@ -538,6 +538,27 @@ def huffman_estimate(spark, sf):
     return stats.huffman_estimate(hist, huffman.book_frame(spark, huffman.build(hist)), 8)
 
 
+@query(f"with {_CHARS}, {_BOOK} select pos, cast(symbol as integer) as symbol from ch where symbol not in (select symbol from book where length < 4)")
+def huffman_outlier_filter(spark, sf):
+    """Symbols beyond a book of the commonest four, by place."""
+    rows = bits.with_offsets(reads(spark, sf), "quality").select("offset", F.posexplode(F.split("quality", "")).alias("i", "c")).where("c <> ''")
+    rows = rows.select((F.col("offset") + F.col("i")).alias("pos"), F.ascii("c").alias("symbol"))
+    book = huffman.canonical({ord(c): 2 for c, n in QUALITY_LENGTHS.items() if n < 4})
+    return huffman.without_uncoded(rows, "pos", "symbol", book, ord("I"))[1]
+
+
+@query(f"with {_CHARS}, c as (select symbol, count(*) as n from ch group by 1) select cast(symbol as integer) as symbol, n, cast(row_number() over (order by n, symbol) as integer) as place from c")
+def sort_by_frequency(spark, sf):
+    hist = huffman.byte_histogram(reads(spark, sf), "quality").where("n > 0")
+    return hist.withColumn("place", F.row_number().over(Window.orderBy("n", "symbol")))  # 256 rows at most
+
+
+@query(f"with {_BASES}, t as (select count(*) as n, (2 * count(*) + 7) // 8 + 4 * count(*) filter (where base not in ('A', 'C', 'G', 'T')) as c from b) select n as original, c as compressed, round(n / c, 9) as ratio, round(32 / (n / c), 9) as bitrate from t")
+def base_ratio(spark, sf):
+    cols = stats.ratios(F.col("n_bases"), F.col("total_bytes"))
+    return bits.sizes(reads(spark, sf)).select(F.col("n_bases").alias("original"), F.col("total_bytes").alias("compressed"), *[F.round(c, 9).alias(k) for k, c in cols.items()])
+
+
 # Window matching and bit planes
 
 

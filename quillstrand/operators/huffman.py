@@ -174,6 +174,14 @@ def decode_chunk(cells: bytes, nbit: int, book: Book) -> list[int]:
     return out
 
 
+def without_uncoded(df: DataFrame, idx: str, symbol: str, book: Book, replacement: int) -> tuple[DataFrame, DataFrame]:
+    """(codes, sparse): symbols that the book lacks replaced, and those symbols by index."""
+    if replacement not in book.codes:
+        raise ValueError("the replacement has no code either")
+    known = F.col(symbol).isin(*book.codes)
+    return df.withColumn(symbol, F.when(known, F.col(symbol)).otherwise(F.lit(replacement))), df.where(~known).select(idx, symbol)
+
+
 def encoded(texts: DataFrame, text: str, key: str, book: Book, rows_a_chunk: int = 1 << 12) -> DataFrame:
     """(chunk_id, nbit, ncell, cells, lengths): the bytes of texts in the key's order, by chunks of rows."""
     schema = "chunk_id long, nbit long, ncell long, cells binary, lengths binary"

@@ -48,3 +48,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def environment(spark: SparkSession) -> DataFrame:
+    """(key, value): versions and settings that a run depends on."""
+    import platform
+
+    names = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.executor.memory", "spark.executor.cores")
+    rows = [("spark", spark.version), ("python", platform.python_version()), ("machine", platform.machine()), *((n, spark.conf.get(n, "")) for n in names)]
+    return spark.createDataFrame(rows, "key string, value string")

@@ -106,3 +106,9 @@ def test_own_codebook(spark, tmp_path):
     assert set(took) >= {"predict", "encode"}
     q = array_plan.verify(df, array_plan.decompress(spark, str(tmp_path / "a")), (600, 1, 1)).first()
     assert q["n"] == 600 and q["max_abs_err"] <= 0.1 * 1.001
+
+
+def test_environment(spark):
+    from quillstrand.session import environment
+
+    assert {r["key"]: r["value"] for r in environment(spark).collect()}["spark"] == spark.version
