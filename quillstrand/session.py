@@ -26,6 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillstrand/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Have Arrow batches of the session hold about `most` bytes, however long its texts are.
+
+    By count alone a batch has 10,000 rows, and a task holds it in the JVM and in Python at once.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it again.
 
