@@ -20,32 +20,36 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, kept per process."""
+
+    def __init__(self, seed: int) -> None:
+        self.base = int(np.random.default_rng(seed).integers(0, 2**62)) * 4 + 3
+        self.up = self.down = np.ones(1, U64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = n * 9 // 8
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
+                out = np.ones(n, U64)
+                filled = 1
+                while filled < n:  # out[i] = base ** i, by doubling
+                    more = min(filled, n - filled)
+                    out[filled : filled + more] = out[:more] * U64(pow(base, filled, 2**64))
+                    filled += more
+                setattr(self, name, out)
+        return self.up, self.down
+
+
 @dataclass
 class Hasher:
-    """Polynomial prefix hashing with an odd base; powers are kept per process."""
+    """Polynomial prefix hashing over random values; hashers of one base share its powers."""
 
     seed: int
+    powers: Powers
 
     def __post_init__(self) -> None:
-        rng = np.random.default_rng(self.seed)
-        self.table = rng.integers(0, 2**64, 256, dtype=U64) | U64(1)
-        self.base = int(rng.integers(0, 2**62)) * 4 + 3  # odd, hence invertible
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up = self.down = np.ones(1, U64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                for name, base in (("up", self.base), ("down", self.inverse)):
-                    out = np.ones(n, U64)
-                    filled = 1
-                    while filled < n:  # out[i] = base ** i, by doubling
-                        step = U64(pow(base, filled, 2**64))
-                        out[filled : 2 * filled] = out[: min(filled, n - filled)] * step
-                        filled *= 2
-                    setattr(self, name, out)
-        return self.up, self.down
+        self.table = np.random.default_rng(self.seed).integers(0, 2**64, 256, dtype=U64) | U64(1)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of values[i] * base**i, with a leading zero."""
@@ -71,8 +75,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-WORD_HASH = Hasher(11)
-LINE_HASH = Hasher(12)
+#: Powers for hashes over bytes.
+BYTES = Powers(1)
+WORD_HASH = Hasher(11, BYTES)
+LINE_HASH = Hasher(12, BYTES)
 
 
 def passed_on(columns: list[str], own: tuple[str, ...]) -> list[str]:
@@ -92,7 +98,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each; one long text stays whole."""
     if not batch.num_rows:
         return

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from ._text import pieces
 
 #: Fixed value: the pattern that splits text before byte-level merges.
@@ -109,6 +109,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenized(docs: DataFrame, spec: Packing, id_col: str, text: str) -> DataFrame:
     """A row per piece, with the partition that made it and its rank there among the pieces of its length."""
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("__text"))
     ints = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType(), "part": T.IntegerType(), "nth": T.LongType()}
     schema = T.StructType([src.schema["id"], *[T.StructField(k, v) for k, v in ints.items()]])

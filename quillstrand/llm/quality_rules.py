@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from ._text import LINE_HASH, Texts, mix, passed_on, pieces, repeats_of
 
 SYMBOLS = np.zeros(256, np.int64)
@@ -89,6 +89,7 @@ def with_measures(docs: DataFrame, text: str = "text", keep: list[str] | None =
     """docs (or the columns `keep` of it) with the numbers in a struct column ``q``."""
     rest = passed_on(docs.columns if keep is None else keep, ("q", "base_failed", "kept"))
     names = [*BASE, *RULES]
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row") if rest else F.lit(True).alias("__row"))
     schema = T.StructType([src.schema["__row"], T.StructField("q", T.StructType([T.StructField(c, T.LongType()) for c in names]))])
 

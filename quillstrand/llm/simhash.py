@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import bound_batches, materialize
 from ._text import pieces
 from .components import components
 
@@ -71,6 +71,7 @@ def fingerprint(text: bytes, spec: SimHash = SimHash()) -> int:
 
 def fingerprints(docs: DataFrame, spec: SimHash, id_col: str, text: str) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import Hasher, Texts, passed_on, pieces
+from ..session import bound_batches
+from ._text import Hasher, Powers, Texts, passed_on, pieces
 
-_FIRST, _SECOND = Hasher(31), Hasher(32)
+_FIRST, _SECOND = Hasher(31, Powers(2)), Hasher(32, Powers(3))
 #: Windows of a bucket, about; buckets follow from the size of the input.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -264,6 +265,7 @@ def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", tex
     rest = passed_on([c for c in docs.columns if c != text] if keep is None else keep, ("n_words", "n_removed", "kept_sha256", "kept_text"))
     with_text = keep is None
     size, wide = spec.window, spec.wide
+    bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(1, total // (6 * BUCKET))
     back = repeated(entries(docs, spec, buckets, id_col, text), spec, buckets).select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("runs").alias("__runs"))

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-from ._text import Hasher, Texts, mix, passed_on, pieces
+from ..session import bound_batches, materialize
+from ._text import BYTES, Hasher, Texts, mix, passed_on, pieces
 from .quality_rules import LOWER, STEPS, SYMBOLS, UPPER, measure
 
 #: Words that insult.
@@ -54,7 +54,7 @@ _LOWER_OF[65:91] += 32
 _EDGE = np.zeros(256, bool)
 _EDGE[:128] = True
 _EDGE[48:58] = _EDGE[65:91] = _EDGE[97:123] = False
-_TOKEN_HASH = Hasher(21)
+_TOKEN_HASH = Hasher(21, BYTES)
 
 
 @dataclass(frozen=True)
@@ -317,6 +317,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, fit: Fit) -> tuple[np.ndarray,
 
 def fit_scorer(docs: DataFrame, labels: DataFrame | None, id_col: str, text: str, fit: Fit) -> tuple[np.ndarray, float, np.ndarray]:
     """Steps 1 to 3; the sample's features, at most fit.rows short lists of buckets, come to the driver."""
+    bound_batches(docs.sparkSession)
     learned = np.zeros(0, np.uint64) if labels is None else learn_insults(docs, labels, id_col, text, fit)
     table = materialize(vote_table(docs, labels, learned, id_col, text), "votes")
     post, _ = posteriors(table)

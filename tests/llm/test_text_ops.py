@@ -258,7 +258,7 @@ def plain_removed(rows, size=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("bucket", "wide"), [(1 << 20, False), (500, True)])
+@pytest.mark.parametrize(("bucket", "wide"), [(1 << 19, False), (500, True)])
 def test_repeated_windows_match_plain_ones(spark, monkeypatch, bucket, wide):
     monkeypatch.setattr(substring, "BUCKET", bucket)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(edge(spark).select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
