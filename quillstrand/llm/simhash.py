@@ -36,6 +36,8 @@ from ..session import bound_batches, materialize
 from ._text import pieces
 from .components import components
 
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class SimHash:
@@ -162,11 +164,13 @@ def near_duplicates(docs: DataFrame, spec: SimHash = SimHash(), id_col: str = "d
     prints = materialize(fingerprints(docs, spec, id_col, text), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     groups = components(links(classes.select("fp"), spec))
-    # component of a fingerprint -> least document id of the component
-    where = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    where = materialize(where, "members")
-    least = where.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = where.join(least, "component").select("fp", "component_id")
+    # linked fingerprints get the least document id of their component; a component may be large,
+    # so its id is dealt out under several salts
+    members = materialize(groups.join(classes, F.col("node") == F.col("fp")).select("fp", "component", "least"), "members")
+    least = members.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    named = salted.join(least, ["component", "salt"]).select("fp", "component_id")
+    named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
