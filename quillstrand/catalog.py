@@ -567,13 +567,13 @@ def _text_blocks(spark, sf):
 
 
 @query()
-def gpulz_sizes(spark, sf):
+def lz_block_sizes(spark, sf):
     out = lz.compressed(_text_blocks(spark, sf), ["item_id"])
     return out.select("item_id", "block_id", F.octet_length("flags").alias("flag_bytes"), F.octet_length("tokens").alias("token_bytes"))
 
 
 @query("select item_id, md5(text) as digest, strlen(text) as n from benchmark")
-def gpulz_roundtrip(spark, sf):
+def lz_block_roundtrip(spark, sf):
     blocks = _text_blocks(spark, sf)
     back = lz.expanded(lz.compressed(blocks, ["item_id"]), ["item_id"]).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "data"))).alias("b"))
     back = back.select("item_id", F.aggregate("b", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["data"])).alias("back"))
@@ -582,18 +582,18 @@ def gpulz_roundtrip(spark, sf):
 
 
 @query(f"with {_Q1}, o as (select x // 2048 as chunk_id, (x % 2048) // 256 as g, x % 2 as p, bit_or(code) as o from c group by 1, 2, 3) select chunk_id, cast(sum(bit_count(o)) as bigint) as kept from o group by 1")
-def fzg_flags(spark, sf):
+def bitplane_flags(spark, sf):
     out = bitshuffle.encoded(delta.quantized(events(spark, sf), "value", 1, EB1), "x", "code")
     return out.select("chunk_id", F.floor(F.octet_length("words") / 16).alias("kept"))
 
 
 @query(f"with {_Q1}, o as (select x // 2048 as chunk_id, (x % 2048) // 256 as g, x % 2 as p, bit_or(code) as o from c group by 1, 2, 3), k as (select chunk_id, cast(sum(bit_count(o)) as bigint) as kept from o group by 1) select chunk_id, cast(4 * (sum(kept) over (order by chunk_id) - kept) as bigint) as start from k")
-def fzg_starts(spark, sf):
-    return running_sum(fzg_flags(spark, sf), "chunk_id", {"start": 4 * F.col("kept")}, exclusive=True).select("chunk_id", "start")
+def bitplane_starts(spark, sf):
+    return running_sum(bitplane_flags(spark, sf), "chunk_id", {"start": 4 * F.col("kept")}, exclusive=True).select("chunk_id", "start")
 
 
 @query(f"with {_Q1} select x as idx, cast(code as integer) as code from c")
-def fzg_roundtrip(spark, sf):
+def bitplane_roundtrip(spark, sf):
     return bitshuffle.decoded(bitshuffle.encoded(delta.quantized(events(spark, sf), "value", 1, EB1), "x", "code"))
 
 

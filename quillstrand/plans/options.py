@@ -26,7 +26,7 @@ class Hist(Enum):
 
 class Codec(Enum):
     HUFFMAN = "huffman"
-    BITSHUFFLE = "fzgcodec"
+    BITSHUFFLE = "bitshuffle"
 
 
 @dataclass(frozen=True)

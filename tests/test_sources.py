@@ -88,7 +88,7 @@ def test_stream_of_files(spark, tmp_path):
 
 
 def test_options():
-    o = options.parse("mode=abs,eb=1e-3,predictor=spline,codec=fzgcodec,shape=3600x1800,radius=256")
+    o = options.parse("mode=abs,eb=1e-3,predictor=spline,codec=bitshuffle,shape=3600x1800,radius=256")
     assert (o.mode, o.eb, o.predictor, o.codec, o.shape, o.bins) == (options.Mode.ABS, 1e-3, options.Predictor.SPLINE, options.Codec.BITSHUFFLE, (3600, 1800, 1), 512)
     assert options.shape("1,2,3", slowest_first=True) == (3, 2, 1) and options.switch("on") and not options.switch("off")
     for bad in ("eb=1x", "what=1", "mode", "shape=0x2"):
