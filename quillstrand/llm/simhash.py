@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, spec: SimHash = SimHash(), id_col: str = "d
     least = members.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     named = salted.join(least, ["component", "salt"]).select("fp", "component_id")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # read from files, the last join stands alone, and adaptive execution may split the rows of a common fingerprint
+    named = materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
