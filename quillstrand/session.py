@@ -63,5 +63,5 @@ def environment(spark: SparkSession) -> DataFrame:
     import platform
 
     names = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.executor.memory", "spark.executor.cores")
-    rows = [("spark", spark.version), ("python", platform.python_version()), ("machine", platform.machine()), *((n, spark.conf.get(n, "")) for n in names)]
+    rows = [("spark", spark.version), ("python", platform.python_version()), ("machine", platform.machine()), *((n, spark.conf.get(n, None)) for n in names)]
     return spark.createDataFrame(rows, "key string, value string")
