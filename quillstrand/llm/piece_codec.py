@@ -2,18 +2,21 @@
 
 The model's pieces are merged by an agenda: the adjacent pair whose piece has
 the best score (leftmost on ties) is merged first.  With dropout, a candidate
-that comes off the agenda is skipped if the keyed hash of (seed, variant,
-word, pair, place) falls under the dropout rate; it may come back when a
-neighbour changes.  The variant of a word is itself a keyed hash of the seed,
-the document and the word's place, so the same word is cut in up to
-``variants`` ways across a corpus, each decided without random state: any
-executor, and any retry, gives the same ids.  Rate 0 gives the model's own
-segmentation.
+that comes off the agenda is skipped if the keyed hash of (draw, pair, place)
+falls under the dropout rate; it may come back when a neighbour changes.  Every
+occurrence of a word has a draw of its own, a keyed hash of the seed, the
+document and the word's place in it, so there is no bound to the ways in which
+a word is cut, and no random state: any executor, and any retry, gives the same
+ids.  Rate 0 gives the model's own segmentation.
 
 Merges never cross from a word into the white space after it (no piece has a
 space mark after another character; this is checked on loading), so words are
-encoded one by one and each (word, variant) once per process, in a cache of
-bounded size.
+encoded one by one.  What is kept of a word is the tree of its agenda's
+decisions: a node is a candidate, its children are what follows if it is merged
+or skipped, a leaf has the ids.  All occurrences of a slice walk their trees
+together, each by its own draw; trees and branches grow when several take them
+at once, and are dropped when they have too many leaves.  Occurrences that find
+no tree, or no branch, run their agendas together, row by row.
 
 Decoding is lossless: characters without a piece become byte pieces, and so
 does the space mark itself where the text has it.
@@ -54,15 +57,20 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 @dataclass(frozen=True)
 class Dropout:
+    """variants: most draws of a word, if a bound is wanted; each occurrence has its own otherwise."""
+
     rate: float = 0.1
     seed: int = 0
-    variants: int = 2
+    variants: int | None = None
 
 
 class Codec:
     """Encoder and decoder for a BPE model with byte pieces."""
 
-    CACHE = 1 << 18
+    #: Leaves at which the trees are dropped.
+    LEAVES = 1 << 19
+    #: Occurrences that make a tree, or a branch, grow.
+    MANY = 3
 
     def __init__(self, model: str, dropout: Dropout) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -91,8 +99,7 @@ class Codec:
             raise ValueError("pieces of the model cross from a word into the next space")
         self.dropout = dropout
         self.limit = int(dropout.rate * 2**64)
-        self.young: dict[tuple[str, int], tuple[int, ...]] = {}
-        self.old: dict[tuple[str, int], tuple[int, ...]] = {}
+        self._drop_trees()
 
     def skips(self, key: int, rank: int, at: int) -> bool:
         """Whether the candidate of that piece rank, starting at that character, is dropped."""
@@ -100,7 +107,7 @@ class Codec:
 
     def merge(self, word: str, variant: int) -> list[str]:
         """Pieces of one chunk by agenda: least rank first, leftmost on ties."""
-        key = xxhash.xxh64_intdigest(f"{variant}\0{word}".encode(), self.dropout.seed) if self.limit else 0
+        key = int(self.draws(np.array([variant], np.uint64))[0])
         return self._merge_long(word, key) if len(word) > LONG else self._merge_short(word, key)
 
     def _merge_short(self, word: str, key: int) -> list[str]:
@@ -154,25 +161,104 @@ class Codec:
                 offer(left[i], i)
         return [p for p in part if p]
 
-    def word_ids(self, key: tuple[str, int]) -> tuple[int, ...]:
-        """Ids of a chunk that is not among the young ones of the cache.
-
-        The cache has two generations: when the young one is full it becomes
-        the old one, and what is met again moves to the young one, so that
-        frequent words stay.
-        """
-        got = self.old.get(key)
-        if got is None:
-            got = self._ids(self.merge(*key))
-            if len(key[0]) > LONG:
-                return got
-        self._keep(key, got)
-        return got
-
-    def _keep(self, key: tuple[str, int], ids: tuple[int, ...]) -> None:
-        if len(self.young) >= self.CACHE:
-            self.old, self.young = self.young, {}
-        self.young[key] = ids
+    def draws(self, variants: np.ndarray) -> np.ndarray:
+        """The key of the skip hash for each variant."""
+        x = variants + np.uint64((self.dropout.seed * _ODD + _ODD) & _ALL)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def _drop_trees(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.n_nodes = 0
+        self.code = np.zeros(1 << 12, np.uint64)  # the candidate, as the skip hash takes it
+        self.child = np.full(1 << 13, -1, np.int64)  # of node i: 2 i if merged, 2 i + 1 if skipped
+        self.leaf = np.full(1 << 12, -1, np.int64)
+        self.parent: list[tuple[int, int]] = []  # node and decision
+        self.root_word: dict[int, str] = {}
+        self.leaf_ids: list[tuple[int, ...]] = []
+
+    def _node(self, parent: int, skipped: int) -> int:
+        i = self.n_nodes
+        if i == len(self.code):
+            self.code = np.concatenate([self.code, np.zeros(i, np.uint64)])
+            self.child = np.concatenate([self.child, np.full(2 * i, -1, np.int64)])
+            self.leaf = np.concatenate([self.leaf, np.full(i, -1, np.int64)])
+        self.n_nodes += 1
+        self.parent.append((parent, skipped))
+        if parent >= 0:
+            self.child[2 * parent + skipped] = i
+        return i
+
+    def _grow(self, parent: int, skipped: int, word: str = "") -> int:
+        """The node that follows a decision (or the root of a word), with all that follows if nothing more is skipped."""
+        path = []
+        at_node, decision = parent, skipped
+        while at_node >= 0:
+            path.append(decision)
+            top = at_node
+            at_node, decision = self.parent[at_node]
+        if parent >= 0:
+            word = self.root_word[top]
+        path.reverse()
+        rank, none = self.rank.get, _NONE
+        part = list(word)
+        at = list(range(len(part)))
+        agenda = [rank(a + b, none) for a, b in zip(part, part[1:])]
+        first = node = -1
+        k = 0
+        while agenda and (best := min(agenda)) < none:
+            i = agenda.index(best)
+            skip = 0
+            if k < len(path):
+                skip = path[k]
+            else:
+                node = self._node(parent, skipped) if node < 0 else self._node(node, 0)
+                first = node if first < 0 else first
+                self.code[node] = (best << 20) ^ at[i]
+            k += 1
+            if skip:
+                agenda[i] = none
+                continue
+            both = part[i] + part[i + 1]
+            part[i : i + 2] = (both,)
+            del at[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(both + part[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(part[i - 1] + both, none)
+        node = self._node(parent, skipped) if node < 0 else self._node(node, 0)
+        first = node if first < 0 else first
+        self.leaf[node] = len(self.leaf_ids)
+        self.leaf_ids.append(self._ids(part))
+        if parent < 0:
+            self.roots[word] = first
+            self.root_word[first] = word
+        return first
+
+    def _walk(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The leaves that occurrences reach from their words' roots, by their keys; -1 if the way is not grown."""
+        out = np.full(len(node), -1, np.int64)
+        row = np.arange(len(node))
+        limit, none_skipped = np.uint64(min(self.limit, _ALL)), not self.limit
+        while len(row):
+            leaf = self.leaf[node]
+            end = leaf >= 0
+            out[row[end]] = leaf[end]
+            on = ~end
+            row, node, key = row[on], node[on], key[on]
+            skipped = np.zeros(len(row), bool) if none_skipped else (key ^ self.code[node]) * np.uint64(_ODD) < limit
+            branch = 2 * node + skipped
+            node = self.child[branch]
+            new = node < 0
+            if new.any():
+                wanted, n = np.unique(branch[new], return_counts=True)
+                for b in wanted[n >= self.MANY].tolist():
+                    self._grow(b >> 1, b & 1)
+                node = self.child[branch]
+                on = node >= 0
+                row, node, key = row[on], node[on], key[on]
+        return out
 
     def _ids(self, parts: list[str]) -> tuple[int, ...]:
         find, out = self.id.get, []
@@ -184,21 +270,27 @@ class Codec:
                 out.extend([self.bytes_id[b] for b in p.encode()])
         return tuple(out)
 
-    def merge_all(self, keys: list[tuple[str, int]]) -> None:
-        """Put the ids of short chunks into the cache, running the agendas of many at a time.
+    def merge_all(self, words: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
+        """Ids of chunks by their keys, running the agendas of many at a time.
 
         A row of an array is a chunk; its symbols keep the place of their first
         character, and each round takes the best candidate of every row.
-        Chunks with a character that is no piece are left out.
+        Long chunks, and those with a character that is no piece, go one by one.
         """
-        by: dict[int, list[tuple[str, int]]] = {}
-        for key in keys:
-            n = len(key[0])
-            if 1 < n <= LONG:
-                by.setdefault(8 if n <= 8 else 16 if n <= 16 else LONG, []).append(key)
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if 1 < len(w) <= LONG:
+                by.setdefault(8 if len(w) <= 8 else 16 if len(w) <= 16 else LONG, []).append(i)
         for width, some in by.items():
             for at in range(0, len(some), 1 << 15):
-                self._merge_rows(some[at : at + (1 << 15)], width)
+                part = some[at : at + (1 << 15)]
+                for i, ids in self._merge_rows([words[i] for i in part], keys[part], width):
+                    out[part[i]] = ids
+        for i, w in enumerate(words):
+            if out[i] is None:
+                out[i] = self._ids((self._merge_long if len(w) > LONG else self._merge_short)(w, int(keys[i])))
+        return out
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the piece that two symbols make, or _NONE."""
@@ -206,25 +298,24 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_rank[at], _NONE)
 
-    def _merge_rows(self, keys: list[tuple[str, int]], width: int) -> None:
-        text = np.frombuffer("".join([w for w, _ in keys]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        size = np.array([len(w) for w, _ in keys])
+    def _merge_rows(self, words: list[str], seeds: np.ndarray, width: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Place and ids of the chunks all of whose characters are pieces."""
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.array([len(w) for w in words])
         place = np.minimum(np.searchsorted(self.chars, text), len(self.chars) - 1)
         known = self.chars[place] == text
         inside = np.arange(width)[None, :] < size[:, None]
-        sym = np.full((len(keys), width), -1, np.int64)
+        sym = np.full((len(words), width), -1, np.int64)
         sym[inside] = np.where(known, self.char_id[place], -2)
         good = ~(sym == -2).any(1)
-        sym, size = sym[good], size[good]
-        keys = [k for k, g in zip(keys, good.tolist(), strict=True) if g]
-        rows, last = np.arange(len(keys)), width
-        after = np.tile(np.arange(1, width + 1), (len(keys), 1))
+        sym, size, seeds, places = sym[good], size[good], seeds[good], np.flatnonzero(good).tolist()
+        rows, last = np.arange(len(sym)), width
+        after = np.tile(np.arange(1, width + 1), (len(sym), 1))
         after[rows, size - 1] = last
-        before = np.tile(np.arange(-1, width - 1), (len(keys), 1))
-        agenda = np.full((len(keys), width), _NONE, np.int64)
+        before = np.tile(np.arange(-1, width - 1), (len(sym), 1))
+        agenda = np.full((len(sym), width), _NONE, np.int64)
         both = (sym[:, :-1] >= 0) & (sym[:, 1:] >= 0)
         agenda[:, :-1][both] = self._pair(sym[:, :-1][both], sym[:, 1:][both])
-        seeds = np.array([xxhash.xxh64_intdigest(f"{v}\0{w}".encode(), self.dropout.seed) for w, v in keys], np.uint64) if self.limit else None
         while len(rows):
             at = agenda[rows].argmin(1)  # the leftmost of the best
             best = agenda[rows, at]
@@ -254,8 +345,8 @@ class Codec:
         alive = sym >= 0
         ids, ends = sym[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
         a = 0
-        for key, b in zip(keys, ends, strict=True):
-            self.young[key] = tuple(ids[a:b])
+        for i, b in zip(places, ends, strict=True):
+            yield i, tuple(ids[a:b])
             a = b
 
     def chunks(self, text: str) -> list[str]:
@@ -270,23 +361,20 @@ class Codec:
     def variants(self, n: int, key: int | str) -> np.ndarray:
         """Variants of a document's n words: a keyed 64-bit generator with a step for each word."""
         if not self.limit:
-            return np.zeros(n, np.int64)
-        x = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.dropout.seed)) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x >> np.uint64(33)) % np.uint64(self.dropout.variants)).astype(np.int64)
+            return np.zeros(n, np.uint64)
+        x = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.dropout.seed)) + np.arange(n, dtype=np.uint64) * np.uint64(_ODD)
+        if self.dropout.variants is None:
+            return x  # draws() mixes it
+        return (self.draws(x) >> np.uint64(33)) % np.uint64(self.dropout.variants)
 
     def encode(self, text: str, key: int | str = 0) -> list[int]:
         """Ids of a text; key tells documents apart for dropout."""
         return self.encode_all([text], [key])[0].tolist()
 
     def encode_all(self, texts: list[str], keys: list[int | str]) -> list[np.ndarray]:
-        """Ids of several texts.
-
-        Each different (word, variant) is looked up once, those that are new
-        to the cache are worked on together, and the texts' ids are put
-        together by place.
-        """
+        """Ids of several texts, put together by place."""
+        if len(self.leaf_ids) > self.LEAVES:
+            self._drop_trees()
         number: dict[str, int] = {}
         place, variant, bounds = [], [], [0]
         for t, k in zip(texts, keys, strict=True):
@@ -296,21 +384,26 @@ class Codec:
             bounds.append(len(place))
         if not place:
             return [np.zeros(0, np.int64)] * len(texts)
-        v = self.dropout.variants
-        used, which = np.unique(np.array(place, np.int64) * v + np.concatenate(variant), return_inverse=True)
-        words = list(number)
-        wanted = [(words[q], r) for q, r in zip((used // v).tolist(), (used % v).tolist(), strict=True)]
-        found = list(map(self.young.get, wanted))
-        new = [k for k, f in zip(wanted, found, strict=True) if f is None and k[0]]
-        if new:
-            again = {k: f for k in new if (f := self.old.get(k)) is not None}
-            if len(self.young) + len(new) > self.CACHE:
-                self.old, self.young = self.young, {}
-            self.young.update(again)
-            self.merge_all([k for k in new if k not in again])
-            found = [self.marks if not k[0] else f or self.young.get(k) or self.word_ids(k) for k, f in zip(wanted, found, strict=True)]
-        else:
-            found = [self.marks if f is None else f for f in found]
+        words, at_word, key = list(number), np.array(place, np.int64), self.draws(np.concatenate(variant))
+        root = np.full(len(words), -1, np.int64)
+        for i, (w, n) in enumerate(zip(words, np.bincount(at_word).tolist(), strict=True)):
+            if w in self.roots:
+                root[i] = self.roots[w]
+            elif n >= self.MANY and 0 < len(w) <= LONG:
+                root[i] = self._grow(-1, 0, w)
+        leaf = root[at_word]
+        walked = np.flatnonzero(leaf >= 0)
+        leaf[walked] = self._walk(leaf[walked], key[walked])
+        walked, rest = np.flatnonzero(leaf >= 0), np.flatnonzero(leaf < 0)
+        used, leaf_of = np.unique(leaf[walked], return_inverse=True)
+        marks, other = [], []
+        for i, w in zip(rest.tolist(), at_word[rest].tolist(), strict=True):
+            (other if words[w] else marks).append(i)
+        found = [self.leaf_ids[i] for i in used.tolist()] + [self.marks] + self.merge_all([words[w] for w in at_word[other].tolist()] if other else [], key[other] if other else key[:0])
+        which = np.empty(len(at_word), np.int64)
+        which[walked] = leaf_of
+        which[marks] = len(used)
+        which[other] = len(used) + 1 + np.arange(len(other))
         flat = np.array(list(chain.from_iterable(found)), np.int64)
         size = np.array(list(map(len, found)))
         ids = ragged(flat, np.cumsum(size) - size, size, which)
