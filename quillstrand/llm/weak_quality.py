@@ -8,8 +8,8 @@
 2. Per aspect, expectation-maximisation over the counts of vote patterns (at
    most 81 each, whatever the number of documents) estimates each
    labeller's accuracy and the posterior of every pattern; a text is bad if it is so in any aspect.
-3. The posteriors label a sample of at most ``Fit.rows`` different texts (those
-   of the smallest sketch, near copies sharing one) on which a linear scorer over hashed words and
+3. The posteriors label a sample of at most ``Fit.rows`` different texts (near
+   copies share a sketch, and sketches are drawn by a hash of their own) on which a linear scorer over hashed words and
    binned measures is trained.  Only the fit is bounded: the vote counts cover
    all documents and every document is scored.
 
@@ -189,15 +189,19 @@ def sketch_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("sketch", T.LongType())]))
 
 
+def drawn(by_sketch: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, by a hash of the sketch: the least sketches are those of texts with many different words."""
+    return by_sketch.orderBy(F.xxhash64("sketch", F.lit(5)), "sketch").limit(most)
+
+
 def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str, text: str, fit: Fit) -> np.ndarray:
     """Hashes of words that mark toxic texts: met in several of them, and hardly in others.
 
     The labelled texts to learn from are chosen by id before any text moves:
-    one of each sketch, the smallest sketches first, which is a fair sample and the
-    same on every run.
+    one of each sketch, drawn whatever the texts' lengths, and the same on every run.
     """
     rows = sketch_table(docs, id_col, text).join(agreed(labels, id_col, "toxic"), F.col("id") == F.col("__id"))
-    sample = rows.groupBy("sketch").agg(F.min(F.struct("id", "label")).alias("r")).orderBy("sketch").limit(fit.label_rows).select("r.*").collect()
+    sample = drawn(rows.groupBy("sketch").agg(F.min(F.struct("id", "label")).alias("r")), fit.label_rows).select("r.*").collect()
     if not sample:
         return np.zeros(0, np.uint64)
     # at most label_rows ids are broadcast
@@ -321,7 +325,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None, id_col: str, text: str
     learned = np.zeros(0, np.uint64) if labels is None else learn_insults(docs, labels, id_col, text, fit)
     table = materialize(vote_table(docs, labels, learned, id_col, text), "votes")
     post, _ = posteriors(table)
-    sample = table.groupBy("sketch").agg(F.min(F.struct("id", *LABELLERS)).alias("r")).orderBy("sketch").limit(fit.rows).select("r.*")
+    sample = drawn(table.groupBy("sketch").agg(F.min(F.struct("id", *LABELLERS)).alias("r")), fit.rows).select("r.*")
     soft = {r["id"]: posterior(post, r) for r in sample.collect() if r["id"] is not None}
     if not soft:
         return *train([], np.zeros(0), fit), learned
