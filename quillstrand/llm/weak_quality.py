@@ -61,7 +61,7 @@ _TOKEN_HASH = Hasher(21, BYTES)
 class Fit:
     """rows: most texts that the scorer is trained on; label_rows: most labelled texts that insults are learned from; bits: log2 of its hash space."""
 
-    rows: int = 6_000
+    rows: int = 10_000
     label_rows: int = 20_000
     bits: int = 18
     least_z: float = 4.0
