@@ -72,10 +72,12 @@ class Fit:
 def tokens(t: Texts) -> np.ndarray:
     """Hashes of the words, ASCII letters small and ASCII punctuation cut from both ends."""
     data = _LOWER_OF[t.data]
-    start, end = t.start.copy(), t.end.copy()
-    for _ in range(4):
-        start += (start < end) & _EDGE[data[np.minimum(start, len(data) - 1)]] if len(data) else 0
-        end -= (start < end) & _EDGE[data[end - 1]] if len(data) else 0
+    inner = ~_EDGE[data]
+    at, before = np.flatnonzero(inner), np.concatenate([[0], np.cumsum(inner)])
+    first, last = before[t.start], before[t.end]
+    some = first < last  # a word of punctuation only is cut to nothing
+    start, end = t.start.copy(), t.start.copy()
+    start[some], end[some] = at[first[some]], at[last[some] - 1] + 1
     return _TOKEN_HASH.spans(_TOKEN_HASH.prefix(_TOKEN_HASH.table[data]), start, end)
 
 

@@ -37,3 +37,10 @@ def test_short_and_bad_texts_keep_their_share(spark, tables, monkeypatch, most):
     spread = 3.5 * (0.2 * 0.8 / most) ** 0.5
     assert abs(seen["short"] - 0.2) < spread and abs(seen["bad"] - 0.2) < spread
     assert set(weak_quality.tokens(Texts(pa.array(["zorgle"]))).tolist()) <= set(learned.tolist())
+
+
+def test_punctuation_is_cut_whatever_its_length():
+    t = Texts(pa.array(["idiot idiot!!!!! ??????idiot...!!!!!!", "!!!!!!!!! !", None, "a-b 'a-b'"]))
+    h = weak_quality.tokens(t)
+    assert h[0] == h[1] == h[2] and h[3] == h[4] and h[5] == h[6] and len(set(h.tolist())) == 3
+    assert len(weak_quality.tokens(Texts(pa.array([], pa.string())))) == 0
