@@ -44,3 +44,15 @@ def test_punctuation_is_cut_whatever_its_length():
     h = weak_quality.tokens(t)
     assert h[0] == h[1] == h[2] and h[3] == h[4] and h[5] == h[6] and len(set(h.tolist())) == 3
     assert len(weak_quality.tokens(Texts(pa.array([], pa.string())))) == 0
+
+
+def test_all_words_that_qualify_are_learned(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(8):
+        own = [f"x{k}" for k in range(5500)]
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    learned = weak_quality.learn_insults(df.select("doc_id", "text"), df.drop("text"), "doc_id", "text", weak_quality.Fit())
+    assert len(learned) == 5500
