@@ -6,16 +6,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests on one machine, a local folder is made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
+    and the master is local, as in tests on one machine, a local folder is made
+    and remembered; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="quillstrand-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -30,8 +34,13 @@ def bound_batches(spark: SparkSession, most: str = "4m") -> None:
     """Have Arrow batches of the session hold about `most` bytes, however long its texts are.
 
     By count alone a batch has 10,000 rows, and a task holds it in the JVM and in Python at once.
+    Spark reads this setting when a plan runs, not when it is made, so it cannot be put back
+    before the caller runs it.  All operators with Arrow stages ask for the same bound, so none
+    depends on what ran before, and a bound that the application was started with stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(name, most)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -53,6 +62,36 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this application has materialized; frames that read them are of no use afterwards."""
+    drop_path(spark, f"{shared_dir(spark)}/quillstrand/{spark.sparkContext.applicationId}")
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", least: int = 256, share: int = 1000) -> DataFrame:
+    """Rows of `counts` whose key has over `least` rows and over a `share`-th of all rows.
+
+    There are fewer than `share` of them, whatever the data, so they may be broadcast.
+    `counts` is read twice and should be materialized.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > max(least, total // share))
+
+
+def join_hot(rows: DataFrame, counts: DataFrame, key: str, n: str = "n", least: int = 256) -> DataFrame:
+    """rows joined to the one row of `counts` that has their key; rows of hot keys stay where they are.
+
+    `counts` has a row for each key with the number `n` of its rows.  Keys over a
+    thousandth of all rows, fewer than 1,000, are broadcast; the others meet by a
+    shuffle in which no key has more rows than that.
+    """
+    hot = hot_keys(counts, key, n, least)
+    if hot.isEmpty():
+        return rows.join(counts, key)
+    names = F.broadcast(hot.select(key))
+    cold = rows.join(names, key, "left_anti").join(counts.join(names, key, "left_anti"), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
