@@ -1,84 +1,108 @@
 """Vectorised words, lines and hashes over Arrow string columns.
 
 A word is a maximal run of bytes other than the six ASCII white-space bytes
-(space and 0x09 to 0x0D).  Hashes are polynomials over random per-byte values
-modulo 2**64, finished by a bit mixer.
+(space and 0x09 to 0x0D).  Byte strings are hashed eight bytes at a time, each
+step a bijective mix of what is there so far, so that equal lengths of up to
+eight bytes never collide and longer ones do by chance only; no input is
+special, as it would be to a polynomial modulo a power of two.  Windows of
+words are hashed by polynomials modulo the prime 2**31 - 1 over several
+independent bases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PRIME = (1 << 31) - 1
+#: Byte strings longer than this are hashed one by one.
+LONG = 64
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit mixer (two xor-shift-multiply rounds)."""
+    x = x.astype(U64, copy=True)
+    x ^= x >> U64(31)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the byte strings data[start:end], whatever their place."""
+    size = end - start
+    h = mix(size.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    if not len(data):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, own = start[live], size[live], h[live]
+    while len(live):
+        own = mix(own ^ (eight[at] & _LOW[np.minimum(left, 8)]))
+        done = left <= 8
+        if done.any():
+            h[live[done]] = own[done]
+            on = ~done
+            live, at, left, own = live[on], at[on], left[on], own[on]
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], seed)
+    return h
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept per process."""
+    """Powers of a base and of its inverse modulo PRIME, kept per process."""
 
     def __init__(self, seed: int) -> None:
-        self.base = int(np.random.default_rng(seed).integers(0, 2**62)) * 4 + 3
+        self.base = int(np.random.default_rng(seed).integers(1 << 20, PRIME - 1))
         self.up = self.down = np.ones(1, U64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = n * 9 // 8
-            for name, base in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, PRIME))):
                 out = np.ones(n, U64)
                 filled = 1
                 while filled < n:  # out[i] = base ** i, by doubling
                     more = min(filled, n - filled)
-                    out[filled : filled + more] = out[:more] * U64(pow(base, filled, 2**64))
+                    out[filled : filled + more] = reduced(out[:more] * U64(pow(base, filled, PRIME)))
                     filled += more
                 setattr(self, name, out)
         return self.up, self.down
 
 
-@dataclass
-class Hasher:
-    """Polynomial prefix hashing over random values; hashers of one base share its powers."""
-
-    seed: int
-    powers: Powers
-
-    def __post_init__(self) -> None:
-        self.table = np.random.default_rng(self.seed).integers(0, 2**64, 256, dtype=U64) | U64(1)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of values[i] * base**i, with a leading zero."""
-        up, _ = self.powers(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up[: len(values)], out=out[1:])
-        return out
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x under 2**62."""
+    p = U64(PRIME)
+    x = (x & p) + (x >> U64(31))
+    return np.where(x >= p, x - p, x)
 
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the spans [start, end), whatever their place."""
-        _, down = self.powers(len(prefix))
-        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
+class Rolling:
+    """Rabin-Karp hashes modulo PRIME of windows over values under PRIME."""
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mixer (two xor-shift-multiply rounds)."""
-    x = x.astype(U64, copy=True)
-    x ^= x >> U64(31)
-    x *= U64(0xD6E8FEB86659FD93)
-    x ^= x >> U64(32)
-    x *= U64(0xD6E8FEB86659FD93)
-    x ^= x >> U64(32)
-    return x
-
+    def __init__(self, seed: int) -> None:
+        self.powers = Powers(seed)
 
-#: Powers for hashes over bytes.
-BYTES = Powers(1)
-WORD_HASH = Hasher(11, BYTES)
-LINE_HASH = Hasher(12, BYTES)
+    def __call__(self, values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of values[i : i + size] for i in at, whatever their place."""
+        up, down = self.powers(len(values) + 1)
+        total = np.zeros(len(values) + 1, U64)
+        # terms under 2**31: sums of 2**32 of them fit
+        np.cumsum(reduced(values * up[: len(values)]), out=total[1:])
+        return reduced(reduced(total[at + size] - total[at]) * down[at])
 
 
 def passed_on(columns: list[str], own: tuple[str, ...]) -> list[str]:
@@ -98,6 +122,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """Values of a string column; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.large_binary()).to_pylist()]
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `most` bytes of text each; one long text stays whole."""
     if not batch.num_rows:
@@ -135,17 +167,13 @@ class Texts:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
 
-    @cached_property
-    def _prefix(self) -> np.ndarray:
-        return WORD_HASH.prefix(WORD_HASH.table[self.data])
-
     @cached_property
     def word_hash(self) -> np.ndarray:
-        return WORD_HASH.spans(self._prefix, self.start, self.end)
+        return byte_hashes(self.data, self.start, self.end, 11)
 
     @cached_property
     def text_hash(self) -> np.ndarray:
-        return WORD_HASH.spans(self._prefix, self.offsets[:-1], self.offsets[1:])
+        return byte_hashes(self.data, self.offsets[:-1], self.offsets[1:], 13)
 
     def window_starts(self, size: int) -> np.ndarray:
         """Indices of words at which a window of `size` words of one text starts."""

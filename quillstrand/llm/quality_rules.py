@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bound_batches, materialize
-from ._text import LINE_HASH, Texts, mix, passed_on, pieces, repeats_of
+from ._text import Texts, byte_hashes, mix, passed_on, pieces, repeats_of
 
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -56,7 +56,7 @@ def measure(t: Texts) -> dict[str, np.ndarray]:
     lead = (t.data & 0xC0) != 0x80
     out = {"n_words": n, "word_chars": t.per_text(t.inside & lead), "n_symbols": t.per_text(SYMBOLS[t.data])}
     doc, start, end = t.lines()
-    _, later = repeats_of(mix(LINE_HASH.spans(LINE_HASH.prefix(LINE_HASH.table[t.data]), start, end) + doc.astype(np.uint64)))
+    _, later = repeats_of(mix(byte_hashes(t.data, start, end, 12) + doc.astype(np.uint64)))
     n_lines = np.bincount(doc, minlength=t.n)
     out["n_dup_lines"] = np.bincount(doc[later], minlength=t.n)
     at = t.window_starts(3)

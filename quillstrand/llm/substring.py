@@ -13,9 +13,11 @@ sends the hashes of repeated windows back to the other ids.  (3) Texts with
 repeated windows meet their hashes, find their windows again, and lose the
 covered words; the others need only what (1) has already told of them.
 
-Hashes have 80 bits, from two independent polynomials; among n different
-windows two share a hash with a chance of about n**2 / 2**81 (3e-5 at 30 GB of
-text).  ``Window.wide`` takes 128 bits instead.
+Hashes are polynomials modulo 2**31 - 1 over independent bases: 62 bits from
+two, and as many more of the third and fourth as the size of the input needs
+(``extra_bytes``), so that the chance of any two of n different windows meeting
+stays under 1e-3 (n**2 / 2**79 with 16 more bits, at 30 GB of text 4e-5;
+n**2 / 2**94 with 32, up to 17 TB; n**2 / 2**125 with 64).
 
 Edge cases: a null or blank text has no words; of rows with the same id each
 is judged alike (a window repeated inside one id is not removed); an empty
@@ -39,9 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bound_batches
-from ._text import Hasher, Powers, Texts, passed_on, pieces
+from ._text import PRIME, Rolling, Texts, mix, passed_on, pieces, reduced
 
-_FIRST, _SECOND = Hasher(31, Powers(2)), Hasher(32, Powers(3))
+_ROLL = [Rolling(seed) for seed in (31, 32, 33, 34)]
 #: Windows of a bucket, about; buckets follow from the size of the input.
 BUCKET = 1 << 19
 
@@ -49,18 +51,28 @@ BUCKET = 1 << 19
 @dataclass(frozen=True)
 class Window:
     window: int = 50
-    wide: bool = False
 
 
-def window_hashes(t: Texts, size: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, hash and further hash bits of every window."""
+def extra_bytes(total: int) -> int:
+    """Bytes of further hash bits for `total` bytes of text, which have total / 4 windows at most, roughly."""
+    n = total / 4
+    return 2 if n * n < 2.0**69 else 4 if n * n < 2.0**84 else 8
+
+
+def window_hashes(t: Texts, size: int, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, 62-bit hash and `extra` bytes of further hash bits of every window."""
     at = t.window_starts(size)
+    kind = np.dtype(f"u{extra}")
     if not len(at):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64 if wide else np.uint16)
-    h = t.word_hash
-    first = _FIRST.spans(_FIRST.prefix(h), at, at + size)
-    second = _SECOND.spans(_SECOND.prefix(h ^ (h >> np.uint64(29))), at, at + size)
-    return at, first, second if wide else (second >> np.uint64(48)).astype(np.uint16)
+        return at, np.zeros(0, np.uint64), np.zeros(0, kind)
+    h, again = t.word_hash, mix(t.word_hash)
+    p = np.uint64(PRIME)
+    # words enter each polynomial by bits of their own, under the prime
+    a, b, c = (_ROLL[k](reduced(v & p), at, size) for k, v in enumerate((h, h >> np.uint64(31), again)))
+    first = mix(a << np.uint64(31) | b)
+    if extra == 8:
+        c = c << np.uint64(31) | _ROLL[3](reduced(again >> np.uint64(31) & p), at, size)
+    return at, first, c.astype(kind)
 
 
 def covered(t: Texts, at: np.ndarray, hit: np.ndarray, size: int) -> np.ndarray:
@@ -108,9 +120,9 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [len(keys[0])]]).astype(np.int64) if len(keys[0]) else np.zeros(1, np.int64)
 
 
-def entries(docs: DataFrame, spec: Window, buckets: int, id_col: str, text: str) -> DataFrame:
+def entries(docs: DataFrame, spec: Window, buckets: int, extra: int, id_col: str, text: str) -> DataFrame:
     """(1): rows of a bucket hold ids and hashes in parallel arrays; rows of a negative bucket hold runs of a text known to be repeated."""
-    size, wide = spec.window, spec.wide
+    size = spec.window
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         row_id, row_hash = (np.concatenate([x[k] for x in held]) for k in (0, 1))
@@ -152,7 +164,7 @@ def entries(docs: DataFrame, spec: Window, buckets: int, id_col: str, text: str)
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(1))
-                at, h1, h2 = window_hashes(t, size, wide)
+                at, h1, h2 = window_hashes(t, size, extra)
                 doc = t.doc[at]
                 held.append((part.column(0).to_numpy(zero_copy_only=False), t.text_hash, np.bincount(doc, minlength=t.n), at - t.word_at[doc], h1, h2))
                 n += len(at)
@@ -166,13 +178,13 @@ def entries(docs: DataFrame, spec: Window, buckets: int, id_col: str, text: str)
     return src.mapInArrow(run, ENTRY)
 
 
-def repeated(sent: DataFrame, spec: Window, buckets: int) -> DataFrame:
+def repeated(sent: DataFrame, buckets: int, extra: int) -> DataFrame:
     """(2): a row per id that has repeated windows: id, h1, and an array of runs.
 
     A bucket sends one row to each group of ids, not one to each id; the
     groups then take their rows apart.
     """
-    kind2 = np.dtype(np.uint64 if spec.wide else np.uint16)
+    kind2 = np.dtype(f"u{extra}")
     groups = max(64, buckets // 16)
     names = ["g", "ids", "counts", "h1", "runs"]
 
@@ -264,11 +276,11 @@ def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", tex
     """
     rest = passed_on([c for c in docs.columns if c != text] if keep is None else keep, ("n_words", "n_removed", "kept_sha256", "kept_text"))
     with_text = keep is None
-    size, wide = spec.window, spec.wide
+    size = spec.window
     bound_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    buckets = max(1, total // (6 * BUCKET))
-    back = repeated(entries(docs, spec, buckets, id_col, text), spec, buckets).select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("runs").alias("__runs"))
+    buckets, extra = max(1, total // (6 * BUCKET)), extra_bytes(total)
+    back = repeated(entries(docs, spec, buckets, extra, id_col, text), buckets, extra).select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("runs").alias("__runs"))
     src = _squeezed(docs.select(F.col(f"`{id_col}`").cast("long").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("__row")))
     src = src.join(back, F.col("__key") == F.col("__id"), "left").select("__zip", "__h1", "__runs", "__row")
     fields = [src.schema["__row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
@@ -291,7 +303,7 @@ def judged(docs: DataFrame, spec: Window = Window(), id_col: str = "doc_id", tex
                 hashes, runs = part.column(1).to_pylist(), part.column(2).to_pylist()
                 flagged = [i for i, x in enumerate(hashes) if x is not None]
                 if flagged:
-                    at, h1, _ = window_hashes(t, size, wide)
+                    at, h1, _ = window_hashes(t, size, extra)
                     lo, hi = np.searchsorted(at, t.word_at[:-1]), np.searchsorted(at, t.word_at[1:])
                     hit = np.zeros(len(at), bool)
                     for i in flagged:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bound_batches, materialize
-from ._text import BYTES, Hasher, Texts, mix, passed_on, pieces
+from ._text import Texts, byte_hashes, mix, passed_on, pieces
 from .quality_rules import LOWER, STEPS, SYMBOLS, UPPER, measure
 
 #: Words that insult.
@@ -54,7 +54,6 @@ _LOWER_OF[65:91] += 32
 _EDGE = np.zeros(256, bool)
 _EDGE[:128] = True
 _EDGE[48:58] = _EDGE[65:91] = _EDGE[97:123] = False
-_TOKEN_HASH = Hasher(21, BYTES)
 
 
 @dataclass(frozen=True)
@@ -78,7 +77,7 @@ def tokens(t: Texts) -> np.ndarray:
     some = first < last  # a word of punctuation only is cut to nothing
     start, end = t.start.copy(), t.start.copy()
     start[some], end[some] = at[first[some]], at[last[some] - 1] + 1
-    return _TOKEN_HASH.spans(_TOKEN_HASH.prefix(_TOKEN_HASH.table[data]), start, end)
+    return byte_hashes(data, start, end, 21)
 
 
 class Members:

@@ -258,12 +258,38 @@ def plain_removed(rows, size=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("bucket", "wide"), [(1 << 19, False), (500, True)])
-def test_repeated_windows_match_plain_ones(spark, monkeypatch, bucket, wide):
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_sequences_that_collide_modulo_powers_of_two():
+    for n in (256, 1024, 4096):
+        a, b = "".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))
+        t = Texts(pa.array([f"{a}\n{b}", f"{a} {b}", a, b]))
+        m = quality_rules.measure(t)
+        assert m["n_dup_lines"].tolist() == [0] * 4 and m["n_repeat_words"].tolist() == [0] * 4
+        assert len(set(t.word_hash.tolist())) == 2 and len(set(t.text_hash.tolist())) == 4
+        assert len(set(weak_quality.tokens(t).tolist())) == 2
+
+
+@pytest.mark.parametrize("size", [50, 2048])
+def test_windows_that_collide_modulo_powers_of_two(spark, size):
+    if size == 50:  # one word differs
+        rest = [f"v{i}" for i in range(49)]
+        rows = [(i, " ".join([*rest, "".join(thue_morse(1024, *x))])) for i, x in enumerate(("ab", "ba"))]
+    else:
+        rows = [(i, " ".join(thue_morse(size, *x))) for i, x in enumerate((("left", "right"), ("right", "left")))]
+    out = substring.judged(spark.createDataFrame(rows, "doc_id long, text string"), substring.Window(size), keep=["doc_id"])
+    assert [r["n_removed"] for r in out.collect()] == [0, 0]
+
+
+@pytest.mark.parametrize(("bucket", "extra"), [(1 << 19, 2), (500, 8), (500, 4)])
+def test_repeated_windows_match_plain_ones(spark, monkeypatch, bucket, extra):
     monkeypatch.setattr(substring, "BUCKET", bucket)
+    monkeypatch.setattr(substring, "extra_bytes", lambda total: extra)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(edge(spark).select((F.col("doc_id") + 10_000).alias("doc_id"), "text"))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    out = substring.judged(docs.repartition(5), substring.Window(wide=wide), keep=["doc_id"])
+    out = substring.judged(docs.repartition(5), keep=["doc_id"])
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()) == plain_removed(rows)
 
 
