@@ -21,9 +21,11 @@ The plan lists runs (length, first rank, number, first sequence, offset); the
 rank of a piece among those of its length comes from counts by partition, so
 pieces find their places without being gathered or sorted.
 
-Edge cases: a null or empty text is the end token alone; rows with the same id
+Edge cases: a null or empty text is the end token alone; a very long text is
+cut into as many pieces as it takes; rows with the same or a null id
 are packed one by one; an empty table gives an empty result; a length that
-fills a sequence is one by itself.
+fills a sequence is one by itself; columns other than id and text are not
+passed on, so theirs may have any names; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -41,9 +43,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from ..session import bound_batches, materialize
-from ._text import pieces
+from ._text import pieces, strings
 
 #: Fixed value: the pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,16 +72,19 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(2)
 def encoder(path: str):
-    """text -> array of ids, for a byte-level BPE file of the tokenizers library.
+    """text -> array of ids, as the tokenizers library gives them without special tokens added.
 
-    The merges of such a file are its vocabulary's ids in order, which is what
-    tiktoken takes and runs five times as fast; a file of another kind is run
-    by tokenizers itself.
+    The merges of a byte-level BPE file are its vocabulary's ids in order, which
+    is what tiktoken takes and runs five times as fast.  Texts in which one of
+    the file's added tokens occurs, and files of another kind, are run by
+    tokenizers itself.
     """
+    tok = Tokenizer.from_file(path)
+    exact = lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, np.uint32)
     spec = json.load(open(path, encoding="utf-8"))
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", ())]
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    added = tuple(t["content"] for t in spec.get("added_tokens", ()))
     vocab = model.get("vocab", {})
     fits = (
         model.get("type") == "BPE"
@@ -91,14 +97,10 @@ def encoder(path: str):
     )
     if fits:
         byte = _byte_alphabet()
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
         enc = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.asarray(enc.encode_ordinary(text), np.uint32)
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return lambda text: np.asarray(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        return lambda text: exact(text) if any(a in text for a in added) else np.asarray(enc.encode_ordinary(text), np.uint32)
+    return exact
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -120,8 +122,8 @@ def tokenized(docs: DataFrame, spec: Packing, id_col: str, text: str) -> DataFra
         for batch in batches:
             for cut_batch in pieces(batch, "__text"):
                 row, out = [], []
-                for k, x in enumerate(cut_batch.column(1)):
-                    ids = np.append(encode(x.as_py() or ""), np.uint32(spec.end_id)).astype("<u4")
+                for k, x in enumerate(strings(cut_batch.column(1))):
+                    ids = np.append(encode(x or ""), np.uint32(spec.end_id)).astype("<u4")
                     for p, (start, length) in enumerate(cut(len(ids), spec.capacity)):
                         row.append(k)
                         out.append((p, start, length, zlib.crc32(ids[start : start + length].tobytes()), part, seen[length]))
