@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges stay distributed; every round is written to the shared folder, which
-cuts the lineage.  A hub with very many neighbours is met by a partially
-aggregated minimum and a join that adaptive execution may split, never by
-gathering its neighbours.
+cuts the lineage.  A hub with very many neighbours never has them gathered:
+its least neighbour is a partially aggregated minimum, and its edges meet that
+by a broadcast of the hubs alone, of which there are under a thousand
+(``join_hot``), while the edges of other nodes are shuffled.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import join_hot, materialize
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """(u, m, n): the least neighbour of each node, and how many it has."""
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,11 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every node u, all its neighbours v > u
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        m = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.where("v > u"), m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialize(large.distinct(), "large")
         # small star: every node u, its lesser neighbours v; edges already point from greater to lesser
-        m = _least(large)
-        small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = join_hot(large, _least(large), "u")
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         cur = materialize(small, "edges")
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         # every node once, pointing at a node that points nowhere: nothing can change

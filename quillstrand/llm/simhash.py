@@ -12,11 +12,17 @@ fingerprints (copies are joined beforehand) meet in the buckets of a key, are
 compared there, and each bucket returns links that span its groups, not all
 pairs.  A bucket of more than ``tile`` fingerprints is cut into tiles, and
 every pair of tiles is a group of its own, so no task holds more than two
-tiles however large a group of near copies is, and no link is lost.
+tiles however large a group of near copies is, and no link is lost.  ``extra``
+follows the number of different fingerprints (``blocks_for``), so that keys
+get longer and chance meetings in a bucket stay few as tables grow.
 
 Edge cases: null and blank texts have no words and the fingerprint zero, which
-links like any other; repeated ids get a row each, with the same class; an
-empty table gives an empty result; extra columns are passed on if asked for.
+links like any other; very long texts are hashed whole, 65,536 shingles at a
+time; repeated ids get a row each, each with the class of its own text; rows
+whose id is null get a row, and a class of such rows alone has a null id; an
+empty table gives an empty result; other columns are not passed on, so theirs
+may have any names (``keep_one`` keeps them all); bytes that are not UTF-8
+are hashed as they are.
 """
 
 from __future__ import annotations
@@ -43,7 +49,8 @@ SALTS = 16
 class SimHash:
     shingle: int = 4
     distance: int = 4
-    extra: int = 2
+    #: blocks of a key; None: as many as the number of fingerprints asks for
+    extra: int | None = None
     seed: int = 42
     tile: int = 8192
 
@@ -79,18 +86,23 @@ def fingerprints(docs: DataFrame, spec: SimHash, id_col: str, text: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "__text"):
-                got = [fingerprint((x.as_py() or "").encode(), spec) for x in part.column(1)]
+                got = [fingerprint(x or b"", spec) for x in part.column(1).cast(pa.large_binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["id", "fp"])
 
     return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("fp", T.LongType())]))
 
 
-def block_keys(spec: SimHash) -> list[int]:
+def blocks_for(n: int, distance: int) -> int:
+    """How many blocks a key takes: the fewest whose bits would put under 64 of n random fingerprints into a bucket, but at most four."""
+    return next((e for e in (1, 2, 3) if 64 * e // (distance + e) >= n.bit_length() - 6), 4)
+
+
+def block_keys(distance: int, extra: int) -> list[int]:
     """Bit masks of the join keys: each choice of `extra` blocks."""
-    n = spec.distance + spec.extra
+    n = distance + extra
     cuts = [64 * i // n for i in range(n + 1)]
     blocks = [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return [sum(c) for c in combinations(blocks, spec.extra)]
+    return [sum(c) for c in combinations(blocks, extra)]
 
 
 def span(fps: np.ndarray, distance: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +131,8 @@ def span(fps: np.ndarray, distance: int, rows: int = 256) -> tuple[np.ndarray, n
 
 def links(fps: DataFrame, spec: SimHash) -> DataFrame:
     """Spanning links (a, b) between different fingerprints (column fp, each once)."""
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in block_keys(spec)]
+    extra = blocks_for(fps.count(), spec.distance) if spec.extra is None else spec.extra
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in block_keys(spec.distance, extra)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("which", "key"))
     sizes = keyed.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     # most buckets hold two fingerprints that agree there by chance: no need to gather those
