@@ -22,8 +22,10 @@ Decoding is lossless: characters without a piece become byte pieces, and so
 does the space mark itself where the text has it.
 
 Edge cases: a null text has null ids, an empty one has none; texts may be of
-any length, as only one word is worked on at a time; an input column ``ids`` is
-replaced.
+any length, and words too; rows with the same or a null id are coded one by
+one, with the same draws; an empty table gives an empty result; input columns
+named like the results are replaced by them; bytes that are not UTF-8 count as
+U+FFFD.
 """
 
 from __future__ import annotations
@@ -45,10 +47,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bound_batches
-from ._text import passed_on, pieces
+from ._text import passed_on, pieces, strings
 
 MARK = "▁"
-_ALL, _NONE, _ODD = 2**64 - 1, 1 << 40, 0x9E3779B97F4A7C15
+_ALL, _NONE, _ODD, _MIX = 2**64 - 1, 1 << 40, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 #: Characters of a chunk that is too long for the cache.
 LONG = 64
 #: A run of marks with the word after it.
@@ -57,11 +59,19 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 @dataclass(frozen=True)
 class Dropout:
-    """variants: most draws of a word, if a bound is wanted; each occurrence has its own otherwise."""
-
     rate: float = 0.1
     seed: int = 0
-    variants: int | None = None
+
+
+def skip_hash(x):
+    """64-bit hash of a draw's key xor a candidate's code; for integers and arrays alike."""
+    if isinstance(x, int):
+        x = (x ^ x >> 32) * _ODD & _ALL
+        x = (x ^ x >> 29) * _MIX & _ALL
+        return x ^ x >> 32
+    x = (x ^ x >> np.uint64(32)) * np.uint64(_ODD)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(_MIX)
+    return x ^ x >> np.uint64(32)
 
 
 class Codec:
@@ -103,10 +113,10 @@ class Codec:
 
     def skips(self, key: int, rank: int, at: int) -> bool:
         """Whether the candidate of that piece rank, starting at that character, is dropped."""
-        return ((key ^ (rank << 20) ^ at) * _ODD & _ALL) < self.limit
+        return skip_hash(key ^ (rank << 20) ^ at) < self.limit
 
     def merge(self, word: str, variant: int) -> list[str]:
-        """Pieces of one chunk by agenda: least rank first, leftmost on ties."""
+        """Pieces of one chunk for an occurrence's number, by agenda: least rank first, leftmost on ties."""
         key = int(self.draws(np.array([variant], np.uint64))[0])
         return self._merge_long(word, key) if len(word) > LONG else self._merge_short(word, key)
 
@@ -118,8 +128,7 @@ class Codec:
         agenda = [rank(a + b, none) for a, b in zip(part, part[1:])]
         while agenda and (best := min(agenda)) < none:
             i = agenda.index(best)
-            # skips(), written out as this is the innermost loop
-            if limit and ((key ^ (best << 20) ^ at[i]) * _ODD & _ALL) < limit:
+            if limit and skip_hash(key ^ (best << 20) ^ at[i]) < limit:
                 agenda[i] = none
                 continue
             both = part[i] + part[i + 1]
@@ -162,7 +171,7 @@ class Codec:
         return [p for p in part if p]
 
     def draws(self, variants: np.ndarray) -> np.ndarray:
-        """The key of the skip hash for each variant."""
+        """The key of the skip hash for each occurrence's number."""
         x = variants + np.uint64((self.dropout.seed * _ODD + _ODD) & _ALL)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -247,7 +256,7 @@ class Codec:
             out[row[end]] = leaf[end]
             on = ~end
             row, node, key = row[on], node[on], key[on]
-            skipped = np.zeros(len(row), bool) if none_skipped else (key ^ self.code[node]) * np.uint64(_ODD) < limit
+            skipped = np.zeros(len(row), bool) if none_skipped else skip_hash(key ^ self.code[node]) < limit
             branch = 2 * node + skipped
             node = self.child[branch]
             new = node < 0
@@ -322,8 +331,7 @@ class Codec:
             live = best < _NONE
             rows, at, best = rows[live], at[live], best[live]
             if self.limit:
-                h = (seeds[rows] ^ (best.astype(np.uint64) << np.uint64(20)) ^ at.astype(np.uint64)) * np.uint64(_ODD)
-                drop = h < np.uint64(min(self.limit, _ALL))
+                drop = skip_hash(seeds[rows] ^ (best.astype(np.uint64) << np.uint64(20)) ^ at.astype(np.uint64)) < np.uint64(min(self.limit, _ALL))
                 agenda[rows[drop], at[drop]] = _NONE
                 r, i, best = rows[~drop], at[~drop], best[~drop]
             else:
@@ -359,13 +367,11 @@ class Codec:
         return out
 
     def variants(self, n: int, key: int | str) -> np.ndarray:
-        """Variants of a document's n words: a keyed 64-bit generator with a step for each word."""
+        """Numbers of a document's n words: a keyed 64-bit start with a step for each word, so that no two occurrences share a draw."""
         if not self.limit:
             return np.zeros(n, np.uint64)
-        x = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.dropout.seed)) + np.arange(n, dtype=np.uint64) * np.uint64(_ODD)
-        if self.dropout.variants is None:
-            return x  # draws() mixes it
-        return (self.draws(x) >> np.uint64(33)) % np.uint64(self.dropout.variants)
+        # draws() mixes this
+        return np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.dropout.seed)) + np.arange(n, dtype=np.uint64) * np.uint64(_ODD)
 
     def encode(self, text: str, key: int | str = 0) -> list[int]:
         """Ids of a text; key tells documents apart for dropout."""
@@ -443,12 +449,12 @@ def encoded(docs: DataFrame, model: str, dropout: Dropout = Dropout(), id_col: s
 
 def checked(docs: DataFrame, model: str, dropout: Dropout = Dropout(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and decoded_equal, from encoding and decoding its text."""
-    return _mapped(docs, model, dropout, id_col, text, [id_col], True)
+    return _mapped(docs, model, dropout, id_col, text, passed_on([id_col], ("n_ids", "ids_crc32", "decoded_equal")), True)
 
 
 def _mapped(docs: DataFrame, model: str, dropout: Dropout, id_col: str, text: str, rest: list[str], digest: bool) -> DataFrame:
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{id_col}`").cast("string").alias("__key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
+    src = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{id_col}`").cast("string").alias("__key"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("__row"))
     fields = [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_equal", T.BooleanType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([src.schema["__row"], *fields])
 
@@ -456,7 +462,7 @@ def _mapped(docs: DataFrame, model: str, dropout: Dropout, id_col: str, text: st
         c = codec(model, dropout)
         for batch in batches:
             for part in pieces(batch, "__text", 8 << 20):  # words repeat more in a larger slice
-                texts = part.column(0).to_pylist()
+                texts = strings(part.column(0))
                 ids = c.encode_all(texts, part.column(1).to_pylist())
                 null = np.array([x is None for x in texts], bool)
                 if digest:
