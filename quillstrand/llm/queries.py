@@ -54,18 +54,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    pages = read_table(spark, sf_dir, "pages")
-    warc.write(pages, path)
-    kind = pages.schema["page_id"].dataType
-    return warc.summary(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.judged(spark, path).withColumnRenamed("id", "page_id")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "conversations")
-    raw = rows.select("conv_id", "turn", F.col("role").alias("true_role"), chat.transcript().alias("text"))
-    tables = chat.fit(raw, "true_role")
-    out = chat.formatted(raw, tables, keep=["conv_id", "turn", "true_role"])
-    return out.select("conv_id", "turn", "role", (F.col("role") == F.col("true_role")).alias("agrees"), "turns", F.sha2("rendered", 256).alias("rendered_sha256"))
+    """Transcripts of up to three turns each, judged by what the other half of the conversations teaches."""
+    raw = chat.transcripts(read_table(spark, sf_dir, "conversations"))
+    spec, rest = chat.Chat(folds=2), ["conv_id", "turn", "truth"]
+    cut = chat.chunks(raw, "conv_id", "turn", "text", spec, rest)
+    out = chat.judged(cut, chat.fit(cut, "truth", spec.folds), rest)
+    return out.select("conv_id", "turn", "turns", F.array_join("roles", ",").alias("roles"), (F.col("roles") == F.col("truth.role")).alias("agrees"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash, op4_quality_classifier, op5_topk, op6_substring_dedup, op7_quality_rules, op8_sentencepiece, op9_warc, op10_chat_format)}
