@@ -4,7 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
-from test_text_ops import plain_classes, plain_fingerprint, plain_measures, plain_removed, words
+from test_near_copies import plain_components
+from test_text_ops import EDGE, edge, plain_measures, plain_removed, words
 
 import corpus_pipeline
 from quillstrand.llm import queries, quality_rules, weak_quality
@@ -49,10 +50,10 @@ def test_stages_against_plain_ones(spark):
     clean = [i for i in first if i in labels and labels[i]["quality"] == 1 and labels[i]["toxic"] == 0]
     assert sum(i in second for i in clean) >= 0.95 * len(clean)
 
-    prints = [(i, plain_fingerprint(t)) for i, t in second.items()]
-    classes = plain_classes(prints)
+    # near copies are texts of five-word shingles' similarity of 0.8 or more, by all pairs
+    classes = plain_components(second.items())
     third = rows(after[2])
-    assert set(third) == {i for i, f in prints if classes[f] == i}
+    assert set(third) == {i for i in second if classes[i] == i}
 
     fourth = rows(after[3])
     want = {int(i): (n - gone, digest) for i, n, gone, digest in plain_removed(third.items())}
@@ -67,7 +68,6 @@ def test_stages_against_plain_ones(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     pieces = {}
     for r in after[4].collect():
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -88,6 +88,26 @@ def test_stages_on_nothing(spark, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, docs, SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_edges(spark, stage):
+    """Null ids and texts, long and repeated texts, repeated ids, and columns named like the results."""
+    docs = edge(spark)
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, SF)
+    got = sorted(str(r["doc_id"]) for r in out.collect())
+    ids = sorted(str(i) for i, _ in EDGE)
+    if name == "packing":
+        assert set(got) == set(ids)
+        return
+    assert out.columns == docs.columns
+    if name == "quality_rules":
+        assert got == sorted(str(i) for i, t in EDGE if i in (10, 11, 12))
+    elif name == "near_duplicates":
+        assert got == sorted(map(str, [1, 4, 5, 5, 6, 7, 8, 9, 10, 11, None]))
+    elif name == "substring_dedup":
+        assert got == ids and run(spark, docs.drop("n_chars"), SF).columns == docs.drop("n_chars").columns
+
+
 def test_rules_here_have_no_cutoffs(spark):
     measured = materialize(quality_rules.with_measures(read_table(spark, SF, "documents"), keep=["doc_id", "lang"]), "m")
     cutoffs = quality_rules.choose(quality_rules.good_histograms(measured, read_table(spark, SF, "labels"), "doc_id", "lang"))
