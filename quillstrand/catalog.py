@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import columns as C
-from .operators import bits, bitshuffle, delta, feedback, huffman, lz, rle, segments, sparse, spline, stats
+from .operators import bits, bitshuffle, delta, feedback, flat, huffman, lz, rle, segments, sparse, spline, stats
 from .operators.scan import dense_id, running_sum
 from .plans import arrays as array_plan
 from .plans import fastq as fastq_plan
@@ -240,7 +241,7 @@ def rle_int_roundtrip(spark, sf):
 
 @query(f"with {_FQ} select rec_id, strlen(bases) as length, cast(sum(strlen(bases)) over (order by rec_id) - strlen(bases) as bigint) as \"offset\" from fq")
 def base_lengths_offsets(spark, sf):
-    return bits.with_offsets(reads(spark, sf)).select("rec_id", "length", "offset")
+    return flat.with_offsets(reads(spark, sf)).select("rec_id", "length", "offset")
 
 
 @query(f"with {_BASES} select g // 4 as byte_id, cast(sum(case base when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end << cast(2 * (g % 4) as integer)) as integer) as byte from b group by 1")
@@ -256,9 +257,7 @@ def n_positions(spark, sf):
 @query(f"with {_FQ} select rec_id, bases from fq")
 def base_unpack(spark, sf):
     r = reads(spark, sf)
-    places = bits.with_offsets(r).select("rec_id", "length", "offset")
-    total = places.agg(F.sum("length").alias("t")).first()["t"]
-    return bits.reassembled(bits.unpacked(bits.packed(r), bits.exceptions(r), total), places)
+    return bits.reassembled(bits.blocks(r), flat.with_offsets(r).select("rec_id", "length", "offset"))
 
 
 @query(f"with {_BASES}, t as (select count(*) as n, count(*) filter (where base not in ('A', 'C', 'G', 'T')) as e from b) select n as n_bases, 2 * n as bits, (2 * n + 7) // 8 as packed_bytes, e as n_exceptions, (2 * n + 7) // 8 + 4 * e as total_bytes from t")
@@ -269,7 +268,8 @@ def base_sizes(spark, sf):
 @query(f"with {_BASES} select base, case base when 'C' then 1 when 'G' then 2 when 'T' then 3 else 0 end as code, case base when 'N' then 'A' else base end as back, count(*) as n from b group by base")
 def base_codes(spark, sf):
     code = C.base_code(F.col("base"))
-    return bits.base_rows(reads(spark, sf)).groupBy("base").agg(F.count("*").alias("n")).select("base", code.alias("code"), C.code_base(code).alias("back"), "n")
+    counts = huffman.byte_histogram(reads(spark, sf), "bases").where("n > 0").withColumn("base", F.char("symbol"))
+    return counts.select("base", code.alias("code"), C.code_base(code).alias("back"), "n")
 
 
 # Histograms and statistics
@@ -504,9 +504,7 @@ def huffman_canonical(spark, sf):
 
 @query(f"with {_CHARS}, {_BOOK} select pos // 4096 as chunk_id, cast(sum(length) as bigint) as nbit, cast((sum(length) + 31) // 32 as bigint) as ncell from ch join book using (symbol) group by 1")
 def huffman_chunk_bits(spark, sf):
-    rows = bits.with_offsets(reads(spark, sf), "quality").select("offset", F.posexplode(F.split("quality", "")).alias("i", "c")).where("c <> ''")
-    counts = rows.groupBy(F.floor((F.col("offset") + F.col("i")) / 4096).alias("chunk_id"), F.ascii("c").alias("symbol")).agg(F.count("*").alias("n"))
-    return huffman.chunk_bits(counts, huffman.book_frame(spark, _fixed_book()))
+    return huffman.chunk_bits(flat.counts_by_chunk(reads(spark, sf), "quality", "rec_id", 4096), huffman.book_frame(spark, _fixed_book()))
 
 
 @query(f"with {_CHARS}, {_BOOK}, k as (select pos // 4096 as chunk_id, (sum(length) + 31) // 32 as ncell from ch join book using (symbol) group by 1) select cast(33408 + 4 * sum(ncell) as bigint) as bytes from k")
@@ -514,15 +512,13 @@ def huffman_size(spark, sf):
     return huffman_chunk_bits(spark, sf).agg(huffman.archive_size(F.sum("ncell")).alias("bytes"))
 
 
-@query("select true as complete, true as ordered")
+_HIST = f"{_CHARS}, qn as (select symbol, count(*) as n from ch group by 1), q0 as (select cast(symbol as integer) as symbol, n from qn), q1 as (select cast(s as integer) as symbol, coalesce(n, 0) + 1 as n from (select unnest(range(256)) as s) left join qn on s = symbol)"
+
+
+@query(f"with recursive {_HIST}, {oracles.huffman('q1', 'bk')} select cast(symbol as integer) as symbol, cast(length as integer) as length, code from bk")
 def huffman_book(spark, sf):
-    """The data's own book: its lengths fill the code space, and no commoner symbol has the longer code."""
-    hist = huffman.byte_histogram(reads(spark, sf), "quality", smooth=1)
-    book = huffman.book_frame(spark, huffman.build(hist)).join(hist, "symbol")
-    total = F.sum(F.pow(F.lit(2.0), -F.col("length")))
-    pairs = book.groupBy("length").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    nxt = F.lead("hi").over(Window.orderBy("length"))  # a row per code length
-    return book.agg((F.abs(total - 1) < 1e-12).alias("complete")).crossJoin(pairs.select("lo", nxt.alias("nxt")).agg(F.coalesce(F.min(F.col("lo") >= F.col("nxt")), F.lit(True)).alias("ordered")))
+    """The book that the data's own counts give, one added to each."""
+    return huffman.book_frame(spark, huffman.build(huffman.byte_histogram(reads(spark, sf), "quality", smooth=1)))
 
 
 @query(f"with {_FQ} select rec_id, quality from fq")
@@ -532,19 +528,36 @@ def huffman_roundtrip(spark, sf):
     return huffman.decoded(materialize(huffman.encoded(r, "quality", "rec_id", book), "chunks"), book)
 
 
-@query()
+@query(f"with recursive {_HIST}, {oracles.huffman('q0', 'bk')} select cast(sum(n) as bigint) as n, cast(sum(n * length) as bigint) as bits, round(8 * sum(n) / sum(n * length), 9) as ratio from bk join q0 using (symbol)")
 def huffman_estimate(spark, sf):
     hist = huffman.byte_histogram(reads(spark, sf), "quality")
-    return stats.huffman_estimate(hist, huffman.book_frame(spark, huffman.build(hist)), 8)
+    return stats.huffman_estimate(hist, huffman.book_frame(spark, huffman.build(hist)), 8).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(f"with {_CHARS}, {_BOOK}, k as (select pos // 4096 as chunk_id, cast((sum(length) + 31) // 32 as bigint) as ncell from ch join book using (symbol) group by 1) select chunk_id, cast(sum(ncell) over (order by chunk_id) - ncell as bigint) as entry from k")
+def huffman_chunk_entries(spark, sf):
+    return huffman.entries(huffman_chunk_bits(spark, sf)).select("chunk_id", "entry")
+
+
+@query(f"with {_CHARS}, {_BOOK}, k as (select pos // 4096 as chunk_id, count(*) as n, cast((sum(length) + 31) // 32 as bigint) as ncell from ch join book using (symbol) group by 1) select chunk_id, n as original, 4 * ncell as coded, round(n / (4 * ncell), 9) as ratio from k")
+def huffman_chunk_ratio(spark, sf):
+    total = reads(spark, sf).agg(F.sum(F.octet_length("quality").cast("long")).alias("t")).first()["t"]
+    n = F.least(F.lit(4096).cast("long"), F.lit(total) - F.col("chunk_id") * 4096)  # symbols of a chunk
+    return huffman.chunk_ratio(huffman_chunk_bits(spark, sf), n, 8).withColumn("ratio", F.round("ratio", 9))
+
+
+@query(f"with {_CHARS}, t as (select count(*) as n from ch), s as (select n, ((n - 1) // (8 * 128) + 1 + 255) // 256 * 256 as size from t) select cast(size as bigint) as sublen, cast((n - 1) // size + 1 as bigint) as pardeg from s")
+def huffman_tuned(spark, sf):
+    """Chunk size and number for eight cores."""
+    total = reads(spark, sf).agg(F.sum(F.octet_length("quality").cast("long")).alias("t")).first()["t"]
+    return spark.createDataFrame([huffman.tuned(total, 8)], "sublen long, pardeg long")
 
 
 @query(f"with {_CHARS}, {_BOOK} select pos, cast(symbol as integer) as symbol from ch where symbol not in (select symbol from book where length < 4)")
 def huffman_outlier_filter(spark, sf):
     """Symbols beyond a book of the commonest four, by place."""
-    rows = bits.with_offsets(reads(spark, sf), "quality").select("offset", F.posexplode(F.split("quality", "")).alias("i", "c")).where("c <> ''")
-    rows = rows.select((F.col("offset") + F.col("i")).alias("pos"), F.ascii("c").alias("symbol"))
     book = huffman.canonical({ord(c): 2 for c, n in QUALITY_LENGTHS.items() if n < 4})
-    return huffman.without_uncoded(rows, "pos", "symbol", book, ord("I"))[1]
+    return huffman.without_uncoded(reads(spark, sf), "quality", "rec_id", book, ord("I"))[1]
 
 
 @query(f"with {_CHARS}, c as (select symbol, count(*) as n from ch group by 1) select cast(symbol as integer) as symbol, n, cast(row_number() over (order by n, symbol) as integer) as place from c")
@@ -600,39 +613,83 @@ def bitplane_roundtrip(spark, sf):
 # Spline and feedback
 
 
-@query("select 64 * count(*) as n, cast(0 as bigint) as n_bad from embeddings")
+def _spline_sql(select: str) -> str:
+    cells = f"{_E3}, ec as materialized (select cast(x as bigint) as x, cast(y as bigint) as y, z, value from e3), n as (select count(*) as n from embeddings)"
+    return f"with {cells}, {oracles.spline('ec', ('8', '8', 'least(9, (select n from n) - 8 * (c.z // 8))'), EB3, 512, 'sp')} {select}"
+
+
+@query(_spline_sql("select x, y, z, code, round(restored, 9) + 0.0 as restored from sp"))
 def spline3d_roundtrip(spark, sf):
-    a = cube(spark, sf)
-    back = spline.restored(materialize(spline.predicted(a, "value", EB3, 512), "spline"), EB3, 512)
-    bad = F.abs(F.col("value") - F.col("restored")) > 1.001 * EB3
-    return a.join(back, ["x", "y", "z"]).agg(F.count("*").alias("n"), F.count_if(bad | F.col("restored").isNull()).alias("n_bad"))
+    coded = materialize(spline.predicted(cube(spark, sf), "value", EB3, 512), "spline")
+    return coded.select("x", "y", "z", "code").join(spline.restored(coded, EB3, 512), ["x", "y", "z"]).withColumn("restored", F.round("restored", 9) + 0.0)
+
+
+def _fed_back(a: DataFrame, dims: int, eb: float, radius: int) -> DataFrame:
+    coded = materialize(feedback.compressed(a, "value", dims, eb, radius).drop("restored"), "feedback")
+    return feedback.decompressed(coded, dims, eb, radius).drop("outlier").withColumn("restored", F.round("restored", 9) + 0.0)
+
 
+@query(f"with recursive {_EV}, e1 as (select cast(x as bigint) as x, value from ev), {oracles.feedback('e1', (256,), EB1, 512, 'fb')} select x, code, round(restored, 9) + 0.0 as restored from fb")
+def feedback1d_roundtrip(spark, sf):
+    return _fed_back(events(spark, sf), 1, EB1, 512)
 
-@query("select 64 * count(*) as n, cast(0 as bigint) as n_bad from embeddings")
+
+@query(f"with recursive {_E2}, ec as (select cast(x as bigint) as x, y, value from e2), {oracles.feedback('ec', (16, 16), EB2, 8, 'fb')} select x, y, code, round(restored, 9) + 0.0 as restored from fb")
 def feedback2d_roundtrip(spark, sf):
-    a = cells(spark, sf)
-    coded = materialize(feedback.compressed(a, "value", 2, EB2, 64).drop("restored"), "feedback")
-    back = feedback.decompressed(coded, 2, EB2, 64)
-    bad = F.abs(F.col("value") - F.col("restored")) > 1.001 * EB2
-    return a.join(back, ["x", "y"]).agg(F.count("*").alias("n"), F.count_if(bad).alias("n_bad"))
+    return _fed_back(cells(spark, sf), 2, EB2, 8)
 
 
-# Whole pipelines
+@query(f"with recursive {_E3}, ec as (select cast(x as bigint) as x, cast(y as bigint) as y, z, value from e3), {oracles.feedback('ec', (8, 8, 8), EB2, 64, 'fb')} select x, y, z, code, round(restored, 9) + 0.0 as restored from fb")
+def feedback3d_roundtrip(spark, sf):
+    return _fed_back(cube(spark, sf), 3, EB2, 64)
 
 
-@query()
-def fastq_report(spark, sf):
-    return fastq_plan.report(reads(spark, sf))
+@query(f"with {_Q1} select x, d + 512 as code from c")
+def lorenzo_no_outlier(spark, sf):
+    return delta.residuals(events(spark, sf).select("x", "value"), "value", 1, EB1, 512).select("x", "code")
+
+
+@query(f"with {_D2} select cast(x as bigint) as x, y, d from d2")
+def lorenzo_delta_only(spark, sf):
+    return delta.residuals(cells(spark, sf), "value", 2, EB2).select("x", "y", "d")
 
 
-@query(f"""with {_BASES}, n as (select count(*) as n, count(*) filter (where base = 'N') as e from b),
+@query("with r as (select cast(floor((value - 10) / 2) as bigint) as b from events where value between 10 and 50 and value <> 0) select least(b, 19) as bin, count(*) as n, cast(floor(log2(count(*))) as bigint) as log2_n from r group by 1")
+def hist_zoomed(spark, sf):
+    return stats.equal_width(read_table(spark, sf, "events"), "value", 20, 10.0, 50.0, log2=True, drop_zeros=True)
+
+
+# Whole pipelines
+
+
+_PARTS = f"""n as (select count(*) as n, count(*) filter (where base = 'N') as e from b),
 d as (select doc_id - coalesce(lag(doc_id) over (order by doc_id), -1) as dn, 1100 + doc_id // 100 - coalesce(lag(1100 + doc_id // 100) over (order by doc_id), 0) as dt, row_number() over (order by doc_id) as i from documents),
 m as (select case when dn = lag(dn) over (order by i) then 0 else 1 end as n1, case when dt = lag(dt) over (order by i) then 0 else 1 end as n2 from d),
-r as (select 4 + 8 * sum(n1) as a, 4 + 8 * sum(n2) as b, 4 * count(*) as raw from m)
-select part, cast(bytes as bigint) as bytes from (
+r as (select 4 + 8 * sum(n1) as a, 4 + 8 * sum(n2) as b, 4 * count(*) as raw from m),
+parts as (select part, cast(bytes as bigint) as bytes from (
   select 'segment_0_static' as part, 5 as bytes union all select 'segment_1_numeric', least(a, raw) from r union all select 'segment_2_static', 3
   union all select 'segment_3_static', 4 union all select 'segment_4_numeric', least(b, raw) from r union all select 'segment_5_static', 4
-  union all select 'bases', (2 * n + 7) // 8 + 4 * e from n)""")
+  union all select 'bases', (2 * n + 7) // 8 + 4 * e from n))"""
+_QUALITY = f"""px as (select cast(s as integer) as symbol, coalesce(n, 0) + 1 as n from (select unnest(range(256)) as s) left join (select symbol, count(*) as n from ch where pos < (select cast(floor(0.2 * count(*)) as bigint) from ch) group by 1) on s = symbol),
+{oracles.huffman('px', 'bk')}, sub as (select (count(*) + 4095) // 4096 as size from ch),
+cells as (select pos // size as k, (sum(length) + 31) // 32 as ncell from ch, sub, bk where bk.symbol = ch.symbol group by 1)"""
+_REPORT = f"""{_BASES}, {_CHARS[len(_FQ) + 2:]}, {_PARTS}, {_QUALITY},
+every as (select * from parts union all select 'quality', cast(33408 + 4 * sum(ncell) as bigint) from cells),
+sums as (select cast(sum(bytes) + 4 as bigint) as total from every), org as (select cast(sum(strlen(identifier) + strlen(bases) + strlen(plus) + strlen(quality) + 4) as bigint) as original from fq)"""
+
+
+@query(f"with recursive {_REPORT} select * from every union all select 'original', original from org union all select 'total', total from sums union all select 'true_total', total + 8 from sums")
+def fastq_report(spark, sf):
+    return fastq_plan.report(reads(spark, sf))
+
+
+@query(f"with recursive {_REPORT} select original, total, total + 8 as true_total, round(original / total, 9) as ref_ratio, round(original / (total + 8), 9) as true_ratio from org, sums")
+def fastq_ratio(spark, sf):
+    out = fastq_plan.measured(reads(spark, sf))
+    return out.select("original", "total", "true_total", F.round("ref_ratio", 9).alias("ref_ratio"), F.round("true_ratio", 9).alias("true_ratio"))
+
+
+@query(f"with {_BASES}, {_PARTS} select * from parts")
 def fastq_parts(spark, sf):
     """The parts of the report whose sizes are formulas."""
     r = materialize(reads(spark, sf), "records")
@@ -647,15 +704,63 @@ def fastq_roundtrip(spark, sf):
     return fastq_plan.decompress(spark, path)
 
 
+_VARIED = """vr as (
+  select row_number() over (order by doc_id) - 1 as rec_id,
+    case when doc_id % 17 = 0 then 'odd-' || doc_id else '@' || substr(md5(cast(doc_id as varchar)), 1, 3 + cast(doc_id % 5 as integer)) || '.' || (doc_id + 1) || ':7' end as identifier,
+    case when doc_id % 13 = 0 then lower(b) when doc_id % 11 = 0 then replace(b, 'A', 'R') else b end as bases,
+    case when doc_id % 19 = 0 then '+again' else '+' end as plus,
+    substr(translate(md5(cast(doc_id as varchar)), '0123456789abcdef', 'IIIIFFFFDDBB@<:#'), 1, cast(7 * doc_id % 33 as integer)) as quality
+  from (select doc_id, substr(translate(md5(text), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, cast(7 * doc_id % 33 as integer)) as b from documents))"""
+
+
+def varied_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of many lengths, zero too, with odd identifiers, a varying string segment, small letters and ambiguity codes."""
+    r = reads(spark, sf).select("rec_id", (F.regexp_extract("identifier", r"\.(\d+) ", 1).cast("long") - 1).alias("d"), "bases", "quality")
+    md5 = F.md5(F.col("d").cast("string").cast("binary"))
+    name = F.concat(F.lit("@"), F.substring(md5, F.lit(1), (3 + F.col("d") % 5).cast("int")), F.lit("."), F.col("d") + 1, F.lit(":7"))
+    n = (7 * F.col("d") % 33).cast("int")
+    b, q = (F.substring(F.col(c), F.lit(1), n) for c in ("bases", "quality"))
+    return r.select(
+        "rec_id",
+        F.when(F.col("d") % 17 == 0, F.concat(F.lit("odd-"), F.col("d"))).otherwise(name).alias("identifier"),
+        F.when(F.col("d") % 13 == 0, F.lower(b)).when(F.col("d") % 11 == 0, F.replace(b, F.lit("A"), F.lit("R"))).otherwise(b).alias("bases"),
+        F.when(F.col("d") % 19 == 0, "+again").otherwise("+").alias("plus"),
+        q.alias("quality"),
+    )
+
+
+@query(f"with {_VARIED} select * from vr")
+def fastq_varied_roundtrip(spark, sf):
+    path = scratch_path(spark, "fastq")
+    fastq_plan.compress(varied_reads(spark, sf), path)
+    return fastq_plan.decompress(spark, path)
+
+
+@query(f"with {_VARIED}, o as (select *, sum(strlen(bases)) over (order by rec_id) - strlen(bases) as o from vr), b as (select cast(o + i as bigint) as g, substr(bases, i + 1, 1) as base from o, (select unnest(range(32)) as i) where i < strlen(bases)) select g, base from b where base not in ('A', 'C', 'G', 'T')")
+def base_exceptions_varied(spark, sf):
+    return bits.exceptions(varied_reads(spark, sf))
+
+
 def _events_array(spark, sf) -> tuple[DataFrame, tuple[int, int, int]]:
     a = events(spark, sf).select("x", F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "value")
     return a, (read_table(spark, sf, "events").count(), 1, 1)
 
 
-@query()
+_REL = f"""{_EV}, bound as (select (max(value) - min(value)) * 0.001 as eb from events),
+q as (select x, value, cast(round(value / (2.0 * eb)) as bigint) as q, eb from ev, bound),
+d as (select *, q - coalesce(lag(q) over (partition by x // 256 order by x), 0) as d from q),
+c as (select *, case when abs(d) < 512 then d + 512 else 0 end as code, abs(d) >= 512 as outside from d),
+h as (select cast(code as integer) as symbol, count(*) as n from c group by 1)"""
+_REL_BOOK = f"{_REL}, {oracles.huffman('h', 'bk')}"
+
+
+@query(f"""with recursive {_REL_BOOK}, s as (select cast(sum(n) as bigint) as n, cast(sum(n * length) as bigint) as bits, log2(sum(n)) - sum(n * log2(n)) / sum(n) as entropy from h join bk using (symbol)),
+o as (select count(*) filter (where outside) as n_outliers from c)
+select n, n_outliers, n_outliers * 5 > n as too_many, round(entropy, 9) as entropy, bits, (bits + 7) // 8 + 12 * n_outliers as bytes, round(4 * n / ((bits + 7) // 8 + 12 * n_outliers), 9) as cr, round(8 * ((bits + 7) // 8 + 12 * n_outliers) / n, 9) as bitrate from s, o""")
 def array_report(spark, sf):
     a, shape = _events_array(spark, sf)
-    return array_plan.estimate(a, Options(Mode.REL, 1e-3, shape=shape))
+    out = array_plan.estimate(a, Options(Mode.REL, 1e-3, shape=shape))
+    return out.select("n", "n_outliers", "too_many", F.round("entropy", 9).alias("entropy"), "bits", "bytes", F.round("cr", 9).alias("cr"), F.round("bitrate", 9).alias("bitrate"))
 
 
 def _array_roundtrip(spark, sf, options: Options, rank: int) -> DataFrame:
@@ -668,28 +773,49 @@ def _array_roundtrip(spark, sf, options: Options, rank: int) -> DataFrame:
     path = scratch_path(spark, "array")
     array_plan.compress(a, options, path)
     q = array_plan.verify(a, array_plan.decompress(spark, path), shape)
-    eb = array_plan.absolute_bound(a, options)
-    return q.select("n", (F.col("max_abs_err") <= 1.001 * eb).alias("bounded"))
+    return q.select("n", F.round("max_abs_err", 9).alias("max_abs_err"), F.round("mse", 9).alias("mse"), "max_err_idx")
+
 
+_ERR = "count(*) as n, round(max(abs(value - r)), 9) as max_abs_err, round(avg((value - r) * (value - r)), 9) as mse, min(case when abs(value - r) = (select max(abs(value - r)) from e) then idx end) as max_err_idx from e"
 
-@query("select count(*) as n, true as bounded from events")
+
+@query(f"with {_REL}, e as (select value, q * (2.0 * eb) as r, x as idx from c) select {_ERR}")
 def array_roundtrip_1d(spark, sf):
     return _array_roundtrip(spark, sf, Options(Mode.REL, 1e-3), 1)
 
 
-@query("select 64 * count(*) as n, true as bounded from embeddings")
+@query(f"with {_E2}, e as (select value, q * cast({2 * EB2} as double) as r, cast(x + 64 * y as bigint) as idx from e2) select {_ERR}")
 def array_roundtrip_2d(spark, sf):
     return _array_roundtrip(spark, sf, Options(Mode.ABS, EB2, Predictor.ZIGZAG, codec=Codec.BITSHUFFLE), 2)
 
 
-@query("select 64 * count(*) as n, true as bounded from embeddings")
+@query(_spline_sql(f", e as (select value, restored as r, cast(x + 8 * y + 64 * z as bigint) as idx from sp) select {_ERR}"))
 def array_roundtrip_3d(spark, sf):
     return _array_roundtrip(spark, sf, Options(Mode.ABS, EB3, Predictor.SPLINE), 3)
 
 
-@query()
+@query(f"""with recursive {_REL_BOOK}, k as (select x // 16384 as k, sum(length) as nbit, count(*) as n from c join bk on c.code = bk.symbol group by 1),
+p as (select 0 as i, 'header' as part, 128 as bytes union all select 1, 'book', 5 * count(*) from bk union all select 2, 'anchors', 0 union all select 3, 'outliers', 12 * count(*) from c where outside
+  union all select 4, 'codes', sum(4 * ((nbit + 31) // 32) + 4 * ((n + 255) // 256) + 12) from k)
+select part, cast(sum(bytes) over (order by i) - bytes as bigint) as start, cast(bytes as bigint) as bytes, round(bytes / (select sum(bytes) from p), 9) as share from p""")
 def archive_segments(spark, sf):
     a, shape = _events_array(spark, sf)
     path = scratch_path(spark, "array")
     array_plan.compress(a, Options(Mode.REL, 1e-3, shape=shape), path)
-    return array_plan.size_report(spark, path)
+    return array_plan.size_report(spark, path).withColumn("share", F.round("share", 9))
+
+
+@query(f"with {_REL} select x as idx, cast(code as integer) as code from c")
+def dump_quant(spark, sf):
+    a, shape = _events_array(spark, sf)
+    path = scratch_path(spark, "array")
+    array_plan.compress(a, Options(Mode.REL, 1e-3, shape=shape, dump=("hist", "quant")), path)
+    return spark.read.parquet(f"{path}/dump_quant")
+
+
+@query(f"with {_REL} select cast(s as integer) as symbol, coalesce(n, 0) as n from (select unnest(range(1024)) as s) left join h on s = symbol")
+def dump_hist(spark, sf):
+    a, shape = _events_array(spark, sf)
+    path = scratch_path(spark, "array")
+    array_plan.compress(a, Options(Mode.REL, 1e-3, shape=shape, dump=("hist",)), path)
+    return spark.read.parquet(f"{path}/dump_hist")

@@ -57,9 +57,9 @@ def is_numeric(piece: Column) -> Column:
 
 
 def wrapped_int(piece: Column) -> Column:
-    """Base-10 value modulo 2**32 as a signed 32-bit number, and -1 for what is no number."""
-    exact = piece.try_cast("decimal(38,0)")
-    low = F.pmod(exact, F.lit(2**32)).cast("long")
+    """Base-10 value modulo 2**32 as a signed 32-bit number, however many digits there are, and -1 for what is no number."""
+    long = F.lit(0).cast("long")
+    low = F.aggregate(F.split(piece, ""), long, lambda a, c: F.when(c == "", a).otherwise((a * 10 + c.try_cast("int")) % 2**32))
     return F.when(is_numeric(piece), F.when(low >= 2**31, low - 2**32).otherwise(low)).otherwise(-1).cast("int")
 
 

@@ -68,6 +68,12 @@ def quantized(df: DataFrame, value: str, dims: int, eb: float, radius: int = 512
     return res.withColumns({"code": F.when(inside, code).otherwise(0), "outlier": F.when(~inside, F.col("d") if use_zigzag else F.col("d") + radius)})
 
 
+def residuals(df: DataFrame, value: str, dims: int, eb: float, radius: int | None = None, tile: tuple[int, ...] | None = None) -> DataFrame:
+    """df with q and d alone, or, with a radius, the code d + radius of every value: no value is an outlier, so codes may be of any size."""
+    res = lorenzo(df.withColumn("q", prequantize(F.col(value), eb)), "q", dims, "d", tile)
+    return res if radius is None else res.withColumn("code", F.col("d") + radius)
+
+
 def restored(df: DataFrame, dims: int, eb: float, radius: int = 512, use_zigzag: bool = False, tile: tuple[int, ...] | None = None) -> DataFrame:
     """df (place, code, outlier) with q2 and the restored value."""
     inside = unzigzag(F.col("code")) if use_zigzag else F.col("code") - radius

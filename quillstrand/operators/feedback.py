@@ -1,12 +1,13 @@
 """Lorenzo prediction with feedback: each value is predicted from restored neighbours.
 
-The recurrence is serial, so blocks are its unit: values outside a block
-count as zero.  Along the last axis the loop runs in numpy's scalars; blocks run in parallel.
+The recurrence is serial inside a block and values outside a block count as
+zero, so blocks are independent: a task takes many at a time and they go
+through their cells in step, one cell of all blocks after the other.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,47 +16,74 @@ from pyspark.sql import functions as F
 
 from .delta import AXES, TILES
 
+#: Cells that a task works on at a time.
+CELLS = 1 << 20
 
-def run_block(values: np.ndarray, eb: float, radius: int, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0: outlier) and restored values of a 1-, 2- or 3-D block; with codes, values need only hold outliers."""
-    dims = values.ndim
-    pad = np.zeros(tuple(n + 1 for n in values.shape))
+
+def run_blocks(values: np.ndarray, eb: float, radius: int, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (0: outlier) and restored values of blocks of 1 to 3 dimensions, the first axis counting blocks; with codes, values need only hold outliers."""
+    side = values.shape[1:]
+    dims = len(side)
+    # cells come first, so that what all blocks have at a place lies together
+    values, given = np.moveaxis(values, 0, -1), None if codes is None else np.moveaxis(codes, 0, -1)
+    pad = np.zeros((*(n + 1 for n in side), values.shape[-1]))
     made = np.zeros(values.shape, np.int64)
     offsets = [(tuple(-((m >> a) & 1) for a in range(dims)), -((-1) ** m.bit_count())) for m in range(1, 1 << dims)]
-    for at in np.ndindex(values.shape):
+    for at in np.ndindex(*side):
         pred = sum(sign * pad[tuple(i + 1 + o for i, o in zip(at, off, strict=True))] for off, sign in offsets)
-        if codes is None:
+        if given is None:
             steps = (values[at] - pred) / (2 * eb)
-            q = math.floor(abs(steps) + 0.5) * (1 if steps >= 0 else -1)
-            code = q + radius if abs(q) < radius else 0
+            size = np.floor(np.abs(steps) + 0.5)
+            inside = size < radius
+            code = np.where(inside, np.where(steps >= 0, 1, -1) * np.where(inside, size, 0).astype(np.int64) + radius, 0)
         else:
-            code = int(codes[at])
+            code = given[at]
         made[at] = code
-        pad[tuple(i + 1 for i in at)] = pred + (code - radius) * 2 * eb if code else values[at]
-    return made, pad[tuple(slice(1, None) for _ in range(dims))]
+        pad[tuple(i + 1 for i in at)] = np.where(code != 0, pred + (code - radius) * 2 * eb, values[at])
+    return np.moveaxis(made, -1, 0), np.moveaxis(pad[tuple(slice(1, None) for _ in range(dims))], -1, 0)
 
 
 def _apply(df: DataFrame, value: str, code: str | None, dims: int, eb: float, radius: int, tile: tuple[int, ...] | None) -> DataFrame:
     axes, tile = AXES[:dims], tile or TILES[dims]
     tiles = {f"t{a}": F.floor(F.col(a) / t) for a, t in zip(axes, tile, strict=True)}
+    src = df.select(*[F.col(a).cast("long").alias(a) for a in axes], F.col(value).cast("double").alias("v"), *([F.col(code).cast("long").alias("c")] if code else [])).withColumns(tiles)
+    schema = ", ".join(f"{a} long" for a in axes) + ", code long, outlier double, restored double"
 
-    def run(table: pa.Table) -> pa.Table:
-        place = [table.column(a).to_numpy() for a in axes]
-        local = tuple(p - p.min() for p in place)
-        shape = tuple(int(p.max()) + 1 for p in local)
-        v = np.zeros(shape)
-        v[local] = np.nan_to_num(table.column(value).to_numpy(zero_copy_only=False).astype(float))
+    def work(cols: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch:
+        """Whole blocks, numbered by `block`."""
+        local = tuple(p % t for p, t in zip(cols[:dims], tile, strict=True))
+        v = np.zeros((int(block[-1]) + 1, *tile))
+        v[(block, *local)] = np.nan_to_num(cols[dims])
         c = None
         if code:
-            c = np.zeros(shape, np.int64)
-            c[local] = table.column(code).to_numpy()
-        made, out = run_block(v, eb, radius, c)
-        cols = {a: pa.array(p) for a, p in zip(axes, place, strict=True)}
-        exact = made[local] == 0
-        return pa.table({**cols, "code": pa.array(made[local]), "outlier": pa.array(v[local], mask=~exact), "restored": pa.array(out[local])})
+            c = np.zeros(v.shape, np.int64)
+            c[(block, *local)] = cols[dims + 1]
+        made, out = (x[(block, *local)] for x in run_blocks(v, eb, radius, c))
+        return pa.RecordBatch.from_arrays([*(pa.array(p) for p in cols[:dims]), pa.array(made), pa.array(np.nan_to_num(cols[dims]), mask=made != 0), pa.array(out)], names=[*axes, "code", "outlier", "restored"])
 
-    schema = ", ".join(f"{a} long" for a in axes) + ", code long, outlier double, restored double"
-    return df.select(*axes, value, *([code] if code else [])).withColumns(tiles).groupBy(*tiles).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def joined() -> tuple[list[np.ndarray], np.ndarray]:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            change = np.zeros(len(cols[0]), bool)
+            for t in cols[-dims:]:
+                change[1:] |= t[1:] != t[:-1]
+            return cols, np.cumsum(change)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= CELLS:
+                cols, block = joined()
+                whole = int(np.searchsorted(block, block[-1]))  # the last block may go on
+                if whole:
+                    yield work([c[:whole] for c in cols], block[:whole])
+                held = [[c[whole:] for c in cols]]
+        if held:
+            yield work(*joined())
+
+    return src.repartition(*tiles).sortWithinPartitions(*tiles, *axes).mapInArrow(run, schema)
 
 
 def compressed(df: DataFrame, value: str, dims: int, eb: float, radius: int = 512, tile: tuple[int, ...] | None = None) -> DataFrame:

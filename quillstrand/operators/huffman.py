@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .flat import flat, where_bytes
+from .scan import running_sum
+
+#: Symbols of a lane, which decodes on its own.
+LANE = 256
 #: Longest codes of 32-bit and 64-bit words.
 LONGEST = {32: 27, 64: 58}
 
@@ -27,11 +32,6 @@ def histogram(symbols: DataFrame, symbol: str, bins: int, smooth: int = 0) -> Da
     return symbols.sparkSession.range(bins).select(F.col("id").cast("int").alias("symbol")).join(counts, "symbol", "left").select("symbol", (F.coalesce("n", F.lit(0)) + smooth).cast("long").alias("n"))
 
 
-def byte_rows(texts: DataFrame, text: str) -> DataFrame:
-    """(symbol): the bytes of ASCII texts, one row each."""
-    return texts.select(F.explode(F.split(text, "")).alias("c")).where("c <> ''").select(F.ascii("c").alias("symbol"))
-
-
 def byte_histogram(texts: DataFrame, text: str, bins: int = 256, smooth: int = 0, where: Column | None = None) -> DataFrame:
     """The histogram of texts' bytes, counted per batch before anything is shuffled."""
     src = texts.where(where) if where is not None else texts
@@ -39,9 +39,8 @@ def byte_histogram(texts: DataFrame, text: str, bins: int = 256, smooth: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                if x:
-                    total += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+            if b.num_rows:
+                total += np.bincount(flat(b.column(0))[1], minlength=256)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["symbol", "n"])
 
@@ -118,17 +117,37 @@ def chunk_bits(hist_by_chunk: DataFrame, book: DataFrame) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.sum(F.col("n") * F.col("length")).alias("nbit")).withColumn("ncell", F.floor((F.col("nbit") + 31) / 32))
 
 
+def entries(chunks: DataFrame) -> DataFrame:
+    """chunks with the cell at which each begins when they are put after each other."""
+    return running_sum(chunks, "chunk_id", {"entry": F.col("ncell")}, exclusive=True)
+
+
+def chunk_ratio(chunks: DataFrame, symbols: Column, width: int = 32) -> DataFrame:
+    """chunks with their bytes before and after, symbols being `width` bits, and the ratio."""
+    before, after = symbols * (width // 8), 4 * F.col("ncell")
+    return chunks.select("chunk_id", before.alias("original"), after.alias("coded"), (before / after).alias("ratio"))
+
+
+def tuned(n: int, cores: int, lanes: int = 128, unit: int = 256) -> tuple[int, int]:
+    """Symbols of a chunk and number of chunks, so that every core has `lanes` chunks; chunks are whole multiples of `unit`."""
+    share = -(-max(n, 1) // max(1, cores * lanes))
+    size = -(-share // unit) * unit
+    return size, -(-max(n, 1) // size)
+
+
 def archive_size(ncell: Column, pardeg: int = 4096, bins: int = 256, symbol_bytes: int = 1) -> Column:
     """Header, reverse book, two words per chunk and the cells, in bytes."""
     return F.lit(128 + 4 * 64 + symbol_bytes * bins + 8 * pardeg) + 4 * ncell
 
 
-def encode_chunk(symbols: np.ndarray, book: Book) -> tuple[int, bytes]:
-    """Number of bits, and the bits from the highest of each big-endian 32-bit cell on."""
+def encode_chunk(symbols: np.ndarray, book: Book) -> tuple[int, bytes, bytes]:
+    """Number of bits, the bits from the highest of each big-endian 32-bit cell on, and the bit at which each `LANE` symbols begin (32-bit)."""
     top = max(book.codes, default=0) + 1
     code, length = np.zeros(top, np.uint64), np.zeros(top, np.int64)
     for s, (c, n) in book.codes.items():
         code[s], length[s] = c, n
+    if len(symbols) and (symbols.max() >= top or symbols.min() < 0):
+        raise ValueError("a symbol has no code in this book")
     n = length[symbols]
     if (n == 0).any():
         raise ValueError("a symbol has no code in this book")
@@ -137,61 +156,58 @@ def encode_chunk(symbols: np.ndarray, book: Book) -> tuple[int, bytes]:
     # bit j of a code, counted from its end
     back = np.repeat(ends, n) - 1 - np.arange(total)
     bits = (np.repeat(code[symbols], n) >> back.astype(np.uint64)) & np.uint64(1)
-    return total, np.packbits(bits.astype(np.uint8)).tobytes().ljust(-(-total // 32) * 4, b"\0")
-
-
-def decode_chunk(cells: bytes, nbit: int, book: Book) -> list[int]:
-    """Symbols of a chunk, a bit at a time by first codes, several at once through a table."""
-    width = min(12, max(1, book.longest))
-    table: list[tuple[int, int]] = [(-1, 0)] * (1 << width)
-    for s, (c, n) in book.codes.items():
-        if n <= width:
-            table[c << (width - n) : (c + 1) << (width - n)] = [(s, n)] * (1 << (width - n))
-    value, size = int.from_bytes(cells, "big"), len(cells) * 8
-    counts: dict[int, int] = {}
-    for _, n in book.codes.values():
-        counts[n] = counts.get(n, 0) + 1
-    out, at = [], 0
-    step = 1 << 12  # a window of the bits, so that shifts stay short
-    base, window = 0, 0
-    while at < nbit:
-        if not out or at - base > step - 128:
-            base = at
-            window = (value >> max(0, size - base - step)) & ((1 << min(step, size - base)) - 1)
-            have = min(step, size - base)
-        left = have - (at - base)
-        peek = (window >> (left - width) if left >= width else window << (width - left)) & ((1 << width) - 1)
-        s, n = table[peek]
-        if s < 0:
-            n = width
-            while s < 0:
-                n += 1
-                c = (window >> (left - n)) & ((1 << n) - 1)
-                if n in counts and book.first[n] <= c < book.first[n] + counts[n]:
-                    s = book.keys[book.entry[n] + c - book.first[n]]
-        out.append(s)
-        at += n
-    return out
-
-
-def without_uncoded(df: DataFrame, idx: str, symbol: str, book: Book, replacement: int) -> tuple[DataFrame, DataFrame]:
-    """(codes, sparse): symbols that the book lacks replaced, and those symbols by index."""
+    return total, np.packbits(bits.astype(np.uint8)).tobytes().ljust(-(-total // 32) * 4, b"\0"), (ends - n)[::LANE].astype("<u4").tobytes()
+
+
+def decode_chunk(cells: bytes, n: int, marks: bytes, book: Book) -> np.ndarray:
+    """The n symbols of a chunk: all its lanes go in step, a symbol each at a time.
+
+    Left-justified, the codes of a length are a range of their own, and longer
+    ones come lower: the place of what comes next among the ranges tells its length.
+    """
+    at = np.frombuffer(marks, "<u4").astype(np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    most = book.longest
+    sizes = sorted({length for _, length in book.codes.values()}, reverse=True)
+    lowest = np.array([book.first[k] << (most - k) for k in sizes], np.uint64)
+    size, first, entry = np.array(sizes), np.array([book.first[k] for k in sizes], np.int64), np.array([book.entry[k] for k in sizes])
+    keys, word = np.array(book.keys), np.concatenate([np.frombuffer(cells, ">u4").astype(np.uint64), np.zeros(3, np.uint64)])
+    left = np.minimum(np.full(len(at), LANE), n - np.arange(len(at)) * LANE)
+    out = np.zeros((len(at), LANE), np.int64)
+    for step in range(min(n, LANE)):
+        live = len(at) if left[-1] > step else len(at) - 1  # only the last lane may be shorter
+        p = at[:live]
+        cell, shift = p >> 5, (p & 31).astype(np.uint64)
+        ahead = (word[cell] << np.uint64(32) | word[cell + 1]) << shift | word[cell + 2] >> (np.uint64(32) - shift)
+        peek = ahead >> np.uint64(64 - most)
+        k = np.searchsorted(lowest, peek, "right") - 1
+        n_bits = size[k]
+        out[:live, step] = keys[entry[k] + (peek >> (most - n_bits).astype(np.uint64)).astype(np.int64) - first[k]]
+        at[:live] += n_bits
+    return out.ravel()[:n] if left[-1] == LANE else np.concatenate([out[:-1].ravel(), out[-1, : left[-1]]])
+
+
+def without_uncoded(texts: DataFrame, text: str, key: str, book: Book, replacement: int) -> tuple[DataFrame, DataFrame]:
+    """(texts, sparse): bytes that the book lacks replaced, and those bytes by place (pos, symbol)."""
     if replacement not in book.codes:
         raise ValueError("the replacement has no code either")
-    known = F.col(symbol).isin(*book.codes)
-    return df.withColumn(symbol, F.when(known, F.col(symbol)).otherwise(F.lit(replacement))), df.where(~known).select(idx, symbol)
+    uncoded = np.ones(256, bool)
+    uncoded[[s for s in book.codes if s < 256]] = False
+    lacking = "".join(chr(s) for s in np.flatnonzero(uncoded[:128]))
+    return texts.withColumn(text, F.translate(text, lacking, chr(replacement) * len(lacking))), where_bytes(texts, text, key, uncoded)
 
 
 def encoded(texts: DataFrame, text: str, key: str, book: Book, rows_a_chunk: int = 1 << 12) -> DataFrame:
-    """(chunk_id, nbit, ncell, cells, lengths): the bytes of texts in the key's order, by chunks of rows."""
-    schema = "chunk_id long, nbit long, ncell long, cells binary, lengths binary"
+    """(chunk_id, nbit, ncell, cells, marks, lengths): the bytes of texts in the key's order, by chunks of rows."""
+    schema = "chunk_id long, nbit long, ncell long, cells binary, marks binary, lengths binary"
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column(key).to_numpy(), kind="stable")
         values = table.column(text).to_pylist()
         raw = [(values[i] or "").encode() for i in order]
-        nbit, cells = encode_chunk(np.frombuffer(b"".join(raw), np.uint8), book)
-        return pa.table({"chunk_id": table.column("chunk_id")[:1], "nbit": [nbit], "ncell": [len(cells) // 4], "cells": pa.array([cells], pa.binary()), "lengths": pa.array([np.array([len(r) for r in raw], "<u4").tobytes()], pa.binary())})
+        nbit, cells, marks = encode_chunk(np.frombuffer(b"".join(raw), np.uint8), book)
+        return pa.table({"chunk_id": table.column("chunk_id")[:1], "nbit": [nbit], "ncell": [len(cells) // 4], "cells": pa.array([cells], pa.binary()), "marks": pa.array([marks], pa.binary()), "lengths": pa.array([np.array([len(r) for r in raw], "<u4").tobytes()], pa.binary())})
 
     return texts.select(F.floor(F.col(key) / rows_a_chunk).alias("chunk_id"), key, text).groupBy("chunk_id").applyInArrow(run, schema)
 
@@ -201,10 +217,10 @@ def decoded(chunks: DataFrame, book: Book, key: str = "rec_id", text: str = "qua
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, nbit, cells, lengths in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                data = bytes(decode_chunk(cells, nbit, book))
+            for chunk, marks, cells, lengths in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 n = np.frombuffer(lengths, "<u4").astype(np.int64)
                 ends = np.cumsum(n)
+                data = decode_chunk(cells, int(n.sum()), marks, book).astype(np.uint8).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + chunk * rows_a_chunk), pa.array([data[e - m : e].decode() for e, m in zip(ends, n, strict=True)])], names=[key, text])
 
-    return chunks.select("chunk_id", "nbit", "cells", "lengths").mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField(text, T.StringType())]))
+    return chunks.select("chunk_id", "marks", "cells", "lengths").mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField(text, T.StringType())]))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running_sum
+
 BLOCK, WINDOW, LEAST = 4096, 255, 2
 
 
@@ -101,6 +103,12 @@ def expanded(rows: DataFrame, keys: list[str]) -> DataFrame:
     return _map(rows, [*keys, "block_id"], ["flags", "tokens"], lambda f, t: (expand(f, t),), ["data"])
 
 
+def with_offsets(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with the places at which their flags and tokens begin, per `keys`, when all blocks' flags, and all tokens, are put after each other."""
+    sizes = {"flags_at": F.octet_length("flags").cast("long"), "tokens_at": F.octet_length("tokens").cast("long")}
+    return running_sum(rows, order, sizes, by=keys, exclusive=True)
+
+
 def fixed_width(df: DataFrame, segment: str, key: str, width: int, rows_a_block: int = 1 << 14) -> DataFrame:
     """(part, data): a string column as fixed-width bytes filled with zeros, in the key's order, in parts of whole rows."""
     def join(table: pa.Table) -> pa.Table:

@@ -59,7 +59,7 @@ def identical(df: DataFrame, a: str, b: str) -> DataFrame:
 def autocorrelation(df: DataFrame, key: str, value: str, lags: tuple[int, ...] = (1, 2), block: int = 1 << 16) -> DataFrame:
     """Correlation of a column, numbered from 0 by key, with itself shifted.
 
-    The shift is a join on the key, which needs no ordering of the whole column.
+    The shift is a window inside blocks of keys; rows that the block before needs are in both.
     """
     rows = df.select(F.col(key).alias("k"), F.col(value).alias("v"))
     # block windows see the next rows through rows repeated at the block's end
@@ -76,11 +76,16 @@ def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.where(c > 0).agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias("entropy"))
 
 
-def equal_width(df: DataFrame, value: str, bins: int, lo: float, hi: float) -> DataFrame:
-    """Counts by equal-width bins of [lo, hi]; the upper end belongs to the last bin."""
+def equal_width(df: DataFrame, value: str, bins: int, lo: float, hi: float, log2: bool = False, drop_zeros: bool = False) -> DataFrame:
+    """(bin, n): counts by equal-width bins of [lo, hi], which may be a part of the values' range; the upper end belongs to the last bin.
+
+    log2 adds the whole part of the binary logarithm of each count; drop_zeros leaves zero values out.
+    """
     step = (hi - lo) / bins
     at = F.least(F.floor((F.col(value) - lo) / step), F.lit(bins - 1))
-    return df.where(F.col(value).between(lo, hi)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    keep = F.col(value).between(lo, hi)
+    out = df.where(keep & (F.col(value) != 0) if drop_zeros else keep).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return out.withColumn("log2_n", F.floor(F.log2("n"))) if log2 else out
 
 
 def huffman_estimate(hist: DataFrame, book: DataFrame, width: int = 32) -> DataFrame:

@@ -6,6 +6,7 @@ An archive is a folder: ``codes`` (coded chunks), ``outliers``, ``anchors`` (spl
 
 from __future__ import annotations
 
+import functools
 import time
 
 import numpy as np
@@ -43,20 +44,20 @@ def predict(df: DataFrame, options: Options, eb: float, value: str = "value") ->
 def _huffman_chunks(codes: DataFrame, book: huffman.Book) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("idx").to_numpy(), kind="stable")
-        nbit, cells = huffman.encode_chunk(table.column("code").to_numpy()[order], book)
-        return pa.table({"chunk_id": table.column("chunk_id")[:1], "n": [len(order)], "nbit": [nbit], "cells": pa.array([cells], pa.binary())})
+        nbit, cells, marks = huffman.encode_chunk(table.column("code").to_numpy()[order], book)
+        return pa.table({"chunk_id": table.column("chunk_id")[:1], "n": [len(order)], "nbit": [nbit], "cells": pa.array([cells], pa.binary()), "marks": pa.array([marks], pa.binary())})
 
-    return codes.select(F.floor(F.col("idx") / CHUNK).alias("chunk_id"), "idx", "code").groupBy("chunk_id").applyInArrow(run, "chunk_id long, n long, nbit long, cells binary")
+    return codes.select(F.floor(F.col("idx") / CHUNK).alias("chunk_id"), "idx", "code").groupBy("chunk_id").applyInArrow(run, "chunk_id long, n long, nbit long, cells binary, marks binary")
 
 
 def _huffman_codes(chunks: DataFrame, book: huffman.Book) -> DataFrame:
     def run(batches):
         for b in batches:
-            for c, nbit, cells in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                codes = huffman.decode_chunk(cells, nbit, book)
+            for c, n, cells, marks in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                codes = huffman.decode_chunk(cells, n, marks, book)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(codes)) + c * CHUNK), pa.array(codes, pa.int64())], names=["idx", "code"])
 
-    return chunks.select("chunk_id", "nbit", "cells").mapInArrow(run, "idx long, code long")
+    return chunks.select("chunk_id", "n", "cells", "marks").mapInArrow(run, "idx long, code long")
 
 
 def compress(df: DataFrame, options: Options, path: str, value: str = "value") -> dict[str, float]:
@@ -76,6 +77,10 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value") -
     coded.where(F.col("outlier").isNotNull()).select("idx", "outlier").write.parquet(f"{path}/outliers")
     coded.where(F.col("anchor").isNotNull()).select("idx", "anchor").write.parquet(f"{path}/anchors")
     lap("outliers")
+    if "hist" in options.dump:
+        huffman.histogram(coded, "code", options.bins).write.parquet(f"{path}/dump_hist")
+    if "quant" in options.dump:
+        coded.select("idx", F.col("code").cast("int").alias("code")).write.parquet(f"{path}/dump_quant")
     if options.codec is Codec.HUFFMAN:
         book = options.codebook or huffman.build(huffman.histogram(coded, "code", options.bins))
         huffman.book_frame(spark, book).coalesce(1).write.parquet(f"{path}/book")
@@ -116,18 +121,29 @@ def verify(original: DataFrame, restored: DataFrame, shape: tuple[int, int, int]
 
 
 def size_report(spark: SparkSession, path: str) -> DataFrame:
-    """(part, bytes, share) of an archive, by what its rows hold."""
+    """(part, start, bytes, share) of an archive, by what its rows hold; start is where a part would begin in one file of all of them."""
     h = spark.read.parquet(f"{path}/header").first()
     chunks = spark.read.parquet(f"{path}/codes")
-    body = F.octet_length("cells") + 12 if h["codec"] == Codec.HUFFMAN.value else F.octet_length("flags") + F.octet_length("words") + 8
-    parts = chunks.agg(F.sum(body).cast("long").alias("bytes")).withColumn("part", F.lit("codes"))
-    for name, width in (("outliers", 12), ("anchors", 4)):
-        parts = parts.unionByName(spark.read.parquet(f"{path}/{name}").agg((F.count("*") * width).alias("bytes")).withColumn("part", F.lit(name)))
-    if h["codec"] == Codec.HUFFMAN.value:
-        parts = parts.unionByName(spark.read.parquet(f"{path}/book").agg((F.count("*") * 5).alias("bytes")).withColumn("part", F.lit("book")))
-    parts = parts.unionByName(spark.range(1).select(F.lit(128).cast("long").alias("bytes"), F.lit("header").alias("part")))
-    total = parts.agg(F.sum("bytes").alias("total"))
-    return parts.crossJoin(total).select("part", "bytes", (F.col("bytes") / F.col("total")).alias("share"))  # `total` is one row
+    coded = h["codec"] == Codec.HUFFMAN.value
+    body = F.octet_length("cells") + F.octet_length("marks") + 12 if coded else F.octet_length("flags") + F.octet_length("words") + 8
+    parts = [spark.range(1).select(F.lit("header").alias("part"), F.lit(128).cast("long").alias("bytes"))]
+    if coded:
+        parts.append(spark.read.parquet(f"{path}/book").agg((F.count("*") * 5).alias("bytes")).withColumn("part", F.lit("book")))
+    for name, width in (("anchors", 4), ("outliers", 12)):
+        parts.append(spark.read.parquet(f"{path}/{name}").agg((F.count("*") * width).alias("bytes")).withColumn("part", F.lit(name)))
+    parts.append(chunks.agg(F.coalesce(F.sum(body), F.lit(0)).cast("long").alias("bytes")).withColumn("part", F.lit("codes")))
+    rows, at = [], 0
+    for row in functools.reduce(DataFrame.unionByName, [p.withColumn("k", F.lit(k)) for k, p in enumerate(parts)]).orderBy("k").collect():  # five rows
+        rows.append((row["part"], at, row["bytes"]))
+        at += row["bytes"]
+    return spark.createDataFrame([(*r, r[2] / at) for r in rows], "part string, start long, bytes long, share double")
+
+
+def time_report(spark: SparkSession, took: dict[str, float], values: int, width: int = 4) -> DataFrame:
+    """(stage, seconds, gib_per_s) of what `compress` returned; ``total_without_book`` and ``total`` come last."""
+    size = values * width / (1 << 30)
+    rows = [*took.items(), ("total_without_book", sum(t for s, t in took.items() if s != "book")), ("total", sum(took.values()))]
+    return spark.createDataFrame([(s, t, size / t if t else None) for s, t in rows], "stage string, seconds double, gib_per_s double")
 
 
 def estimate(df: DataFrame, options: Options, value: str = "value") -> DataFrame:

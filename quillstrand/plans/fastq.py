@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import bits, huffman, lz, rle, segments
+from ..operators import bits, flat, huffman, lz, rle, segments
 from ..operators.scan import running_sum
 from ..session import materialize
 
@@ -68,10 +69,7 @@ def quality_size(records: DataFrame) -> DataFrame:
     book = huffman.book_frame(records.sparkSession, huffman.build(quality_histogram(records)))
     total = records.agg(F.sum(F.octet_length("quality").cast("long")).alias("t")).first()["t"] or 0
     sublen = max(1, -(-total // PARDEG))
-    rows = running_sum(records.select("rec_id", "quality").withColumn("n", F.octet_length("quality").cast("long")), "rec_id", {"before": F.col("n")}, exclusive=True)
-    chars = rows.select("before", F.posexplode(F.split("quality", "")).alias("i", "c")).where("c <> ''")
-    counts = chars.select(F.floor((F.col("before") + F.col("i")) / sublen).alias("chunk_id"), F.ascii("c").alias("symbol")).groupBy("chunk_id", "symbol").agg(F.count("*").alias("n"))
-    cells = huffman.chunk_bits(counts, book).agg(F.coalesce(F.sum("ncell"), F.lit(0)).alias("ncell"))
+    cells = huffman.chunk_bits(flat.counts_by_chunk(records, "quality", "rec_id", sublen), book).agg(F.coalesce(F.sum("ncell"), F.lit(0)).alias("ncell"))
     return cells.select(F.lit("quality").alias("part"), huffman.archive_size(F.col("ncell"), PARDEG).cast("long").alias("bytes"))
 
 
@@ -95,6 +93,16 @@ def report(records: DataFrame) -> DataFrame:
     return parts.unionByName(original).unionByName(total).unionByName(true)
 
 
+def measured(records: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: original, total and true_total bytes, both ratios, the seconds that the report took and megabytes (2**20) a second."""
+    began = time.time()
+    got = {r["part"]: r["bytes"] for r in report(records).collect()}  # a row per part
+    took = time.time() - began if seconds is None else seconds
+    row = (got["original"] or 0, got["total"], got["true_total"])
+    ratios = tuple(row[0] / x if x else None for x in row[1:])
+    return records.sparkSession.createDataFrame([(*row, *ratios, took, row[0] / (1 << 20) / took)], "original long, total long, true_total long, ref_ratio double, true_ratio double, seconds double, mb_per_s double")
+
+
 def compress(records: DataFrame, path: str) -> None:
     """Write a container from which `decompress` restores the records exactly.
 
@@ -121,9 +129,8 @@ def compress(records: DataFrame, path: str) -> None:
             blocks = lz.compressed(lz.blocks(fixed, "data", ["part"]), ["part"])
             blocks.write.parquet(f"{path}/segment_{s.pos}")
     records.where("plus <> '+'").select("rec_id", "plus").write.parquet(f"{path}/plus")
-    bits.with_offsets(records.select("rec_id", "bases")).select("rec_id", "length", "offset").write.parquet(f"{path}/lengths")
-    bits.packed(records).write.parquet(f"{path}/bases")
-    bits.exceptions(records).write.parquet(f"{path}/base_exceptions")
+    flat.with_offsets(records.select("rec_id", "bases")).select("rec_id", "length", "offset").write.parquet(f"{path}/lengths")
+    bits.blocks(records).write.parquet(f"{path}/bases")
     book = huffman.build(huffman.byte_histogram(records, "quality", smooth=1))
     huffman.book_frame(spark, book).coalesce(1).write.parquet(f"{path}/book")
     huffman.encoded(records, "quality", "rec_id", book).write.parquet(f"{path}/quality")
@@ -160,8 +167,7 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
             pieces.append(F.col(f"v{s.pos}"))
         pieces.append(F.lit(s.delimiter))
     ids = ids.join(read("odd_identifiers"), "rec_id", "left").select("rec_id", F.coalesce("identifier", F.concat(*pieces)).alias("identifier"))
-    total = lengths.agg(F.sum("length").alias("t")).first()["t"] or 0
-    bases = bits.reassembled(bits.unpacked(read("bases"), read("base_exceptions"), total), lengths)
+    bases = bits.reassembled(read("bases"), lengths)
     book = huffman.canonical({r["symbol"]: r["length"] for r in read("book").collect()})
     quality = huffman.decoded(read("quality"), book)
     plus = read("plus").withColumnRenamed("plus", "__plus")

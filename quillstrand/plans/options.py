@@ -39,6 +39,7 @@ class Options:
     radius: int = 512
     shape: tuple[int, int, int] | None = None
     codebook: object = None  # a Book that is used instead of one made from the data
+    dump: tuple[str, ...] = ()  # "hist" and "quant": what else is written next to the archive
 
     @property
     def bins(self) -> int:
@@ -80,9 +81,17 @@ def shape(text: str, slowest_first: bool = False) -> tuple[int, int, int]:
     return tuple(sides + [1] * (3 - len(sides)))
 
 
+def dumps(text: str) -> tuple[str, ...]:
+    """What to dump, with + between: hist, quant or all."""
+    names = ("hist", "quant") if text == "all" else tuple(filter(None, text.split("+")))
+    if set(names) - {"hist", "quant"}:
+        raise ValueError(f"nothing to dump: {text}")
+    return names
+
+
 def parse(text: str) -> Options:
-    """Options from k=v pairs: mode, eb, predictor, hist, codec, radius, shape."""
-    kinds = {"mode": Mode, "predictor": Predictor, "hist": Hist, "codec": Codec, "eb": number, "radius": int, "shape": shape}
+    """Options from k=v pairs: mode, eb, predictor, hist, codec, radius, shape, dump."""
+    kinds = {"mode": Mode, "predictor": Predictor, "hist": Hist, "codec": Codec, "eb": number, "radius": int, "shape": shape, "dump": dumps}
     got = pairs(text)
     unknown = set(got) - set(kinds)
     if unknown:

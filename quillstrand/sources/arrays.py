@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +31,61 @@ def dims(shape: tuple[int, int, int]) -> int:
     return 3 if z > 1 else 2 if y > 1 else 1
 
 
-def read_array(spark: SparkSession, path: str, dtype: str = "<f4", files: str = "*") -> DataFrame:
-    """(file, idx, value) of raw array files.
+def read_array(spark: SparkSession, path: str, dtype: str = "<f4", files: str = "*", whole: int = 1 << 30, part: int = 1 << 26) -> DataFrame:
+    """(file, idx, value) of raw array files of any size.
 
-    Each file is a row of the binaryFile source and is opened in the task that
-    reads it; larger arrays are kept as several files, whose order is given by
-    their names.
+    A file of up to `whole` bytes is a row of the binaryFile source.  A larger
+    one is read in parts of `part` bytes, each opened in the task that reads it
+    through Arrow's file systems, which must know the path's scheme.
     """
     kind = np.dtype(dtype)
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part -= part % kind.itemsize
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
+    small = found.where(F.col("length") <= whole).select("path", "content")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(part).cast("long")))
+    large = found.where(F.col("length") > whole).select("path", "length", starts.alias("at"))
+    schema = f"file string, idx long, value {'double' if kind.kind == 'f' else 'long'}"
+
+    def rows(name: str, first: int, data: bytes) -> Iterator[pa.RecordBatch]:
+        if len(data) % kind.itemsize:
+            raise ValueError(f"{name} is no whole number of {dtype} values")
+        values = np.frombuffer(data, kind)
+        for at in range(0, len(values), 1 << 16):
+            some = values[at : at + (1 << 16)].astype(np.float64 if kind.kind == "f" else np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(np.arange(at, at + len(some)) + first), pa.array(some)], names=["file", "idx", "value"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if len(data) % kind.itemsize:
-                    raise ValueError(f"{name} is no whole number of {dtype} values")
-                values = np.frombuffer(data, kind)
-                for at in range(0, len(values), 1 << 16):
-                    part = values[at : at + (1 << 16)].astype(np.float64 if kind.kind == "f" else np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["file", "idx", "value"])
-
-    return raw.mapInArrow(run, f"file string, idx long, value {'double' if kind.kind == 'f' else 'long'}")
+                yield from rows(name, 0, data)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, length, at in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                system, where = fs.FileSystem.from_uri(name)
+                with system.open_input_file(where) as f:
+                    f.seek(at)
+                    yield from rows(name, at // kind.itemsize, f.read(min(part, length - at)))
+
+    return small.mapInArrow(held, schema).unionByName(large.repartition("path", "at").mapInArrow(opened, schema))
+
+
+def write_array(df: DataFrame, path: str, dtype: str = "<f4", size: int = 1 << 20, idx: str = "idx", value: str = "value") -> None:
+    """One raw file of the values in the index's order.
+
+    Chunks are made in tasks and come to the driver one after the other, which
+    writes them to the path through Hadoop's file systems: one file has one
+    writer.  `chunks` alone is the way to write many at once.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for row in chunks(df, dtype, size, idx, value).orderBy("chunk").toLocalIterator():
+            out.write(bytearray(row["data"]))
+    finally:
+        out.close()
 
 
 def with_place(df: DataFrame, shape: tuple[int, int, int]) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstrand.functions import columns as C
-from quillstrand.operators import bits, bitshuffle, delta, feedback, huffman, lz, rle, segments, sparse, spline, stats
+from quillstrand.operators import bits, flat, bitshuffle, delta, feedback, huffman, lz, rle, segments, sparse, spline, stats
 
 
 def ints(spark, values, col="v"):
@@ -48,8 +48,8 @@ def test_two_bit_packing(spark):
     df = spark.createDataFrame([(0, "ACGTN"), (1, "GGN"), (2, "acR"), (3, "")], "rec_id long, bases string")
     assert bytes(r["byte"] for r in bits.packed(df).orderBy("byte_id").collect()).hex() == "e42800"
     assert [(r["g"], r["base"]) for r in bits.exceptions(df).orderBy("g").collect()] == [(4, "N"), (7, "N"), (8, "a"), (9, "c"), (10, "R")]
-    places = bits.with_offsets(df).select("rec_id", "length", "offset")
-    back = bits.reassembled(bits.unpacked(bits.packed(df), bits.exceptions(df), 11), places)
+    places = flat.with_offsets(df).select("rec_id", "length", "offset")
+    back = bits.reassembled(bits.blocks(df), places)
     assert {r["rec_id"]: r["bases"] for r in back.collect()} == {0: "ACGTN", 1: "GGN", 2: "acR", 3: ""}
 
 
@@ -127,9 +127,9 @@ def test_huffman_limits():
 def test_huffman_round_trip(symbols):
     counts = {s: symbols.count(s) for s in set(symbols)}
     book = huffman.canonical(huffman.code_lengths(counts))
-    nbit, cells = huffman.encode_chunk(np.array(symbols), book)
+    nbit, cells, marks = huffman.encode_chunk(np.array(symbols), book)
     assert nbit == sum(counts[s] * n for s, (_, n) in book.codes.items()) and len(cells) % 4 == 0
-    assert huffman.decode_chunk(cells, nbit, book) == symbols
+    assert huffman.decode_chunk(cells, len(symbols), marks, book).tolist() == symbols
 
 
 def test_long_codes_round_trip():
@@ -138,8 +138,8 @@ def test_long_codes_round_trip():
         fib.append(fib[-1] + fib[-2])
     book = huffman.canonical(huffman.code_lengths(dict(enumerate(fib))))
     symbols = list(range(25)) * 40 + [0] * 50
-    nbit, cells = huffman.encode_chunk(np.array(symbols), book)
-    assert book.longest > 12 and huffman.decode_chunk(cells, nbit, book) == symbols
+    _, cells, marks = huffman.encode_chunk(np.array(symbols), book)
+    assert book.longest > 12 and huffman.decode_chunk(cells, len(symbols), marks, book).tolist() == symbols
 
 
 @given(st.lists(st.integers(0, 1023), max_size=2048))
@@ -196,11 +196,11 @@ def test_spline_bound(spark, shape):
 @pytest.mark.parametrize("dims", [1, 2, 3])
 def test_feedback_bound(dims):
     rng = np.random.default_rng(4)
-    v = np.cumsum(rng.normal(size=(12,) * dims), axis=0)
-    v[(3,) * dims] = 1e6
-    codes, out = feedback.run_block(v, 0.1, 32)
+    v = np.cumsum(rng.normal(size=(5, *(12,) * dims)), axis=1)
+    v[(2, *(3,) * dims)] = 1e6
+    codes, out = feedback.run_blocks(v, 0.1, 32)
     assert np.abs(out - v).max() <= 0.1 * 1.001 and (codes == 0).any()
-    again = feedback.run_block(np.where(codes == 0, v, 0), 0.1, 32, codes)[1]
+    again = feedback.run_blocks(np.where(codes == 0, v, 0), 0.1, 32, codes)[1]
     assert np.array_equal(again, out)
 
 
