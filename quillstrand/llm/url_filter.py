@@ -12,10 +12,17 @@ subdomains if the path starts with the rule's path, and the longest rule that
 fits wins.  Generic rules (``Rule.of``) give a verdict where no host rule fits;
 without any, the URL is allowed.
 
+Rules of the text language (``Rule.parse``, a list, or a table by
+``rules_from``) may have wildcards and anchors: ``*`` is anything, ``^`` a
+separator or the end, ``||`` at the start the host or one of its subdomains, ``|`` at the
+start or end the start or end of host and path; ``@@`` in front makes a rule an
+exception that allows.  Exceptions win over blocking rules, and host rules over both.
+
 Edge cases: a URL that is null or has no ``://`` has an empty host and path,
 and fits no host rule; a rule without tokens is tried on every URL; rules of
 equal rank are taken in their order; input columns named like the results are
-replaced by them.
+replaced by them; a URL of any length is judged whole; repeated rows are judged
+alike; an empty table gives an empty result; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import passed_on
+from ..session import bound_batches
+from ._text import passed_on, strings
 
 TOKEN = re.compile(r"[0-9a-z]+|[^\x00-\x7f]+")
 
@@ -41,7 +49,8 @@ class Rule:
     verdict: str
     rank: int
     tokens: tuple[str, ...]
-    name: str | None = None  # host rules are reported by it
+    name: str | None = None  # host rules and those of the text language are reported by it
+    exact: bool = False  # whether capitals in the path matter
 
     @staticmethod
     def host(rule: str, verdict: str) -> Rule:
@@ -52,7 +61,7 @@ class Rule:
         in_path = TOKEN.findall(path.lower())
         if in_path and TOKEN.match(path.lower()[-1]):
             in_path.pop()
-        return Rule(rf"\A(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", verdict, 1_000 + len(rule), (*whole, *in_path), rule)
+        return Rule(rf"\A(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", verdict, 1_000 + len(rule), (*whole, *in_path), rule, True)
 
     @staticmethod
     def of(words: str, verdict: str = "block") -> Rule:
@@ -61,6 +70,37 @@ class Rule:
         return Rule(r"(?<![0-9a-z])" + "[^0-9a-z]+".join(map(re.escape, parts)) + r"(?![0-9a-z])", verdict, 0, tuple(parts))
 
 
+    @staticmethod
+    def parse(text: str) -> Rule:
+        """A rule of the text language, such as ``||ads.example^``, ``*/track/*.gif|`` or ``@@||example.org/about``."""
+        body = text.removeprefix("@@").lower()
+        allows = body != text.lower()
+        at_host, at_start = body.startswith("||"), body.startswith("|")
+        body = body.removeprefix("||") if at_host else body.removeprefix("|")
+        at_end = body.endswith("|")
+        body = body.removesuffix("|")
+        if not body.strip("*^|"):
+            raise ValueError(f"a rule that says nothing: {text!r}")
+        pattern = "".join(".*" if c == "*" else r"(?:[^0-9a-z_.%-]|$)" if c == "^" else re.escape(c) for c in body)
+        pattern = (r"\A(?:[^/]*\.)?" if at_host else r"\A" if at_start else "") + pattern + (r"\Z" if at_end else "")
+        # a token is certain to be whole in a match if what is next to it in the rule cannot belong to it
+        tokens, edge = [], "|" if at_start or at_host else "*"
+        framed = edge + body + ("|" if at_end else "*")
+        for m in TOKEN.finditer(framed):
+            if framed[m.start() - 1] != "*" and framed[m.end()] != "*":
+                tokens.append(m[0])
+        return Rule(pattern, "allow" if allows else "block", 500 if allows else 100, tuple(tokens), text)
+
+
+def rules_from(table: DataFrame, rule: str = "rule", most: int = 1_000_000) -> list[Rule]:
+    """Rules of the text language from a table; nulls, blanks and comments (``!``) are left out, and more than `most` rules raise an error."""
+    c = F.trim(F.col(f"`{rule}`"))
+    rows = table.select(c.alias("r")).where(c.isNotNull() & (c != "") & ~c.startswith("!")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules, which are more than tasks should carry")
+    return [Rule.parse(r["r"]) for r in sorted(rows)]
+
+
 #: Words of addresses that sell, spam or offend.
 GENERIC = tuple(Rule.of(x) for x in ("cheap pills", "spam farm", "casino", "viagra", "porn", "xxx", "free money", "payday loans", "replica watches", "adult", "betting", "phishing", "malware"))
 
@@ -87,23 +127,29 @@ def split(url: str | None) -> tuple[str, str]:
     return re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), host), path
 
 
-def judge(host: str, path: str, by_token: dict[str, list[tuple[Rule, re.Pattern]]]) -> Rule | None:
-    """The winning rule; an index whose rules are compiled."""
+def judge(host: str, path: str, by_token: dict[str, list[tuple[Rule, re.Pattern]]], tried: list[Rule] | None = None) -> Rule | None:
+    """The winning rule, by an index whose rules are compiled; `tried` gets the rules whose expressions ran."""
     where = host + path
     best = None
     for token in ("", *dict.fromkeys(TOKEN.findall(where.lower()))):
         for rule, pattern in by_token.get(token, ()):
-            if (best is None or rule.rank > best.rank) and pattern.search(where if rule.name else where.lower()):
-                best = rule
+            if best is None or rule.rank > best.rank:
+                if tried is not None:
+                    tried.append(rule)
+                if pattern.search(where if rule.exact else where.lower()):
+                    best = rule
     return best
 
 
 def frequencies(pages: DataFrame, rules: Iterable[Rule], url: str) -> dict[str, int]:
     """How many URLs hold each token of the rules: as many rows as the rules have tokens, at most."""
     wanted = sorted({t for r in rules for t in r.tokens})
+    if not wanted:
+        return {}
+    known = pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string")  # as many rows as rules have tokens
     tokens = F.array_distinct(F.split(F.lower(F.col(f"`{url}`")), r"[\x00-/:-`{-\x7f]+"))
-    rows = pages.select(F.explode(F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted]))).alias("t")) if wanted else None
-    return {r["t"]: r["count"] for r in rows.groupBy("t").count().collect()} if wanted else {}
+    counts = pages.select(F.explode(tokens).alias("t")).join(F.broadcast(known), "t", "left_semi").groupBy("t").count()
+    return {r["t"]: r["count"] for r in counts.collect()}
 
 
 def filter_urls(pages: DataFrame, host_rules: Iterable[tuple[str, str]], generic: Iterable[Rule] = GENERIC, url: str = "url", keep: list[str] | None = None) -> DataFrame:
@@ -115,7 +161,8 @@ def filter_urls(pages: DataFrame, host_rules: Iterable[tuple[str, str]], generic
     rules = [*(Rule.host(r, v) for r, v in host_rules), *generic]
     filed = index(rules, frequencies(pages, rules, url))
     rest = passed_on(pages.columns if keep is None else keep, ("host", "path", "rule", "verdict"))
-    src = pages.select(F.col(f"`{url}`").cast("string").alias("__url"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
+    bound_batches(pages.sparkSession)
+    src = pages.select(F.col(f"`{url}`").cast("string").alias("__url"), F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("__row"))
     names = ["host", "path", "rule", "verdict"]
     schema = T.StructType([src.schema["__row"], *[T.StructField(c, T.StringType()) for c in names]])
 
@@ -123,7 +170,7 @@ def filter_urls(pages: DataFrame, host_rules: Iterable[tuple[str, str]], generic
         ready = {t: [(r, re.compile(r.pattern, re.DOTALL)) for r in rs] for t, rs in filed.items()}
         for batch in batches:
             out = []
-            for x in batch.column(0).to_pylist():
+            for x in strings(batch.column(0)):
                 host, path = split(x)
                 hit = judge(host, path, ready)
                 out.append((host, path, hit.name if hit else None, hit.verdict if hit else "allow"))
