@@ -37,7 +37,7 @@ from ._text import Texts, byte_hashes, mix, passed_on, pieces
 from .quality_rules import LOWER, STEPS, SYMBOLS, UPPER, measure
 
 #: Words that insult.
-INSULTS = "trash pathetic idiot worthless disgusting stupid clown scum loser moron idiots losers clowns morons imbecile garbage filth retard bastard bitch dumb dumbass jerk vermin subhuman freak hateful".split()
+INSULTS = tuple("trash pathetic idiot worthless disgusting stupid clown scum loser moron idiots losers clowns morons imbecile garbage filth retard bastard bitch dumb dumbass jerk vermin subhuman freak hateful".split())
 
 #: The labellers of each aspect; the last is the human label.
 ASPECTS = {
@@ -58,7 +58,7 @@ _EDGE[48:58] = _EDGE[65:91] = _EDGE[97:123] = False
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: most texts that the scorer is trained on; label_rows: most labelled texts that insults are learned from; bits: log2 of its hash space."""
+    """rows: most texts that the scorer is trained on; label_rows: most labelled texts that insults are learned from; bits: log2 of its hash space; insults: the list that one labeller has, which may be empty."""
 
     rows: int = 10_000
     label_rows: int = 20_000
@@ -66,6 +66,7 @@ class Fit:
     least_z: float = 4.0
     epochs: int = 150
     threshold: float = 0.5
+    insults: tuple[str, ...] = INSULTS
 
 
 def tokens(t: Texts) -> np.ndarray:
@@ -90,25 +91,25 @@ class Members:
 
     def __call__(self, words: np.ndarray) -> np.ndarray:
         out = self.high[(words >> np.uint64(48)).astype(np.int64)]
-        at = np.flatnonzero(out)
+        at = np.flatnonzero(out) if len(self.keys) else out[:0]
         if len(at):
             place = np.minimum(np.searchsorted(self.keys, words[at]), len(self.keys) - 1)
             out[at] = self.keys[place] == words[at]
         return out
 
 
-@lru_cache(1)
-def _listed() -> Members:
-    return Members(tokens(Texts(pa.array([" ".join(INSULTS)]))))
+@lru_cache(4)
+def listed_words(insults: tuple[str, ...]) -> Members:
+    return Members(tokens(Texts(pa.array([" ".join(insults)], pa.string()))))
 
 
-def insult_hits(t: Texts, words: np.ndarray, learned: Members) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text that are listed, and that are listed or learned."""
-    listed = _listed()(words)
-    return t.per_word_sum(listed), t.per_word_sum(listed | learned(words))
+def insult_hits(t: Texts, words: np.ndarray, known: tuple[Members, Members]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text that are listed, and that are listed or learned; known: both lists."""
+    listed = known[0](words)
+    return t.per_word_sum(listed), t.per_word_sum(listed | known[1](words))
 
 
-def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: Members) -> dict[str, np.ndarray]:
+def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, known: tuple[Members, Members]) -> dict[str, np.ndarray]:
     """1 bad, -1 good, 0 abstain."""
 
     def by(share: np.ndarray, good: int, bad: int) -> np.ndarray:
@@ -118,7 +119,7 @@ def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: Member
         return some * STEPS // np.maximum(of, 1)
 
     n = m["n_words"]
-    listed, hits = insult_hits(t, words, learned)
+    listed, hits = insult_hits(t, words, known)
     marked = np.concatenate([[0], np.cumsum(SYMBOLS[t.data])])
     echo = np.zeros(len(words), bool)
     echo[1:] = (words[1:] == words[:-1]) & (t.doc[1:] == t.doc[:-1])
@@ -141,13 +142,13 @@ def votes(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: Member
     }
 
 
-def features(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, learned: Members, bits: int, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(t: Texts, m: dict[str, np.ndarray], words: np.ndarray, known: tuple[Members, Members], bits: int, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Text index and bucket of each different feature of each text, in order; `used` tells which buckets are wanted."""
     shift = np.uint64(64 - bits)
     doc, bucket = [t.doc], [(words >> shift).astype(np.int64)]
     shares = ("symbol_share", "dup_line_share", "repeat_share", "shout_share")
     levels = [np.minimum(m[x] * 20 // STEPS, 10) for x in shares]  # twentieths, all from one half on together
-    levels.append(np.minimum(insult_hits(t, words, learned)[1], 3))
+    levels.append(np.minimum(insult_hits(t, words, known)[1], 3))
     for k, level in enumerate(levels):
         doc.append(np.arange(t.n))
         bucket.append(((np.uint64(0x9E3779B97F4A7C15) * (level + 16 * k + 1).astype(np.uint64)) >> shift).astype(np.int64))
@@ -224,14 +225,14 @@ def learn_insults(docs: DataFrame, labels: DataFrame, id_col: str, text: str, fi
     return np.array(sorted(r["w"] for r in found), np.int64).view(np.uint64)
 
 
-def vote_table(docs: DataFrame, labels: DataFrame | None, learned: np.ndarray, id_col: str, text: str) -> DataFrame:
+def vote_table(docs: DataFrame, labels: DataFrame | None, learned: np.ndarray, id_col: str, text: str, insults: tuple[str, ...] = INSULTS) -> DataFrame:
     """Per document: id, sketch and all votes."""
     names = [c for c in LABELLERS if not c.startswith("human")]
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([src.schema["id"], T.StructField("sketch", T.LongType()), *[T.StructField(c, T.ByteType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Members(learned)
+        known = listed_words(insults), Members(learned)
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(1))
@@ -324,7 +325,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None, id_col: str, text: str
     """Steps 1 to 3; the sample's features, at most fit.rows short lists of buckets, come to the driver."""
     bound_batches(docs.sparkSession)
     learned = np.zeros(0, np.uint64) if labels is None else learn_insults(docs, labels, id_col, text, fit)
-    table = materialize(vote_table(docs, labels, learned, id_col, text), "votes")
+    table = materialize(vote_table(docs, labels, learned, id_col, text, fit.insults), "votes")
     post, _ = posteriors(table)
     sample = drawn(table.groupBy("sketch").agg(F.min(F.struct("id", *LABELLERS)).alias("r")), fit.rows).select("r.*")
     soft = {r["id"]: posterior(post, r) for r in sample.collect() if r["id"] is not None}
@@ -333,10 +334,10 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None, id_col: str, text: str
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in soft], T.StructType([T.StructField("__id", docs.schema[id_col].dataType)]))
     src = docs.join(F.broadcast(ids), F.col(f"`{id_col}`") == F.col("__id"), "left_semi").select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("__text"))
-    bits = fit.bits
+    bits, insults = fit.bits, fit.insults
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Members(learned)
+        known = listed_words(insults), Members(learned)
         for batch in batches:
             for part in pieces(batch, "__text"):
                 t = Texts(part.column(1))
@@ -354,13 +355,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray], text: st
     """docs with ``bad_score`` (0 to 1) and ``kept``."""
     w, bias, learned = model
     used = np.flatnonzero(w)
-    used, weight, bits, threshold = used.astype(np.int32), w[used], fit.bits, fit.threshold
+    used, weight, bits, threshold, insults = used.astype(np.int32), w[used], fit.bits, fit.threshold, fit.insults
     rest = passed_on(docs.columns if keep is None else keep, ("bad_score", "kept"))
     src = docs.select(F.col(f"`{text}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"))
     schema = T.StructType([src.schema["__row"], T.StructField("bad_score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, known = np.zeros(1 << bits), Members(learned)
+        full, known = np.zeros(1 << bits), (listed_words(insults), Members(learned))
         full[used] = weight
         for batch in batches:
             for part in pieces(batch, "__text"):
