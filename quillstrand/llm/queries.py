@@ -111,6 +111,34 @@ gone_lists as (select doc_id, list(pos) as ats from gone group by doc_id)
 select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(len(ats), 0) as bigint) as n_removed,
   sha256(array_to_string(case when ats is null then words else [words[j] for j in range(1, len(words) + 1) if not list_contains(ats, j)] end, ' ')) as kept_sha256
 from w left join gone_lists using (doc_id)""",
+    "op7_quality_rules": rf"""
+with d as (
+  select doc_id, lang, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents
+), grams as (select doc_id, i, words[i:i + 2] as g from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from d where len(words) >= 3)
+), again as (select doc_id, i from grams join (select doc_id, g from grams group by all having count(*) > 1) using (doc_id, g)
+), covered as (select doc_id, count(distinct i + k) as n from again, (select unnest(range(3)) as k) group by 1
+), rows as (select doc_id, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w from (select doc_id, unnest(string_split(text, chr(10))) as line from d)
+), lines as (select doc_id, count(*) as n, count(*) - count(distinct line) as dups, count(*) filter (where w <= 2) as short from rows where w > 0 group by 1
+), base as (
+  select doc_id, lang, cast(len(words) as bigint) as n_words, cast(list_sum(list_transform(words, lambda x: length(x))) as bigint) as word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dups, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, coalesce(lines.n, 0) as n_lines, coalesce(short, 0) as short,
+    len(list_filter(words, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 4 and not regexp_matches(x, '[a-z]'))) as shouts
+  from d left join lines using (doc_id) left join covered c using (doc_id)
+), m as (
+  select * replace (coalesce(word_chars, 0) as word_chars), n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    [least(n_symbols * {quality_rules.STEPS} // greatest(n_words, 1), {quality_rules.STEPS}), n_dup_lines * {quality_rules.STEPS} // (greatest(n_lines, 1) + 8), n_repeat_words * {quality_rules.STEPS} // (greatest(n_words, 1) + 40),
+     shouts * {quality_rules.STEPS} // greatest(n_words, 1), short * {quality_rules.STEPS} // greatest(n_lines, 1)] as v from base
+), good as (select doc_id from labels where doc_id is not null and quality is not null group by 1 having min(quality) = 1 and max(quality) = 1
+), seen as (select lang, k, v[k] as x from m semi join good using (doc_id), (select unnest(range(1, 6)) as k) where not base_failed
+), strata as (select count(distinct coalesce('=' || lang, '')) as n from seen
+), sizes as (select lang, k, count(*) as n from seen group by 1, 2
+), over as (select lang, k, n, c, (select count(*) from seen s where s.lang is not distinct from sizes.lang and s.k = sizes.k and s.x > c) as a from sizes, (select unnest(range({quality_rules.STEPS})) as c)
+), judged as (
+  select lang, k, c, o.n > 0 and a <= 0.01 * o.n and (select sum(exp(lgamma(o.n + 1) - lgamma(i + 1) - lgamma(o.n - i + 1) + i * ln(0.01) + (o.n - i) * ln(0.99))) from (select unnest(range(a + 1)) as i)) <= 0.05 / (5 * strata.n) as passes
+  from (select lang, k, c, n, a from over) o, strata
+), cutoffs as (select lang, k, coalesce(max(case when not passes then c end) + 1, 0) as cut from judged group by 1, 2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not exists (select 1 from cutoffs c where c.lang is not distinct from m.lang and c.cut < {quality_rules.STEPS} and m.v[c.k] > c.cut) as kept from m""",
     "op9_warc": """
 with p as (select page_id, coalesce(html, '') as body from pages),
 d as (select page_id, strlen(body) as n, sha1(body) as h, min(page_id) over (partition by body) as first from p),
