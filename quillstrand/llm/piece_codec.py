@@ -186,6 +186,8 @@ class Codec:
         self.parent: list[tuple[int, int]] = []  # node and decision
         self.root_word: dict[int, str] = {}
         self.leaf_ids: list[tuple[int, ...]] = []
+        #: The same after each other, with their places and sizes.
+        self.leaf_flat = self.leaf_at = self.leaf_size = np.zeros(0, np.int64)
 
     def _node(self, parent: int, skipped: int) -> int:
         i = self.n_nodes
@@ -279,27 +281,38 @@ class Codec:
                 out.extend([self.bytes_id[b] for b in p.encode()])
         return tuple(out)
 
-    def merge_all(self, words: list[str], keys: np.ndarray) -> list[tuple[int, ...]]:
-        """Ids of chunks by their keys, running the agendas of many at a time.
+    def merge_all(self, words: list[str], which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Agendas of words[w] for w in which, by their keys, many at a time: ids after each other, and where each one's begin and how many they are.
 
         A row of an array is a chunk; its symbols keep the place of their first
         character, and each round takes the best candidate of every row.
-        Long chunks, and those with a character that is no piece, go one by one.
+        A character that is no piece is a symbol under -1, which merges with
+        nothing and becomes bytes.  Long chunks go one by one.
         """
-        out: list[tuple[int, ...] | None] = [None] * len(words)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if 1 < len(w) <= LONG:
-                by.setdefault(8 if len(w) <= 8 else 16 if len(w) <= 16 else LONG, []).append(i)
-        for width, some in by.items():
-            for at in range(0, len(some), 1 << 15):
-                part = some[at : at + (1 << 15)]
-                for i, ids in self._merge_rows([words[i] for i in part], keys[part], width):
-                    out[part[i]] = ids
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = self._ids((self._merge_long if len(w) > LONG else self._merge_short)(w, int(keys[i])))
-        return out
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.cumsum(size) - size
+        place = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
+        symbols = np.where(self.chars[place] == codes, self.char_id[place], -2 - codes)
+        flat, start, n = [], np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        done = 0
+        own = size[which]
+        plain = own <= LONG
+        for low, width in ((0, 8), (8, 16), (16, LONG)):
+            some = np.flatnonzero(plain & (own > low) & (own <= width))
+            for k in range(0, len(some), 1 << 15):
+                part = some[k : k + (1 << 15)]
+                ids, count = self._with_bytes(*self._merge_rows(ragged(symbols, at, size, which[part]), own[part], keys[part], width))
+                flat.append(ids)
+                start[part], n[part] = done + np.cumsum(count) - count, count
+                done += len(ids)
+        for i in np.flatnonzero(~plain).tolist():
+            w = words[which[i]]
+            ids = np.array(self._ids((self._merge_long if len(w) > LONG else self._merge_short)(w, int(keys[i]))), np.int64)
+            flat.append(ids)
+            start[i], n[i] = done, len(ids)
+            done += len(ids)
+        return np.concatenate([np.zeros(0, np.int64), *flat]), start, n
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the piece that two symbols make, or _NONE."""
@@ -307,17 +320,10 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_rank[at], _NONE)
 
-    def _merge_rows(self, words: list[str], seeds: np.ndarray, width: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """Place and ids of the chunks all of whose characters are pieces."""
-        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        size = np.array([len(w) for w in words])
-        place = np.minimum(np.searchsorted(self.chars, text), len(self.chars) - 1)
-        known = self.chars[place] == text
-        inside = np.arange(width)[None, :] < size[:, None]
-        sym = np.full((len(words), width), -1, np.int64)
-        sym[inside] = np.where(known, self.char_id[place], -2)
-        good = ~(sym == -2).any(1)
-        sym, size, seeds, places = sym[good], size[good], seeds[good], np.flatnonzero(good).tolist()
+    def _merge_rows(self, symbols: np.ndarray, size: np.ndarray, seeds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, whose characters' ids come after each other, and how many each has."""
+        sym = np.full((len(size), width), -1, np.int64)
+        sym[np.arange(width)[None, :] < size[:, None]] = symbols
         rows, last = np.arange(len(sym)), width
         after = np.tile(np.arange(1, width + 1), (len(sym), 1))
         after[rows, size - 1] = last
@@ -350,12 +356,22 @@ class Codec:
             b = before[r, i]
             on = b >= 0
             agenda[r[on], b[on]] = self._pair(sym[r[on], b[on]], sym[r[on], i[on]])
-        alive = sym >= 0
-        ids, ends = sym[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
-        a = 0
-        for i, b in zip(places, ends, strict=True):
-            yield i, tuple(ids[a:b])
-            a = b
+        alive = sym != -1
+        return sym[alive], alive.sum(1)
+
+    def _with_bytes(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each chunk has, with the bytes of characters that are no pieces in their place."""
+        strange = ids < -1
+        if not strange.any():
+            return ids, count
+        found, which = np.unique(ids[strange], return_inverse=True)
+        raw = [[self.bytes_id[b] for b in chr(-2 - c).encode("utf-8", "surrogatepass")] for c in found.tolist()]
+        size = np.ones(len(ids), np.int64)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        size[strange] = lengths[which]
+        out = np.repeat(ids, size)
+        out[np.repeat(strange, size)] = ragged(np.array(list(chain.from_iterable(raw))), np.cumsum(lengths) - lengths, lengths, which)
+        return out, np.bincount(np.repeat(np.arange(len(count)), count), size, len(count)).astype(np.int64)
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of a text; the empty one is a mark of the text's own."""
@@ -381,16 +397,16 @@ class Codec:
         """Ids of several texts, put together by place."""
         if len(self.leaf_ids) > self.LEAVES:
             self._drop_trees()
-        number: dict[str, int] = {}
-        place, variant, bounds = [], [], [0]
+        own, numbers, bounds = [], [], [0]
         for t, k in zip(texts, keys, strict=True):
-            own = self.chunks(t) if t else []
-            place += [number.setdefault(w, len(number)) for w in own]
-            variant.append(self.variants(len(own), k))
-            bounds.append(len(place))
-        if not place:
+            some = self.chunks(t) if t else []
+            own += some
+            numbers.append(self.variants(len(some), k))
+            bounds.append(len(own))
+        if not own:
             return [np.zeros(0, np.int64)] * len(texts)
-        words, at_word, key = list(number), np.array(place, np.int64), self.draws(np.concatenate(variant))
+        coded = pa.array(own, pa.string()).dictionary_encode()
+        words, at_word, key = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), self.draws(np.concatenate(numbers))
         root = np.full(len(words), -1, np.int64)
         for i, (w, n) in enumerate(zip(words, np.bincount(at_word).tolist(), strict=True)):
             if w in self.roots:
@@ -400,22 +416,30 @@ class Codec:
         leaf = root[at_word]
         walked = np.flatnonzero(leaf >= 0)
         leaf[walked] = self._walk(leaf[walked], key[walked])
-        walked, rest = np.flatnonzero(leaf >= 0), np.flatnonzero(leaf < 0)
-        used, leaf_of = np.unique(leaf[walked], return_inverse=True)
-        marks, other = [], []
-        for i, w in zip(rest.tolist(), at_word[rest].tolist(), strict=True):
-            (other if words[w] else marks).append(i)
-        found = [self.leaf_ids[i] for i in used.tolist()] + [self.marks] + self.merge_all([words[w] for w in at_word[other].tolist()] if other else [], key[other] if other else key[:0])
-        which = np.empty(len(at_word), np.int64)
-        which[walked] = leaf_of
-        which[marks] = len(used)
-        which[other] = len(used) + 1 + np.arange(len(other))
-        flat = np.array(list(chain.from_iterable(found)), np.int64)
-        size = np.array(list(map(len, found)))
-        ids = ragged(flat, np.cumsum(size) - size, size, which)
-        at = np.concatenate([[0], np.cumsum(size[which])])[bounds]
+        self._sync_leaves()
+        n_leaves = len(self.leaf_size)
+        which = leaf.copy()
+        rest = np.flatnonzero(leaf < 0)
+        mark = np.array([not w for w in words])[at_word[rest]]
+        other = rest[~mark]
+        flat, start, size = self.merge_all(words, at_word[other], key[other])
+        which[rest[mark]] = n_leaves
+        which[other] = n_leaves + 1 + np.arange(len(other))
+        base = len(self.leaf_flat) + len(self.marks)
+        starts, sizes = np.concatenate([self.leaf_at, [len(self.leaf_flat)], base + start]), np.concatenate([self.leaf_size, [len(self.marks)], size])
+        ids = ragged(np.concatenate([self.leaf_flat, self.marks, flat]), starts, sizes, which)
+        at = np.concatenate([[0], np.cumsum(sizes[which])])[bounds]
         return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
+    def _sync_leaves(self) -> None:
+        """Put the ids of new leaves after those of the known ones."""
+        new = self.leaf_ids[len(self.leaf_size) :]
+        if new:
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            self.leaf_at = np.concatenate([self.leaf_at, len(self.leaf_flat) + np.cumsum(size) - size])
+            self.leaf_size = np.concatenate([self.leaf_size, size])
+            self.leaf_flat = np.concatenate([self.leaf_flat, np.fromiter(chain.from_iterable(new), np.int64, int(size.sum()))])
+
     def decode(self, ids) -> str:
         """The text whose ids these are."""
         return self.decode_all([np.asarray(ids, np.int64)])[0].decode()
