@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scan import dense_id
+from ..session import materialize
 
 
 def read_lines(spark: SparkSession, path: str, strip_cr: bool = False) -> DataFrame:
@@ -26,25 +32,81 @@ def read_lines(spark: SparkSession, path: str, strip_cr: bool = False) -> DataFr
     return out.select("file", (F.col("lines0") + F.col("k") - 1).alias("line_no"), (F.col("bytes0") + F.col("sum") - F.col("bytes")).alias("start"), (F.col("bytes") - 1).alias("length"), line.alias("line"))
 
 
-def check_whole(spark: SparkSession, path: str) -> None:
-    """Raise unless every file has a multiple of four lines and ends with a line feed."""
-    rows = spark.read.option("lineSep", "\n").text(path).groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("n"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))
+def _splits(raw: DataFrame) -> DataFrame:
+    """A row per split: its lines and bytes, the first of its row numbers, and the lines of the file before it."""
+    sums = raw.groupBy("file", "split").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line").cast("long") + 1).alias("bytes"), F.min("nth").alias("first"), F.max("size").alias("size"))
+    before = Window.partitionBy("file").orderBy("split")
+    return materialize(sums.withColumn("lines0", F.sum("lines").over(before) - F.col("lines")), "splits")
+
+
+def _raise_unless_whole(splits: DataFrame) -> None:
+    rows = splits.groupBy("file").agg(F.sum("lines").alias("n"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
     bad = rows.where((F.col("n") % 4 != 0) | (F.col("bytes") != F.col("size"))).limit(1).collect()
     if bad:
         raise ValueError(f"{bad[0]['file']} has {bad[0]['n']} lines and {bad[0]['size']} bytes: not a whole FASTQ file of four-line records")
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, size, nth, line): nth numbers the lines of a task without gaps, so those of a split too."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line"))
+
+
+def check_whole(spark: SparkSession, path: str) -> None:
+    """Raise unless every file has a multiple of four lines and ends with a line feed."""
+    _raise_unless_whole(_splits(_raw(spark, path)))
+
+
 def assemble(lines: DataFrame) -> DataFrame:
-    """Records from lines: (file, rec_id, identifier, bases, plus, quality) by line number."""
+    """Records from lines in any order: (file, rec_id, identifier, bases, plus, quality) by line number."""
     role = F.col("line_no") % 4
     pick = lambda k: F.max(F.when(role == k, F.col("line")))
     return lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("rec_id")).agg(pick(0).alias("identifier"), pick(1).alias("bases"), pick(2).alias("plus"), pick(3).alias("quality"))
 
 
-def read_fastq(spark: SparkSession, path: str, strip_cr: bool = False, check: bool = True) -> DataFrame:
+def _in_order(lines: DataFrame) -> DataFrame:
+    """Records from (file, line_no, line) that come in order, a multiple of four for each split."""
+    names = ["file", "rec_id", "identifier", "bases", "plus", "quality"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            n = table.num_rows // 4 * 4
+            rest = next(iter(table.slice(n).to_batches()), None)
+            if not n:
+                continue
+            number = table.column(1).to_numpy()[:n]
+            if (number.reshape(-1, 4) - number[::4, None] != np.arange(4)).any() or (number[::4] % 4).any():
+                raise ValueError("lines out of order")
+            at = pa.array(np.arange(0, n, 4))
+            parts = [table.column(2).take(pc.add(at, k)) for k in range(4)]
+            out = pa.table([table.column(0).take(at), pa.array(number[::4] // 4), *parts], names=names)
+            yield from out.combine_chunks().to_batches()
+
+    return lines.mapInArrow(run, "file string, rec_id long, identifier string, bases string, plus string, quality string")
+
+
+def read_fastq(spark: SparkSession, path: str, strip_cr: bool = False, check: bool = True, most: int = 100_000) -> DataFrame:
+    """(file, rec_id, identifier, bases, plus, quality) of FASTQ files of any size.
+
+    One pass counts the lines of every split.  Those counts, a row per split, are
+    broadcast while there are at most `most`; lines then get their numbers
+    where they are, and only records that a split's border cuts are moved.
+    Beyond, all lines meet by their numbers.
+    """
+    raw = _raw(spark, path)
+    splits = _splits(raw)
     if check:
-        check_whole(spark, path)
-    return assemble(read_lines(spark, path, strip_cr))
+        _raise_unless_whole(splits)
+    line = F.regexp_replace("line", "\r$", "") if strip_cr else F.col("line")
+    where = splits.select("file", "split", "first", "lines0", "lines")
+    if splits.count() > most:
+        met = raw.join(where, ["file", "split"])
+        return assemble(met.select("file", (F.col("lines0") + F.col("nth") - F.col("first")).alias("line_no"), line.alias("line")))
+    numbered = raw.join(F.broadcast(where), ["file", "split"]).withColumn("line_no", F.col("lines0") + F.col("nth") - F.col("first"))
+    inner = (F.col("line_no") >= F.ceil(F.col("lines0") / 4) * 4) & (F.col("line_no") < F.floor((F.col("lines0") + F.col("lines")) / 4) * 4)
+    columns = ["file", "line_no", line.alias("line")]
+    return _in_order(numbered.where(inner).select(*columns)).unionByName(assemble(numbered.where(~inner).select(*columns)))
 
 
 def write_fastq(records: DataFrame, path: str) -> None:

@@ -50,6 +50,52 @@ def test_fastq_files(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path / "d.fastq"), strip_cr=True).first()["bases"] == "AC"
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_records_over_the_borders_of_splits(spark, tmp_path, most):
+    reads = [(f"@r{i}", "ACGT" * (i % 23), "+", "IIII" * (i % 23)) for i in range(3000)]
+    for name in "ab":
+        write(tmp_path / f"{name}.fastq", reads)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9973")
+    try:
+        got = fastq.read_fastq(spark, str(tmp_path), most=most).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name in "ab":
+        assert [tuple(r)[2:] for r in sorted((r for r in got if r["file"].endswith(f"{name}.fastq")), key=lambda r: r["rec_id"])] == reads
+
+
+def test_large_files_are_read_in_parts(spark, tmp_path):
+    v = np.arange(5000, dtype="<f4")
+    (tmp_path / "a.f32").write_bytes(v.tobytes())
+    df = arrays.read_array(spark, str(tmp_path / "a.f32"), whole=1000, part=4096)
+    assert [(r["idx"], r["value"]) for r in df.orderBy("idx").collect()] == list(enumerate(v.tolist()))
+    arrays.write_array(df, "file://" + str(tmp_path / "b.f32"), size=700)
+    assert (tmp_path / "b.f32").read_bytes() == v.tobytes()
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.fastq", READS)
+    ingest.write_stream(ingest.read_stream(spark, str(tmp_path / "in"), whole=10), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [tuple(r)[2:] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("rec_id").collect()] == READS
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillstrand.__main__ import main
+
+    write(tmp_path / "a.fastq", READS)
+    assert main(["fastq", "compress", str(tmp_path / "a.fastq"), str(tmp_path / "c")]) == 0
+    assert main(["fastq", "decompress", str(tmp_path / "c"), str(tmp_path / "t")]) == 0
+    assert fastq.read_fastq(spark, str(tmp_path / "t"), check=False).count() == len(READS)
+    v = np.sin(np.arange(600) / 30).astype("<f4")
+    (tmp_path / "v.f32").write_bytes(v.tobytes())
+    assert main(["array", "compress", str(tmp_path / "v.f32"), str(tmp_path / "z"), "-o", "mode=abs,eb=1e-3,dump=all", "-l", "600"]) == 0
+    assert main(["array", "decompress", str(tmp_path / "z"), "file://" + str(tmp_path / "w.f32"), "--compare", str(tmp_path / "v.f32")]) == 0
+    assert np.abs(np.fromfile(tmp_path / "w.f32", "<f4") - v).max() <= 1.01e-3
+    assert spark.read.parquet(str(tmp_path / "z" / "dump_quant")).count() == 600 and spark.read.parquet(str(tmp_path / "z" / "dump_hist")).count() == 1024
+    assert main(["array", "report", str(tmp_path / "v.f32"), "-o", "mode=abs,eb=1e-3", "-l", "600"]) == 0
+    out = capsys.readouterr().out
+    assert "true_ratio" in out and "gib_per_s" in out and "bitrate" in out
+
+
 def test_container_restores_odd_reads(spark, tmp_path):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(READS)], "rec_id long, identifier string, bases string, plus string, quality string")
     fastq_plan.compress(df, str(tmp_path / "c"))
