@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .centroids import Centroids
+from .collocations import Phrases
 
 
 def centroid_sql(spec: Centroids = Centroids()) -> str:
@@ -24,3 +25,24 @@ def centroid_sql(spec: Centroids = Centroids()) -> str:
     return f"""with {', '.join(steps)}
 select vec_id, cast(n.c as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by n.c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
   sha256(array_to_string(z.e, ',')) as centroid_sha256 from n join v using (r) join c{spec.rounds} z on z.c = n.c"""
+
+
+def phrase_sql(spec: Phrases = Phrases()) -> str:
+    """Every phrase of every piece, counted."""
+    return rf"""with d as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+), p as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)
+), words as (select lang, cast(sum(len(ws)) as bigint) as n from p group by 1
+), g as materialized (
+  select lang, ws[i:i + k - 1] as ph, count(*) as f from (select lang, k, ws, unnest(range(1, len(ws) - k + 2)) as i from p, (select unnest(range(1, {spec.longest + 1})) as k) where len(ws) >= k) group by 1, 2 having count(*) >= {spec.least}
+), cand as (select lang, ph, f as a, len(ph) as k from g where len(ph) > 1
+), cuts as (
+  select c.lang, c.ph, c.a, j, x.f as l, y.f as r, cast((cast({spec.scale} as hugeint) * c.a) // (x.f + y.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from cand) c join g x on x.lang = c.lang and x.ph = c.ph[1:j] join g y on y.lang = c.lang and y.ph = c.ph[j + 1:]
+), best as (select * from cuts qualify row_number() over (partition by lang, ph order by score, j) = 1
+), inner_ph as (
+  select lang, ph[i:i + m - 1] as ph, max(a) as longer from (select lang, ph, a, k, m, unnest(range(1, k - m + 2)) as i from cand, (select unnest(range(2, {spec.longest})) as m) where m < k) group by 1, 2
+), kept as (select best.* from best left join inner_ph using (lang, ph) where longer is null or 100 * cast(longer as hugeint) < {spec.inside} * cast(a as hugeint)
+), ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(ph, ' ')) as rank, array_to_string(ph, ' ') as phrase, a, l, r, score from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join words using (lang) where rank <= {spec.top}"""

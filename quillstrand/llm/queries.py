@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table, scratch_path
-from . import centroids, chat, oracles, packing, piece_codec, quality_rules, simhash, sketches, substring, topk, url_filter, warc, weak_quality
+from . import centroids, chat, collocations, oracles, packing, piece_codec, quality_rules, simhash, sketches, substring, topk, url_filter, warc, weak_quality
 
 #: The rules that the URL query judges by.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -71,11 +71,15 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.judged(read_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash, op4_quality_classifier, op5_topk, op6_substring_dedup, op7_quality_rules, op8_sentencepiece, op9_warc, op10_chat_format, op11_fingerprints, op13_kmeans)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_simhash, op4_quality_classifier, op5_topk, op6_substring_dedup, op7_quality_rules, op8_sentencepiece, op9_warc, op10_chat_format, op11_fingerprints, op12_collocations, op13_kmeans)}
 
 _GENERIC = "|".join(r.pattern for r in url_filter.GENERIC).replace(r"(?<![0-9a-z])", r"(?:^|[^0-9a-z])").replace(r"(?![0-9a-z])", r"(?:[^0-9a-z]|$)")
 
@@ -155,5 +159,6 @@ b as (
 )
 select page_id, n as payload_bytes, digest as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id = first then null else first end as refers_to from b""",
+    "op12_collocations": oracles.phrase_sql(),
     "op13_kmeans": oracles.centroid_sql(),
 }
