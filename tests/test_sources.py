@@ -6,7 +6,7 @@ import pytest
 from quillstrand.plans import arrays as array_plan
 from quillstrand.plans import fastq as fastq_plan
 from quillstrand.plans import options
-from quillstrand.sources import arrays, fastq
+from quillstrand.sources import arrays, fastq, files
 from quillstrand.streaming import ingest
 
 READS = [
@@ -50,6 +50,68 @@ def test_fastq_files(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path / "d.fastq"), strip_cr=True).first()["bases"] == "AC"
 
 
+def test_rows_stay_when_settings_change_between_planning_and_running(spark, tmp_path):
+    write(tmp_path / "a.fastq", [(f"@r{i}", "ACGT" * (i % 23), "+", "@+!I" * (i % 23)) for i in range(20_000)])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for one, two in (("100000", "150000"), ("150000", "100000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", one)
+            frames = [fastq.read_fastq(spark, str(tmp_path), range_bytes=int(one)), files.registered(spark, fastq.Fastq).read.format("fastq").option("rangeBytes", one).load(str(tmp_path))]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", two)
+            for df in frames:
+                got = df.select("identifier", "bases", "plus", "quality").collect()
+                assert sorted(map(tuple, got)) == sorted((f"@r{i}", "ACGT" * (i % 23), "+", "@+!I" * (i % 23)) for i in range(20_000))
+            ids = sorted((r["rec_id"], r["identifier"]) for r in frames[0].collect())
+            assert ids == [(i, f"@r{i}") for i in range(20_000)]
+            assert frames[1]._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("line", ["+", "", "@+\n+"])
+def test_marks_that_do_not_tell_records(spark, tmp_path, line):
+    """Lines that could begin anywhere in a record, or nowhere."""
+    lines = ([f"{line}"] * 8 + [f"x{i}" for i in range(4)]) * 60 if line != "" else [f"no mark {i}" for i in range(800)]
+    lines = "\n".join(lines).split("\n")
+    lines = lines[: len(lines) // 4 * 4]
+    (tmp_path / "a.fastq").write_text("\n".join(lines) + "\n")
+    want = [tuple(lines[i : i + 4]) for i in range(0, len(lines), 4)]
+    for size in (90, 333, 1 << 20):
+        got = fastq.read_fastq(spark, str(tmp_path / "a.fastq"), range_bytes=size).orderBy("rec_id").collect()
+        assert [tuple(r)[2:] for r in got] == want
+
+
+def test_packed_files_bad_bytes_and_missing_lines(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "p").mkdir()
+    with gzip.open(tmp_path / "p" / "a.fastq.gz", "wt") as f:
+        f.write("\n".join("\n".join(r) for r in READS) + "\n")
+    assert [tuple(r)[2:] for r in fastq.read_fastq(spark, str(tmp_path / "p"), range_bytes=9).orderBy("rec_id").collect()] == READS
+    (tmp_path / "b.fastq").write_bytes(b"@\xff\nAC\n+\nII\n@2\nA")
+    with pytest.raises(ValueError, match="not a whole FASTQ"):
+        fastq.read_fastq(spark, str(tmp_path / "b.fastq"))
+    with pytest.raises(Exception, match="not a whole FASTQ"):
+        files.registered(spark, fastq.Fastq).read.format("fastq").load(str(tmp_path / "b.fastq")).count()
+    got = fastq.read_fastq(spark, str(tmp_path / "b.fastq"), check=False).orderBy("rec_id").collect()
+    assert [tuple(r)[2:] for r in got] == [("@\ufffd", "AC", "+", "II"), ("@2", "A", None, None)]
+
+
+def test_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    reads = [(f"@r{i}", "ACGT" * (i % 23), "+", "IIII" * (i % 23)) for i in range(2000)]
+    write(tmp_path / "a.fastq", reads)
+    monkeypatch.setattr(files, "openable", lambda path: False)
+    got = fastq.read_fastq(spark, str(tmp_path)).orderBy("rec_id").collect()
+    assert [tuple(r)[2:] for r in got] == reads
+
+
+def test_one_numbering_over_files(spark, tmp_path):
+    for k, name in enumerate("cab"):
+        write(tmp_path / f"{name}.fastq", [(f"@{name}{i}", "A", "+", "I") for i in range(k + 1)])
+    got = fastq.numbered_over_files(fastq.read_fastq(spark, str(tmp_path))).orderBy("rec_id").collect()
+    assert [(r["rec_id"], r["identifier"]) for r in got] == [(0, "@a0"), (1, "@a1"), (2, "@b0"), (3, "@b1"), (4, "@b2"), (5, "@c0")]
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_records_over_the_borders_of_splits(spark, tmp_path, most):
     reads = [(f"@r{i}", "ACGT" * (i % 23), "+", "IIII" * (i % 23)) for i in range(3000)]
@@ -58,7 +120,7 @@ def test_records_over_the_borders_of_splits(spark, tmp_path, most):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9973")
     try:
-        got = fastq.read_fastq(spark, str(tmp_path), most=most).collect()
+        got = fastq.read_fastq(spark, str(tmp_path), most=most, range_bytes=9973).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     for name in "ab":
