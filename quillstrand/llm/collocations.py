@@ -67,7 +67,7 @@ class Phrases:
     inside: int = 80
     scale: int = 2_000_000
     top: int = 2000
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 8 << 20
     bucket: int = 1 << 16
 
 
