@@ -11,6 +11,7 @@ from .plans import arrays as array_plan
 from .plans import fastq as fastq_plan
 from .plans import options as array_options
 from .sources import arrays, fastq
+from .sources.parts import tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,7 +22,8 @@ def parser() -> argparse.ArgumentParser:
     reads.add_argument("input")
     reads.add_argument("output", nargs="?", help="container, or folder of FASTQ text")
     reads.add_argument("--strip-cr", action="store_true")
-    cells = kinds.add_parser("array", help="raw little-endian arrays")
+    for p in (reads, cells := kinds.add_parser("array", help="raw little-endian arrays")):
+        p.add_argument("--one-file", action="store_true", help="write the container or archive as one file, which takes a shared file system")
     cells.add_argument("action", choices=("report", "compress", "decompress"))
     cells.add_argument("input")
     cells.add_argument("output", nargs="?", help="archive, or raw file")
@@ -45,26 +47,26 @@ def main(argv: list[str] | None = None) -> int:
         if args.action == "decompress":
             fastq.write_fastq(fastq_plan.decompress(spark, args.input), args.output)
             return 0
-        reads = fastq.read_fastq(spark, args.input, args.strip_cr).drop("file")
+        reads = fastq.numbered_over_files(fastq.read_fastq(spark, args.input, args.strip_cr))
         if args.action == "compress":
-            fastq_plan.compress(reads, args.output)
+            fastq_plan.compress(reads, args.output, args.one_file)
         fastq_plan.measured(reads).show(truncate=False)
         return 0
     if args.action == "decompress":
-        shape = tuple(spark.read.parquet(f"{args.input}/header").select("x", "y", "z").first())
+        shape = tuple(tables(spark, args.input)("header").select("x", "y", "z").first())
         out = array_plan.decompress(spark, args.input)
         arrays.write_array(out.withColumn("idx", array_plan.linear(shape)), args.output, args.type, value="restored")
         if args.compare:
-            original = arrays.with_place(arrays.read_array(spark, args.compare, args.type), shape)
+            original = arrays.read_array(spark, args.compare, args.type, shape=shape)
             array_plan.verify(original, out, shape).show(truncate=False, vertical=True)
         return 0
     options = array_options.parse(args.options)
     options = dataclasses.replace(options, shape=_shape(args, options))
-    cells = arrays.with_place(arrays.read_array(spark, args.input, args.type), options.shape)
+    cells = arrays.read_array(spark, args.input, args.type, shape=options.shape)
     if args.action == "report":
         array_plan.estimate(cells, options).show(truncate=False, vertical=True)
         return 0
-    took = array_plan.compress(cells, options, args.output)
+    took = array_plan.compress(cells, options, args.output, one_file=args.one_file)
     array_plan.size_report(spark, args.output).show(truncate=False)
     x, y, z = options.shape
     array_plan.time_report(spark, took, x * y * z).show(truncate=False)

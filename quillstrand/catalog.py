@@ -15,7 +15,7 @@ from .plans import arrays as array_plan
 from .plans import fastq as fastq_plan
 from .plans.options import Codec, Mode, Options, Predictor
 from .session import materialize, read_table, scratch_path
-from .sources import arrays, fastq
+from .sources import arrays, fastq, parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,16 +492,6 @@ def _fixed_book() -> huffman.Book:
     return huffman.canonical({ord(c): n for c, n in QUALITY_LENGTHS.items()})
 
 
-_FIXED = f"""{_BOOK}, used as (select length, count(*) as n from book group by 1),
-firsts as (select 4 as length, 0 as first union all select 3, (0 + 4 + 1) // 2 union all select 2, ((0 + 4 + 1) // 2 + 2 + 1) // 2)"""
-
-
-@query(f"with {_FIXED} select cast(symbol as integer) as symbol, cast(length as integer) as length, cast(first + row_number() over (partition by length order by symbol) - 1 as bigint) as code, lpad(bin(first + row_number() over (partition by length order by symbol) - 1), length, '0') as bits from book join firsts using (length)")
-def huffman_canonical(spark, sf):
-    rows = huffman.book_frame(spark, _fixed_book())
-    return rows.withColumn("bits", C.bit_string(F.col("code"), F.col("length")))
-
-
 @query(f"with {_CHARS}, {_BOOK} select pos // 4096 as chunk_id, cast(sum(length) as bigint) as nbit, cast((sum(length) + 31) // 32 as bigint) as ncell from ch join book using (symbol) group by 1")
 def huffman_chunk_bits(spark, sf):
     return huffman.chunk_bits(flat.counts_by_chunk(reads(spark, sf), "quality", "rec_id", 4096), huffman.book_frame(spark, _fixed_book()))
@@ -521,11 +511,26 @@ def huffman_book(spark, sf):
     return huffman.book_frame(spark, huffman.build(huffman.byte_histogram(reads(spark, sf), "quality", smooth=1)))
 
 
+@query(f"with recursive {_HIST}, {oracles.huffman('q1', 'bk')} select cast(symbol as integer) as symbol, cast(length as integer) as length, code, lpad(bin(code), length, '0') as bits from bk")
+def huffman_canonical(spark, sf):
+    """The codes of that book as strings of bits."""
+    return huffman_book(spark, sf).withColumn("bits", C.bit_string(F.col("code"), F.col("length")))
+
+
+@query(f"with recursive {_HIST}, {oracles.package_merge('q1', 9)} select n, cost, cast(512 as bigint) as kraft, true as within from pm_cost")
+def huffman_limited(spark, sf):
+    """The book of at most nine bits: its symbols, cost and Kraft sum in units of 2**-9."""
+    hist = huffman.byte_histogram(reads(spark, sf), "quality", smooth=1)
+    book = huffman.book_frame(spark, huffman.build(hist, most=9))
+    rows = book.join(hist, "symbol")
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("n") * F.col("length")).alias("cost"), F.sum(F.expr("shiftleft(1L, 9 - length)")).alias("kraft"), (F.max("length") <= 9).alias("within"))
+
+
 @query(f"with {_FQ} select rec_id, quality from fq")
 def huffman_roundtrip(spark, sf):
     r = reads(spark, sf)
     book = huffman.build(huffman.byte_histogram(r, "quality", smooth=1))
-    return huffman.decoded(materialize(huffman.encoded(r, "quality", "rec_id", book), "chunks"), book)
+    return huffman.decoded(materialize(huffman.encoded(r, "quality", "rec_id", book), "chunks"), flat.with_offsets(r, "quality").select("rec_id", "length", "offset"), book)
 
 
 @query(f"with recursive {_HIST}, {oracles.huffman('q0', 'bk')} select cast(sum(n) as bigint) as n, cast(sum(n * length) as bigint) as bits, round(8 * sum(n) / sum(n * length), 9) as ratio from bk join q0 using (symbol)")
@@ -594,6 +599,20 @@ def lz_block_roundtrip(spark, sf):
     return own.join(back, "item_id").select("item_id", F.md5(F.substring(F.col("back"), F.lit(1), F.col("n").cast("int"))).alias("digest"), "n")
 
 
+@query("select item_id, md5(text) as digest, strlen(text) as n from benchmark")
+def lz_stream_roundtrip(spark, sf):
+    """All blocks as one file of two contiguous streams, written and read by many tasks."""
+    keyed = _text_blocks(spark, sf).withColumn("key", F.col("item_id") * (1 << 20) + F.col("block_id"))
+    path = scratch_path(spark, "stream")
+    parts.write_archive(lz.streamed(lz.compressed(keyed.select("key", F.col("key").alias("block_id"), "data"), ["key"]), "key"), path, ["flags", "tokens"])
+    back = lz.expanded(lz.from_stream(parts.read_archive(spark, path)).withColumnRenamed("part", "block_id"), [])
+    names = dense_id(keyed.select("key", "item_id"), "key", "block_id").drop("key")
+    texts = back.join(names, "block_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "data"))).alias("b"))
+    texts = texts.select("item_id", F.aggregate("b", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["data"])).alias("back"))
+    own = read_table(spark, sf, "benchmark").select("item_id", F.octet_length("text").cast("long").alias("n"))
+    return own.join(texts, "item_id").select("item_id", F.md5(F.substring(F.col("back"), F.lit(1), F.col("n").cast("int"))).alias("digest"), "n")
+
+
 @query(f"with {_Q1}, o as (select x // 2048 as chunk_id, (x % 2048) // 256 as g, x % 2 as p, bit_or(code) as o from c group by 1, 2, 3) select chunk_id, cast(sum(bit_count(o)) as bigint) as kept from o group by 1")
 def bitplane_flags(spark, sf):
     out = bitshuffle.encoded(delta.quantized(events(spark, sf), "value", 1, EB1), "x", "code")
@@ -704,6 +723,21 @@ def fastq_roundtrip(spark, sf):
     return fastq_plan.decompress(spark, path)
 
 
+@query(f"with {_FQ} select * from fq")
+def fastq_file_roundtrip(spark, sf):
+    """Reads written as FASTQ text and read again in byte ranges that cut records."""
+    path = scratch_path(spark, "reads")
+    fastq.write_fastq(reads(spark, sf), path)
+    return fastq.numbered_over_files(fastq.read_fastq(spark, path, range_bytes=10_000))
+
+
+@query(f"with {_FQ} select * from fq")
+def fastq_one_file_roundtrip(spark, sf):
+    path = scratch_path(spark, "fastq")
+    fastq_plan.compress(reads(spark, sf), path, one_file=True)
+    return fastq_plan.decompress(spark, path)
+
+
 _VARIED = """vr as (
   select row_number() over (order by doc_id) - 1 as rec_id,
     case when doc_id % 17 = 0 then 'odd-' || doc_id else '@' || substr(md5(cast(doc_id as varchar)), 1, 3 + cast(doc_id % 5 as integer)) || '.' || (doc_id + 1) || ':7' end as identifier,
@@ -763,7 +797,7 @@ def array_report(spark, sf):
     return out.select("n", "n_outliers", "too_many", F.round("entropy", 9).alias("entropy"), "bits", "bytes", F.round("cr", 9).alias("cr"), F.round("bitrate", 9).alias("bitrate"))
 
 
-def _array_roundtrip(spark, sf, options: Options, rank: int) -> DataFrame:
+def _array_roundtrip(spark, sf, options: Options, rank: int, one_file: bool = False) -> DataFrame:
     if rank == 1:
         a, shape = _events_array(spark, sf)
     else:
@@ -771,7 +805,7 @@ def _array_roundtrip(spark, sf, options: Options, rank: int) -> DataFrame:
         a, shape = (cells(spark, sf).withColumn("z", F.lit(0).cast("long")), (64, n, 1)) if rank == 2 else (cube(spark, sf), (8, 8, n))
     options = Options(options.mode, options.eb, options.predictor, options.hist, options.codec, options.radius, shape)
     path = scratch_path(spark, "array")
-    array_plan.compress(a, options, path)
+    array_plan.compress(a, options, path, one_file=one_file)
     q = array_plan.verify(a, array_plan.decompress(spark, path), shape)
     return q.select("n", F.round("max_abs_err", 9).alias("max_abs_err"), F.round("mse", 9).alias("mse"), "max_err_idx")
 
@@ -784,6 +818,33 @@ def array_roundtrip_1d(spark, sf):
     return _array_roundtrip(spark, sf, Options(Mode.REL, 1e-3), 1)
 
 
+def _event_file(spark: SparkSession, sf: str) -> str:
+    """The events' values as one raw file of doubles."""
+    path = scratch_path(spark, "events")
+    arrays.write_array(events(spark, sf).select(F.col("x").alias("idx"), "value"), path, "<f8", size=5000)
+    return path
+
+
+@query(f"with {_EV} select cast(x as bigint) as idx, value from ev")
+def array_file_roundtrip(spark, sf):
+    """A raw file from many tasks, read again in parts."""
+    return arrays.read_array(spark, _event_file(spark, sf), "<f8", part=50_000).select("idx", "value")
+
+
+@query(f"with {_EV}, p as (select x % 10 as x, x // 10 % 20 as y, x // 200 as z, value from ev) select cast(x as bigint) as x, cast(y as bigint) as y, cast(z as bigint) as z, value from p where y between 3 and 5 and z >= 2 and x <> 4")
+def array_file_box(spark, sf):
+    """A box of the same file seen as planes of 10 x 20: only rows 3 to 5 of planes from 2 on are read."""
+    n = read_table(spark, sf, "events").count()
+    cells = arrays.read_array(spark, _event_file(spark, sf), "<f8", part=50_000, shape=(10, 20, -(-n // 200)))
+    return cells.where("y between 3 and 5 and z >= 2 and x <> 4").select("x", "y", "z", "value")
+
+
+@query(f"with {_REL}, e as (select value, q * (2.0 * eb) as r, x as idx from c) select {_ERR}")
+def array_one_file_roundtrip(spark, sf):
+    """The archive of `array_roundtrip_1d` as one file."""
+    return _array_roundtrip(spark, sf, Options(Mode.REL, 1e-3), 1, one_file=True)
+
+
 @query(f"with {_E2}, e as (select value, q * cast({2 * EB2} as double) as r, cast(x + 64 * y as bigint) as idx from e2) select {_ERR}")
 def array_roundtrip_2d(spark, sf):
     return _array_roundtrip(spark, sf, Options(Mode.ABS, EB2, Predictor.ZIGZAG, codec=Codec.BITSHUFFLE), 2)

@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import BASES
-from .flat import map_bytes, where_bytes, with_offsets
+from . import flat
+from .flat import map_bytes, stretches, where_bytes
 
 #: Bases of a block.
 BLOCK = 1 << 18
@@ -29,12 +29,6 @@ OTHER[list(BASES.encode())] = False
 BLOCKS = "block_id long, data binary, places binary, others binary"
 
 
-def _runs(place: np.ndarray) -> np.ndarray:
-    """Bounds of the stretches of a sorted array that neighbour without gaps and stay in one block."""
-    cut = np.flatnonzero((np.diff(place) != 1) | (place[1:] % BLOCK == 0)) + 1
-    return np.concatenate([[0], cut, [len(place)]])
-
-
 def blocks(records: DataFrame, key: str = "rec_id", text: str = "bases") -> DataFrame:
     """(block_id, data, places, others): packed bases, and places (32-bit) and bytes of the exceptions, of each block."""
 
@@ -44,7 +38,7 @@ def blocks(records: DataFrame, key: str = "rec_id", text: str = "bases") -> Data
         order = np.argsort(place, kind="stable") if (np.diff(place) < 0).any() else slice(None)
         place, raw = place[order], raw[order]
         out: dict[str, list] = {c: [] for c in ("block_id", "first", "data", "places", "others")}
-        cuts = _runs(place)
+        cuts = stretches(place, BLOCK)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at, own = place[a:b] % BLOCK, raw[a:b]
             first = int(at[0]) // 4
@@ -114,26 +108,7 @@ def unpack(data: bytes, places: bytes, others: bytes) -> np.ndarray:
 
 def reassembled(block_rows: DataFrame, lengths: DataFrame, key: str = "rec_id", text: str = "bases") -> DataFrame:
     """(key, text) from blocks and the records' lengths and offsets."""
-    kind = lengths.schema[key].dataType
-    first, last = F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("length") - 1) / BLOCK)
-    places = lengths.where("length > 0").select(key, "offset", "length", F.explode(F.sequence(first, last)).alias("block_id"))
-    several = (first != last).alias("several")
-    places = places.select("block_id", key, F.greatest(F.col("offset") - F.col("block_id") * BLOCK, F.lit(0)).alias("a"), F.least(F.col("offset") + F.col("length") - F.col("block_id") * BLOCK, F.lit(BLOCK)).alias("b"), several)
-    schema = T.StructType([T.StructField(key, kind), T.StructField("block_id", T.LongType()), T.StructField("several", T.BooleanType()), T.StructField("part", T.StringType())])
-
-    def run(own: pa.Table, data: pa.Table) -> pa.Table:
-        if not own.num_rows or not data.num_rows:
-            return pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, (own.schema.field(key).type, pa.int64(), pa.bool_(), pa.string()), strict=True)})
-        raw = unpack(*(data.column(c)[0].as_py() for c in ("data", "places", "others"))).tobytes()
-        parts = [raw[a:b].decode("latin-1") for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)]
-        return pa.table({key: own.column(key), "block_id": own.column("block_id"), "several": own.column("several"), "part": pa.array(parts, pa.string())})
-
-    # a group is one block: BLOCK bases, and the reads that touch it
-    made = places.groupBy("block_id").cogroup(block_rows.groupBy("block_id")).applyInArrow(run, schema)
-    ordered = F.array_sort(F.collect_list(F.struct("block_id", "part")))["part"]
-    long = made.where("several").groupBy(key).agg(F.array_join(ordered, "").alias(text))
-    short = made.where("not several").select(key, F.col("part").alias(text))
-    return short.unionByName(long).unionByName(lengths.where("length = 0").select(key, F.lit("").alias(text)))
+    return flat.reassembled(block_rows, ["data", "places", "others"], lambda *block: unpack(*block).tobytes(), lengths, BLOCK, key, text)
 
 
 def sizes(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import bound_batches
 from .scan import running_sum
@@ -65,3 +66,63 @@ def where_bytes(records: DataFrame, text: str, key: str, wanted: np.ndarray) ->
         return {"pos": pa.array(place[some]), "symbol": pa.array(raw[some].astype(np.int32))}
 
     return map_bytes(records, text, key, work, "pos long, symbol int")
+
+
+def stretches(place: np.ndarray, size: int) -> np.ndarray:
+    """Bounds of the stretches of a sorted array that neighbour without gaps and stay in one block of `size`."""
+    cut = np.flatnonzero((np.diff(place) != 1) | (place[1:] % size == 0)) + 1
+    return np.concatenate([[0], cut, [len(place)]])
+
+
+def byte_blocks(records: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(block_id, data): the bytes of a whole text column, `size` of them a row, however long single texts are."""
+
+    def parts(place: np.ndarray, raw: np.ndarray) -> dict[str, pa.Array] | None:
+        if not len(place):
+            return None
+        order = np.argsort(place, kind="stable") if (np.diff(place) < 0).any() else slice(None)
+        place, raw = place[order], raw[order]
+        cuts = stretches(place, size)
+        own = [raw[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return {"block_id": pa.array(place[cuts[:-1]] // size), "first": pa.array(place[cuts[:-1]] % size), "data": pa.array(own, pa.binary())}
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([b"".join(held)], pa.binary())], names=["block_id", "data"])
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if block != now:
+                    if held:
+                        yield row()
+                    now, held = block, []
+                held.append(data)
+        if held:
+            yield row()
+
+    cut = map_bytes(records, text, key, parts, "block_id long, first long, data binary")
+    return cut.repartition("block_id").sortWithinPartitions("block_id", "first").mapInArrow(joined, "block_id long, data binary")
+
+
+def reassembled(block_rows: DataFrame, columns: list[str], unpack: Callable[..., bytes], lengths: DataFrame, size: int, key: str = "rec_id", text: str = "bases") -> DataFrame:
+    """(key, text) from blocks of `size` bytes, which `unpack` makes of their columns, and the texts' lengths and offsets."""
+    kind = lengths.schema[key].dataType
+    first, last = F.floor(F.col("offset") / size), F.floor((F.col("offset") + F.col("length") - 1) / size)
+    places = lengths.where("length > 0").select(key, "offset", "length", F.explode(F.sequence(first, last)).alias("block_id"), (first != last).alias("several"))
+    places = places.select("block_id", key, F.greatest(F.col("offset") - F.col("block_id") * size, F.lit(0)).alias("a"), F.least(F.col("offset") + F.col("length") - F.col("block_id") * size, F.lit(size)).alias("b"), "several")
+    schema = T.StructType([T.StructField(key, kind), T.StructField("block_id", T.LongType()), T.StructField("several", T.BooleanType()), T.StructField("part", T.StringType())])
+
+    def run(own: pa.Table, data: pa.Table) -> pa.Table:
+        if not own.num_rows or not data.num_rows:
+            return pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, (own.schema.field(key).type, pa.int64(), pa.bool_(), pa.string()), strict=True)})
+        raw = unpack(*(data.column(c)[0].as_py() for c in columns))
+        # a part may begin or end within a character: bytes stand as characters of their own until texts are whole
+        parts = [raw[a:b].decode("latin-1") for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)]
+        return pa.table({key: own.column(key), "block_id": own.column("block_id"), "several": own.column("several"), "part": pa.array(parts, pa.string())})
+
+    # a group is one block, and the texts that touch it
+    made = places.groupBy("block_id").cogroup(block_rows.groupBy("block_id")).applyInArrow(run, schema)
+    whole = lambda c: F.encode(c, "iso-8859-1").cast("string").alias(text)
+    ordered = F.array_sort(F.collect_list(F.struct("block_id", "part")))["part"]
+    long = made.where("several").groupBy(key).agg(F.array_join(ordered, "").alias("part")).select(key, whole(F.col("part")))
+    short = made.where("not several").select(key, whole(F.col("part")))
+    return short.unionByName(long).unionByName(lengths.where("length = 0").select(key, F.lit("").alias(text)))

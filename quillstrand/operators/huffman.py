@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import flat, where_bytes
+from .flat import byte_blocks, flat, reassembled, where_bytes
 from .scan import running_sum
 
 #: Symbols of a lane, which decodes on its own.
 LANE = 256
+#: Bytes of a chunk of texts.
+CHUNK = 1 << 18
 #: Longest codes of 32-bit and 64-bit words.
 LONGEST = {32: 27, 64: 58}
 
@@ -64,6 +66,35 @@ def code_lengths(counts: dict[int, int]) -> dict[int, int]:
     return depth
 
 
+def limited_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
+    """The code lengths of least cost that are `most` at most, by package-merge.
+
+    On each of `most` levels, symbols and pairs of the level before are merged by
+    weight; of the last level the first 2n - 2 are taken, and the symbols that
+    they are made of get a bit for each time.  On equal weights symbols come before
+    pairs, and lesser symbols first.
+    """
+    order = sorted((n, s) for s, n in counts.items() if n > 0)
+    if len(order) < 2:
+        return {s: 1 for _, s in order}
+    if len(order) > 1 << most:
+        raise ValueError(f"{len(order)} symbols have no codes of at most {most} bits")
+    own = np.array([n for n, _ in order], np.int64)
+    pairs, single = own[:0], []
+    for _ in range(most):
+        both = np.concatenate([own, pairs])
+        at = np.argsort(both, kind="stable")
+        single.append(at < len(own))
+        both = both[at][: len(both) // 2 * 2]
+        pairs = both[::2] + both[1::2]
+    lengths, need = np.zeros(len(order), np.int64), 2 * len(order) - 2
+    for flags in reversed(single):
+        n = int(flags[:need].sum())
+        lengths[:n] += 1
+        need = 2 * (need - n)
+    return {s: int(k) for (_, s), k in zip(order, lengths, strict=True)}
+
+
 @dataclass(frozen=True)
 class Book:
     """Canonical codes: symbol -> (code, length), and per length the first code and its place among the sorted symbols."""
@@ -102,9 +133,11 @@ def canonical(lengths: dict[int, int], word: int = 32) -> Book:
     return Book(codes, first, entry, tuple(keys))
 
 
-def build(hist: DataFrame, word: int = 32) -> Book:
-    """The book of a histogram of at most some thousand bins."""
-    return canonical(code_lengths({r["symbol"]: r["n"] for r in hist.collect()}), word)
+def build(hist: DataFrame, word: int = 32, most: int | None = None) -> Book:
+    """The book of a histogram of at most some thousand bins; no code is longer than `most`, which is what a word holds unless it is given."""
+    counts = {r["symbol"]: r["n"] for r in hist.collect()}
+    lengths, most = code_lengths(counts), most or LONGEST[word]
+    return canonical(lengths if max(lengths.values(), default=0) <= most else limited_lengths(counts, most), word)
 
 
 def book_frame(spark, book: Book) -> DataFrame:
@@ -153,6 +186,8 @@ def encode_chunk(symbols: np.ndarray, book: Book) -> tuple[int, bytes, bytes]:
         raise ValueError("a symbol has no code in this book")
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
+    if total >= 1 << 32:
+        raise ValueError("a chunk of over 512 MB of code")
     # bit j of a code, counted from its end
     back = np.repeat(ends, n) - 1 - np.arange(total)
     bits = (np.repeat(code[symbols], n) >> back.astype(np.uint64)) & np.uint64(1)
@@ -189,38 +224,36 @@ def decode_chunk(cells: bytes, n: int, marks: bytes, book: Book) -> np.ndarray:
 
 
 def without_uncoded(texts: DataFrame, text: str, key: str, book: Book, replacement: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, sparse): bytes that the book lacks replaced, and those bytes by place (pos, symbol)."""
+    """(texts, sparse): bytes that the book lacks replaced, and those bytes by place (pos, symbol).
+
+    Bytes over 127 are parts of characters: where the book lacks any of them, all are replaced and listed.
+    """
     if replacement not in book.codes:
         raise ValueError("the replacement has no code either")
     uncoded = np.ones(256, bool)
     uncoded[[s for s in book.codes if s < 256]] = False
+    uncoded[128:] = uncoded[128:].any()
     lacking = "".join(chr(s) for s in np.flatnonzero(uncoded[:128]))
-    return texts.withColumn(text, F.translate(text, lacking, chr(replacement) * len(lacking))), where_bytes(texts, text, key, uncoded)
+    new = F.translate(text, lacking, chr(replacement) * len(lacking))
+    if uncoded[128]:
+        for size, some in ((2, r"[\x{80}-\x{7ff}]"), (3, r"[\x{800}-\x{ffff}]"), (4, r"[\x{10000}-\x{10ffff}]")):
+            new = F.replace(F.regexp_replace(new, some, "\x00" * size), F.lit("\x00"), F.lit(chr(replacement)))
+    return texts.withColumn(text, new), where_bytes(texts, text, key, uncoded)
 
 
-def encoded(texts: DataFrame, text: str, key: str, book: Book, rows_a_chunk: int = 1 << 12) -> DataFrame:
-    """(chunk_id, nbit, ncell, cells, marks, lengths): the bytes of texts in the key's order, by chunks of rows."""
-    schema = "chunk_id long, nbit long, ncell long, cells binary, marks binary, lengths binary"
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column(key).to_numpy(), kind="stable")
-        values = table.column(text).to_pylist()
-        raw = [(values[i] or "").encode() for i in order]
-        nbit, cells, marks = encode_chunk(np.frombuffer(b"".join(raw), np.uint8), book)
-        return pa.table({"chunk_id": table.column("chunk_id")[:1], "nbit": [nbit], "ncell": [len(cells) // 4], "cells": pa.array([cells], pa.binary()), "marks": pa.array([marks], pa.binary()), "lengths": pa.array([np.array([len(r) for r in raw], "<u4").tobytes()], pa.binary())})
-
-    return texts.select(F.floor(F.col(key) / rows_a_chunk).alias("chunk_id"), key, text).groupBy("chunk_id").applyInArrow(run, schema)
-
-
-def decoded(chunks: DataFrame, book: Book, key: str = "rec_id", text: str = "quality", rows_a_chunk: int = 1 << 12) -> DataFrame:
-    """(key, text), for keys that number the rows."""
+def encoded(texts: DataFrame, text: str, key: str, book: Book, size: int = CHUNK) -> DataFrame:
+    """(chunk_id, n, nbit, ncell, cells, marks): the bytes of texts in the key's order, `size` of them a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, marks, cells, lengths in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                n = np.frombuffer(lengths, "<u4").astype(np.int64)
-                ends = np.cumsum(n)
-                data = decode_chunk(cells, int(n.sum()), marks, book).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + chunk * rows_a_chunk), pa.array([data[e - m : e].decode() for e, m in zip(ends, n, strict=True)])], names=[key, text])
+            for chunk, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                nbit, cells, marks = encode_chunk(np.frombuffer(data, np.uint8), book)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(data)]), pa.array([nbit]), pa.array([len(cells) // 4]), pa.array([cells], pa.binary()), pa.array([marks], pa.binary())], names=["chunk_id", "n", "nbit", "ncell", "cells", "marks"])
+
+    return byte_blocks(texts, text, key, size).mapInArrow(run, "chunk_id long, n long, nbit long, ncell long, cells binary, marks binary")
+
 
-    return chunks.select("chunk_id", "marks", "cells", "lengths").mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField(text, T.StringType())]))
+def decoded(chunks: DataFrame, lengths: DataFrame, book: Book, key: str = "rec_id", text: str = "quality", size: int = CHUNK) -> DataFrame:
+    """(key, text) of chunks and the texts' lengths and offsets (`flat.with_offsets`)."""
+    unpack = lambda cells, n, marks: decode_chunk(cells, n, marks, book).astype(np.uint8).tobytes()
+    return reassembled(chunks.withColumnRenamed("chunk_id", "block_id"), ["cells", "n", "marks"], unpack, lengths, size, key, text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import running_sum
+from .scan import dense_id, running_sum
 
 BLOCK, WINDOW, LEAST = 4096, 255, 2
 
@@ -109,6 +109,19 @@ def with_offsets(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return running_sum(rows, order, sizes, by=keys, exclusive=True)
 
 
+def streamed(rows: DataFrame, order: str) -> DataFrame:
+    """(segment, part, data): the blocks' flags after each other, and their tokens, in the order of a unique key."""
+    numbered = dense_id(rows.select(order, "flags", "tokens"), order, "part")
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("segment"), F.col(c).alias("data")) for c in ("flags", "tokens")]))
+    return numbered.select("part", pair.alias("s")).select("s.segment", "part", "s.data")
+
+
+def from_stream(parts: DataFrame) -> DataFrame:
+    """(part, flags, tokens) of such a stream's parts."""
+    one = lambda c: parts.where(F.col("segment") == c).select("part", F.col("data").alias(c))
+    return one("flags").join(one("tokens"), "part")
+
+
 def fixed_width(df: DataFrame, segment: str, key: str, width: int, rows_a_block: int = 1 << 14) -> DataFrame:
     """(part, data): a string column as fixed-width bytes filled with zeros, in the key's order, in parts of whole rows."""
     def join(table: pa.Table) -> pa.Table:

@@ -22,6 +22,15 @@ def huffman(hist: str, name: str) -> str:
 {name} as (select symbol, length, cast(low + row_number() over (partition by length order by symbol) - 1 as bigint) as code from {name}_lengths join {name}_first using (length))"""
 
 
+def package_merge(hist: str, most: int) -> str:
+    """Expressions for the least cost of a code of at most `most` bits for a table hist (symbol, n): pm_cost (n, cost)."""
+    return f"""pm_own as (select list_sort(list(cast(n as bigint))) as own from {hist} where n > 0),
+pm(level, items) as (
+  select 1, own from pm_own
+  union all select level + 1, list_sort(list_concat(own, list_transform(range(1, len(items) // 2 + 1), lambda i: items[2 * i - 1] + items[2 * i]))) from pm, pm_own where level < {most}),
+pm_cost as (select cast(len(own) as bigint) as n, cast(list_sum(items[1:2 * len(own) - 2]) as bigint) as cost from pm, pm_own where level = {most})"""
+
+
 def feedback(cells: str, sides: tuple[int, ...], eb: float, radius: int, name: str) -> str:
     """Expressions for feedback prediction of cells (x, ..., value) in blocks of `sides`: name (x, ..., code, restored), a cell of all blocks at a time."""
     axes = ("x", "y", "z")[: len(sides)]

@@ -1,7 +1,8 @@
 """Error-bounded compression of arrays: predict, quantize, split outliers, code, and back.
 
 An archive is a folder: ``codes`` (coded chunks), ``outliers``, ``anchors`` (spline only),
-``book`` (Huffman only) and ``header``, all Parquet.  Nothing has a fixed capacity.
+``book`` (Huffman only) and ``header``, all Parquet, or one file that has the same tables.
+Nothing has a fixed capacity.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bitshuffle, delta, huffman, spline, stats
 from ..session import materialize
+from ..sources import parts as archive
 from ..sources.arrays import dims as dims_of
 from .options import Codec, Mode, Options, Predictor
 
@@ -60,9 +62,12 @@ def _huffman_codes(chunks: DataFrame, book: huffman.Book) -> DataFrame:
     return chunks.select("chunk_id", "n", "cells", "marks").mapInArrow(run, "idx long, code long")
 
 
-def compress(df: DataFrame, options: Options, path: str, value: str = "value") -> dict[str, float]:
+def compress(df: DataFrame, options: Options, path: str, value: str = "value", one_file: bool = False) -> dict[str, float]:
     """Write an archive of a dense array (x, y, z, value); returns the seconds of each stage."""
     spark, took, began = df.sparkSession, {}, time.time()
+    if one_file:
+        archive.in_one_file(spark, path, lambda folder: took.update(compress(df, options, folder, value)))
+        return took | {"file": time.time() - began - sum(took.values())}
 
     def lap(name: str) -> None:
         nonlocal began
@@ -97,15 +102,16 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value") -
 
 def decompress(spark: SparkSession, path: str) -> DataFrame:
     """(x, y, z, restored) of an archive."""
-    h = spark.read.parquet(f"{path}/header").first()
+    read = archive.tables(spark, path)
+    h = read("header").first()
     shape = (h["x"], h["y"], h["z"])
-    chunks = spark.read.parquet(f"{path}/codes")
+    chunks = read("codes")
     if h["codec"] == Codec.HUFFMAN.value:
-        lengths = {r["symbol"]: r["length"] for r in spark.read.parquet(f"{path}/book").collect()}
+        lengths = {r["symbol"]: r["length"] for r in read("book").collect()}
         codes = _huffman_codes(chunks, huffman.canonical(lengths))
     else:
         codes = bitshuffle.decoded(chunks)
-    rows = codes.join(spark.read.parquet(f"{path}/outliers"), "idx", "left").join(spark.read.parquet(f"{path}/anchors"), "idx", "left")
+    rows = codes.join(read("outliers"), "idx", "left").join(read("anchors"), "idx", "left")
     x, y, _ = shape
     rows = rows.withColumns({"x": F.col("idx") % x, "y": F.floor(F.col("idx") / x) % y, "z": F.floor(F.col("idx") / (x * y))})
     if h["predictor"] == Predictor.SPLINE.value:
@@ -122,15 +128,15 @@ def verify(original: DataFrame, restored: DataFrame, shape: tuple[int, int, int]
 
 def size_report(spark: SparkSession, path: str) -> DataFrame:
     """(part, start, bytes, share) of an archive, by what its rows hold; start is where a part would begin in one file of all of them."""
-    h = spark.read.parquet(f"{path}/header").first()
-    chunks = spark.read.parquet(f"{path}/codes")
+    read = archive.tables(spark, path)
+    h, chunks = read("header").first(), read("codes")
     coded = h["codec"] == Codec.HUFFMAN.value
     body = F.octet_length("cells") + F.octet_length("marks") + 12 if coded else F.octet_length("flags") + F.octet_length("words") + 8
     parts = [spark.range(1).select(F.lit("header").alias("part"), F.lit(128).cast("long").alias("bytes"))]
     if coded:
-        parts.append(spark.read.parquet(f"{path}/book").agg((F.count("*") * 5).alias("bytes")).withColumn("part", F.lit("book")))
+        parts.append(read("book").agg((F.count("*") * 5).alias("bytes")).withColumn("part", F.lit("book")))
     for name, width in (("anchors", 4), ("outliers", 12)):
-        parts.append(spark.read.parquet(f"{path}/{name}").agg((F.count("*") * width).alias("bytes")).withColumn("part", F.lit(name)))
+        parts.append(read(name).agg((F.count("*") * width).alias("bytes")).withColumn("part", F.lit(name)))
     parts.append(chunks.agg(F.coalesce(F.sum(body), F.lit(0)).cast("long").alias("bytes")).withColumn("part", F.lit("codes")))
     rows, at = [], 0
     for row in functools.reduce(DataFrame.unionByName, [p.withColumn("k", F.lit(k)) for k, p in enumerate(parts)]).orderBy("k").collect():  # five rows

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..operators import bits, flat, huffman, lz, rle, segments
 from ..operators.scan import running_sum
 from ..session import materialize
+from ..sources import parts as archive
 
 #: Share of the quality bytes, from the start, that the book is made of.
 SAMPLE = 0.2
@@ -103,13 +104,16 @@ def measured(records: DataFrame, seconds: float | None = None) -> DataFrame:
     return records.sparkSession.createDataFrame([(*row, *ratios, took, row[0] / (1 << 20) / took)], "original long, total long, true_total long, ref_ratio double, true_ratio double, seconds double, mb_per_s double")
 
 
-def compress(records: DataFrame, path: str) -> None:
-    """Write a container from which `decompress` restores the records exactly.
+def compress(records: DataFrame, path: str, one_file: bool = False) -> None:
+    """Write a container, a folder of tables or one file, from which `decompress` restores the records exactly.
 
     Identifiers that do not split and join to themselves, as planned from all
     rows, and '+' lines other than '+' are kept as they are.
     """
     spark = records.sparkSession
+    if one_file:
+        archive.in_one_file(spark, path, lambda folder: compress(records, folder))
+        return
     records = materialize(records.select("rec_id", "identifier", "bases", "plus", "quality"), "records")
     plan = plan_segments(records)
     cols = segments.columns(records.select("rec_id", "identifier"), "identifier", len(plan))
@@ -130,6 +134,8 @@ def compress(records: DataFrame, path: str) -> None:
             blocks.write.parquet(f"{path}/segment_{s.pos}")
     records.where("plus <> '+'").select("rec_id", "plus").write.parquet(f"{path}/plus")
     flat.with_offsets(records.select("rec_id", "bases")).select("rec_id", "length", "offset").write.parquet(f"{path}/lengths")
+    n_bases, n_quality = (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("bases", "quality"))
+    records.where(n_bases != n_quality).select("rec_id", n_quality.alias("n_quality")).write.parquet(f"{path}/quality_lengths")
     bits.blocks(records).write.parquet(f"{path}/bases")
     book = huffman.build(huffman.byte_histogram(records, "quality", smooth=1))
     huffman.book_frame(spark, book).coalesce(1).write.parquet(f"{path}/book")
@@ -153,7 +159,7 @@ def _strings(blocks: DataFrame, width: int, rows_a_part: int = 1 << 14) -> DataF
 
 def decompress(spark: SparkSession, path: str) -> DataFrame:
     """The records of a container."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    read = archive.tables(spark, path)
     plan = [Segment(*r) for r in read("segments").orderBy("pos").collect()]
     lengths = read("lengths")
     ids = lengths.select("rec_id")
@@ -169,7 +175,8 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
     ids = ids.join(read("odd_identifiers"), "rec_id", "left").select("rec_id", F.coalesce("identifier", F.concat(*pieces)).alias("identifier"))
     bases = bits.reassembled(read("bases"), lengths)
     book = huffman.canonical({r["symbol"]: r["length"] for r in read("book").collect()})
-    quality = huffman.decoded(read("quality"), book)
+    own = lengths.select("rec_id", "length").join(read("quality_lengths"), "rec_id", "left").select("rec_id", F.coalesce("n_quality", "length").alias("length"))
+    quality = huffman.decoded(read("quality"), running_sum(own, "rec_id", {"offset": F.col("length")}, exclusive=True), book)
     plus = read("plus").withColumnRenamed("plus", "__plus")
     out = ids.join(bases, "rec_id").join(quality, "rec_id").join(plus, "rec_id", "left")
     return out.select("rec_id", "identifier", "bases", F.coalesce("__plus", F.lit("+")).alias("plus"), "quality")

@@ -62,6 +62,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a path, in order."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that this application has materialized; frames that read them are of no use afterwards."""
     drop_path(spark, f"{shared_dir(spark)}/quillstrand/{spark.sparkContext.applicationId}")

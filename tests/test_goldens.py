@@ -222,3 +222,60 @@ def test_index_range_takes_the_tile_filter_along(spark, tmp_path):
     assert [r["x"] for r in out.orderBy("x").collect()] == list(range(300, 700))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(tile_id,1)" in plan and "LessThanOrEqual(tile_id,2)" in plan
+
+
+def test_limited_codes_cost_no_more_than_any(spark):
+    from itertools import product
+
+    fib = [1, 1]
+    while len(fib) < 40:
+        fib.append(fib[-1] + fib[-2])
+    counts = dict(enumerate(fib))
+    lengths = huffman.limited_lengths(counts, 27)
+    assert max(lengths.values()) == 27 and sum(2 ** (27 - n) for n in lengths.values()) == 2**27
+    book = huffman.canonical(lengths)
+    data = np.array([s for s in range(40) for _ in range(3)])
+    _, cells, marks = huffman.encode_chunk(data, book)
+    assert huffman.decode_chunk(cells, len(data), marks, book).tolist() == data.tolist()
+    hist = spark.createDataFrame(list(counts.items()), "symbol int, n long")
+    assert huffman.build(hist).longest == 27 and huffman.build(hist, word=64).longest == 39
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5):
+        for most in (3, 4):
+            w = {s: int(x) for s, x in enumerate(rng.integers(1, 40, n) ** 2)}
+            cost = lambda ls: sum(a * b for a, b in zip(w.values(), ls, strict=True))
+            best = min(cost(ls) for ls in product(range(1, most + 1), repeat=n) if sum(2.0**-k for k in ls) <= 1)
+            got = huffman.limited_lengths(w, most)
+            assert cost(got[s] for s in w) == best and max(got.values()) <= most
+    free = {s: int(x) for s, x in enumerate(rng.integers(1, 10**6, 300))}
+    plain = huffman.code_lengths(free)
+    assert sum(free[s] * k for s, k in huffman.limited_lengths(free, 58).items()) == sum(free[s] * k for s, k in plain.items())
+    with pytest.raises(ValueError, match="no codes"):
+        huffman.limited_lengths(dict.fromkeys(range(9), 1), 3)
+
+
+def test_long_and_odd_texts_in_chunks_of_bytes(spark):
+    rng = np.random.default_rng(0)
+    texts = ["", "I" * 1_000_000, None, "".join(map(chr, rng.integers(33, 74, 700_001))), "é𝔵" * 3000, "", "FF"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id long, quality string")
+    book = huffman.build(huffman.byte_histogram(df, "quality", smooth=1))
+    chunks = huffman.encoded(df, "quality", "rec_id", book).cache()
+    sizes = {r["chunk_id"]: r["n"] for r in chunks.collect()}
+    assert max(sizes.values()) == huffman.CHUNK and sum(sizes.values()) == sum(len((t or "").encode()) for t in texts)
+    back = huffman.decoded(chunks, flat.with_offsets(df, "quality").select("rec_id", "length", "offset"), book)
+    assert dict(map(tuple, back.collect())) == {i: t or "" for i, t in enumerate(texts)}
+    again = huffman.encoded(df, "quality", "rec_id", book, size=1000)
+    back = huffman.decoded(again, flat.with_offsets(df, "quality").select("rec_id", "length", "offset"), book, size=1000)
+    assert dict(map(tuple, back.collect())) == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_uncoded_bytes_of_long_characters(spark):
+    df = spark.createDataFrame([(0, "AéB"), (1, "A€𝔵C"), (2, "")], "rec_id long, quality string")
+    book = huffman.canonical({ord("A"): 1, ord("B"): 1})
+    new, sparse = huffman.without_uncoded(df, "quality", "rec_id", book, ord("A"))
+    flatted = b"".join(r["quality"].encode() for r in new.orderBy("rec_id").collect())
+    data = bytearray(flatted)
+    for r in sparse.collect():
+        data[r["pos"]] = r["symbol"]
+    assert bytes(data) == "AéBA€𝔵C".encode() and set(flatted) <= set(b"AB")
+    assert huffman.encoded(new, "quality", "rec_id", book).count() == 1

@@ -154,6 +154,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert np.abs(np.fromfile(tmp_path / "w.f32", "<f4") - v).max() <= 1.01e-3
     assert spark.read.parquet(str(tmp_path / "z" / "dump_quant")).count() == 600 and spark.read.parquet(str(tmp_path / "z" / "dump_hist")).count() == 1024
     assert main(["array", "report", str(tmp_path / "v.f32"), "-o", "mode=abs,eb=1e-3", "-l", "600"]) == 0
+    assert main(["fastq", "compress", str(tmp_path / "a.fastq"), str(tmp_path / "c.one"), "--one-file"]) == 0
+    assert main(["fastq", "decompress", str(tmp_path / "c.one"), str(tmp_path / "t1")]) == 0
+    assert fastq.read_fastq(spark, str(tmp_path / "t1"), check=False).count() == len(READS) and (tmp_path / "c.one").is_file()
+    assert main(["array", "compress", str(tmp_path / "v.f32"), str(tmp_path / "z.one"), "--one-file", "-o", "mode=abs,eb=1e-3", "-l", "600"]) == 0
+    assert main(["array", "decompress", str(tmp_path / "z.one"), "file://" + str(tmp_path / "w1.f32")]) == 0
+    assert (tmp_path / "w1.f32").read_bytes() == (tmp_path / "w.f32").read_bytes()
     out = capsys.readouterr().out
     assert "true_ratio" in out and "gib_per_s" in out and "bitrate" in out
 
