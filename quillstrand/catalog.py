@@ -738,6 +738,28 @@ def fastq_one_file_roundtrip(spark, sf):
     return fastq_plan.decompress(spark, path)
 
 
+_SHAPED = f"{_FQ}, sh as (select rec_id, case when rec_id % 3 = 0 then '@M:' || rec_id // 2 || ':' || substr(md5(identifier), 1, 2 + rec_id % 4) || '.' else identifier end as identifier, bases, plus, quality from fq)"
+
+
+def shaped_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of two instruments, whose names have other delimiters."""
+    r, k = reads(spark, sf), F.col("rec_id")
+    other = F.concat(F.lit("@M:"), F.floor(k / 2), F.lit(":"), F.substring(F.md5("identifier"), F.lit(1), (2 + k % 4).cast("int")), F.lit("."))
+    return r.withColumn("identifier", F.when(k % 3 == 0, other).otherwise(F.col("identifier")))
+
+
+@query(f"with {_SHAPED} select * from sh")
+def fastq_shapes_roundtrip(spark, sf):
+    path = scratch_path(spark, "fastq")
+    fastq_plan.compress(shaped_reads(spark, sf), path)
+    return fastq_plan.decompress(spark, path)
+
+
+@query(f"with {_SHAPED}, s as (select regexp_replace(identifier, '[^. :/]', '', 'g') as ends, regexp_matches(identifier, '[. :/]$') as closed from sh) select (len(ends) + 1 - cast(closed as integer)) || ' ' || ends as shape, count(*) as n from s group by 1")
+def identifier_shapes(spark, sf):
+    return shaped_reads(spark, sf).groupBy(segments.shape_of(F.col("identifier")).alias("shape")).agg(F.count("*").alias("n"))
+
+
 _VARIED = """vr as (
   select row_number() over (order by doc_id) - 1 as rec_id,
     case when doc_id % 17 = 0 then 'odd-' || doc_id else '@' || substr(md5(cast(doc_id as varchar)), 1, 3 + cast(doc_id % 5 as integer)) || '.' || (doc_id + 1) || ':7' end as identifier,

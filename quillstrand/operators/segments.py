@@ -37,14 +37,32 @@ def exploded(df: DataFrame, identifier: str, keys: list[str], delimiters: str =
     return rows.select(*keys, "pos", "segment", delimiter.alias("delimiter"), is_numeric(F.col("segment")).alias("numeric"))
 
 
-def infer(df: DataFrame, identifier: str, key: str, delimiters: str = DELIMITERS, mode: str = "exact") -> DataFrame:
-    """A row per segment position: is it numeric and lossless as such, constant, and how long at most.
+def shape_of(identifier: Column, delimiters: str = DELIMITERS) -> Column:
+    """An identifier's shape: how many pieces it has, and the delimiters in their order."""
+    return F.concat(F.size(pieces(identifier, delimiters)).cast("string"), F.lit(" "), F.array_join(delimiters_of(identifier, delimiters), ""))
+
+
+def common_shapes(df: DataFrame, identifier: str, most: int = 16, share: int = 1024, delimiters: str = DELIMITERS) -> list[str]:
+    """The dictionary of shapes: at most `most`, the commonest first, each of a `share`-th of all rows or more."""
+    counts = df.where(F.col(identifier).isNotNull()).groupBy(shape_of(F.col(identifier), delimiters).alias("shape")).agg(F.count("*").alias("n"))
+    total = df.count()
+    return [r["shape"] for r in counts.orderBy(F.desc("n"), "shape").limit(most).collect() if r["n"] * share >= total]
+
+
+def shape_id(identifier: Column, shapes: list[str], delimiters: str = DELIMITERS) -> Column:
+    """The number of an identifier's shape in the dictionary; -1 for others."""
+    place = F.array_position(F.array(*[F.lit(s) for s in shapes]).cast("array<string>"), shape_of(identifier, delimiters))
+    return (F.coalesce(place, F.lit(0)) - 1).cast("int")
+
+
+def infer(df: DataFrame, identifier: str, key: str, delimiters: str = DELIMITERS, mode: str = "exact", by: tuple[str, ...] = ()) -> DataFrame:
+    """A row per segment position, and per value of `by` in mode "exact": is it numeric and lossless as such, constant, and how long at most.
 
     mode "exact" looks at every row.  mode "first" has the types and lengths of the
     first row alone, and calls a segment constant if ten sampled rows agree, as
     fast schema inference does; it may lose data.
     """
-    rows = exploded(df, identifier, [key], delimiters)
+    rows = exploded(df, identifier, [key, *by], delimiters)
     if mode == "first":
         first = rows.join(df.agg(F.min(key).alias(key)), key).select("pos", "delimiter", F.col("numeric").alias("is_numeric"), (F.octet_length("segment") + 1).alias("max_len"), F.col("segment").alias("first_value"))
         ids = sample_ids(df, key)
@@ -52,7 +70,7 @@ def infer(df: DataFrame, identifier: str, key: str, delimiters: str = DELIMITERS
         return first.join(same, "pos")
     number = F.col("segment").try_cast("bigint")
     whole = F.coalesce(number.cast("string") == F.col("segment"), F.lit(False)) & F.col("numeric")
-    return rows.groupBy("pos").agg(
+    return rows.groupBy(*by, "pos").agg(
         F.min(whole).alias("is_numeric"),
         (F.min("segment") == F.max("segment")).alias("is_static"),
         (F.max(F.octet_length("segment")) + 1).alias("max_len"),

@@ -27,30 +27,80 @@ class Segment:
     max_len: int
     first_value: str
     delimiter: str
+    shape: int = 0
 
+    @property
+    def name(self) -> str:
+        return f"segment_{self.pos}" if self.shape == 0 else f"shape_{self.shape}_segment_{self.pos}"
 
-def plan_segments(records: DataFrame, mode: str = "exact") -> list[Segment]:
+
+@dataclass(frozen=True)
+class Plan:
+    """Identifiers of a file: the common shapes, and the codec of each of their segments.
+
+    Identifiers of no common shape are odd, and kept as they are, so that they
+    cost no column, however many pieces they have.  With several shapes, rows are numbered
+    within their shape, and the sequence of shapes is kept as runs.
+    """
+
+    shapes: list[str]
+    segments: list[Segment]
+
+    def of(self, shape: int) -> list[Segment]:
+        return [s for s in self.segments if s.shape == shape]
+
+    def shaped(self, records: DataFrame) -> DataFrame:
+        """(rec_id, identifier, shape, k): k numbers the rows of a shape from 0; it is rec_id where there is one shape."""
+        rows = records.select("rec_id", "identifier", segments.shape_id(F.col("identifier"), self.shapes).alias("shape"))
+        if len(self.shapes) < 2:
+            return rows.withColumn("k", F.col("rec_id"))
+        return running_sum(rows, "rec_id", {"k": F.lit(1).cast("long")}, by=["shape"], exclusive=True)
+
+    def columns(self, shaped: DataFrame, shape: int) -> DataFrame:
+        """(k, seg_0, ...) of a shape's rows; where there is one shape, odd rows stay and hold nothing."""
+        odd = F.col("shape") != shape
+        own = shaped.withColumn("identifier", F.when(~odd, F.col("identifier"))) if len(self.shapes) < 2 else shaped.where(~odd)
+        return segments.columns(own.select("k", "identifier"), "identifier", len(self.of(shape))).drop("identifier")
+
+
+def plan_segments(records: DataFrame, mode: str = "exact") -> Plan:
     """The codec of each identifier segment, by what its values are: a constant is stored once, numbers by differences and runs, others by window matching."""
-    rows = segments.infer(records, "identifier", "rec_id", mode=mode).orderBy("pos").collect()  # a row per segment
-    return [Segment(r["pos"], "static" if r["is_static"] else "numeric" if r["is_numeric"] else "string", r["max_len"], r["first_value"], r["delimiter"]) for r in rows]
+    kind = lambda r: "static" if r["is_static"] else "numeric" if r["is_numeric"] else "string"
+    if mode == "first":
+        rows = segments.infer(records, "identifier", "rec_id", mode=mode).orderBy("pos").collect()
+        first = records.orderBy("rec_id").select(segments.shape_of(F.col("identifier")).alias("s")).limit(1).collect()
+        return Plan([r["s"] for r in first], [Segment(r["pos"], kind(r), r["max_len"], r["first_value"], r["delimiter"]) for r in rows])
+    shapes = segments.common_shapes(records, "identifier")
+    common = records.select("rec_id", "identifier", segments.shape_id(F.col("identifier"), shapes).alias("shape")).where("shape >= 0")
+    rows = segments.infer(common, "identifier", "rec_id", by=("shape",)).orderBy("shape", "pos").collect()  # a row per segment of a common shape
+    return Plan(shapes, [Segment(r["pos"], kind(r), r["max_len"], r["first_value"], r["delimiter"], r["shape"]) for r in rows])
+
 
+def shape_runs(shaped: DataFrame) -> DataFrame:
+    """The sequence of shapes, -1 for odd ones, as runs."""
+    return rle.encode(shaped.select("rec_id", "shape"), "rec_id", "shape")
 
-def segment_sizes(records: DataFrame, plan: list[Segment]) -> DataFrame:
-    """(part, bytes) of every segment."""
+
+def segment_sizes(records: DataFrame, plan: Plan) -> DataFrame:
+    """(part, bytes) of every segment, and of the runs of shapes where there are several."""
     spark = records.sparkSession
-    cols = segments.columns(records.select("rec_id", "identifier"), "identifier", len(plan))
+    shaped = plan.shaped(records)
+    if len(plan.shapes) > 1:
+        shaped = materialize(shaped, "shaped")
     out = None
-    for s in plan:
-        name = f"seg_{s.pos}"
+    if not plan.segments or len(plan.shapes) > 1:
+        out = shape_runs(shaped).agg((F.count("*") * 8).alias("bytes")).select(F.lit("shapes").alias("part"), "bytes")
+    for s in plan.segments:
+        name, cols = f"seg_{s.pos}", plan.columns(shaped, s.shape)
         if s.kind == "static":
             is_number = s.first_value is not None and s.first_value.isdigit()
             part = spark.range(1).select(F.lit(4 if is_number else len((s.first_value or "").encode())).cast("long").alias("bytes"))
         elif s.kind == "numeric":
-            part = rle.numeric_codec(cols.select("rec_id", F.col(name).cast("long").alias("v")), "rec_id", "v").select(F.col("bytes").cast("long"))
+            part = rle.numeric_codec(cols.select("k", F.coalesce(F.col(name).try_cast("long"), F.lit(0).cast("long")).alias("v")), "k", "v").select(F.col("bytes").cast("long"))
         else:
-            blocks = lz.compressed(lz.blocks(lz.fixed_width(cols, name, "rec_id", s.max_len), "data", ["part"]), ["part"])
+            blocks = lz.compressed(lz.blocks(lz.fixed_width(cols, name, "k", s.max_len), "data", ["part"]), ["part"])
             part = blocks.agg(F.sum(F.octet_length("flags") + F.octet_length("tokens")).cast("long").alias("bytes"))
-        part = part.select(F.lit(f"segment_{s.pos}_{s.kind}").alias("part"), "bytes")
+        part = part.select(F.lit(f"{s.name}_{s.kind}").alias("part"), "bytes")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -79,7 +129,7 @@ def report(records: DataFrame) -> DataFrame:
 
     ``total`` counts identifiers, bases, quality and four bytes; ``true_total``
     adds what restoring takes: the '+' lines where they say something and the
-    lengths of reads, as runs.
+    lengths of reads, as runs, and identifiers of no common shape.
     """
     records = materialize(records.select("rec_id", "identifier", "bases", "plus", "quality"), "records")
     plan = plan_segments(records)
@@ -90,7 +140,8 @@ def report(records: DataFrame) -> DataFrame:
     total = parts.agg((F.sum("bytes") + 4).alias("bytes")).select(F.lit("total").alias("part"), "bytes")
     runs = rle.encode(records.select("rec_id", F.octet_length("bases").alias("n")), "rec_id", "n").agg((F.count("*") * 8).alias("extra"))
     plus = records.agg(F.coalesce(F.sum(F.when(F.col("plus") != "+", F.octet_length("plus") + 4)), F.lit(0)).alias("more"))
-    true = total.crossJoin(runs).crossJoin(plus).select(F.lit("true_total").alias("part"), (F.col("bytes") + F.col("extra") + F.col("more")).alias("bytes"))  # one-row tables
+    odd = records.where(segments.shape_id(F.col("identifier"), plan.shapes) < 0).agg(F.coalesce(F.sum(F.octet_length("identifier") + 4), F.lit(0)).alias("odd"))
+    true = total.crossJoin(runs).crossJoin(plus).crossJoin(odd).select(F.lit("true_total").alias("part"), (F.col("bytes") + F.col("extra") + F.col("more") + F.col("odd")).alias("bytes"))  # one-row tables
     return parts.unionByName(original).unionByName(total).unionByName(true)
 
 
@@ -116,22 +167,21 @@ def compress(records: DataFrame, path: str, one_file: bool = False) -> None:
         return
     records = materialize(records.select("rec_id", "identifier", "bases", "plus", "quality"), "records")
     plan = plan_segments(records)
-    cols = segments.columns(records.select("rec_id", "identifier"), "identifier", len(plan))
-    parts = segments.pieces(F.col("identifier"))
-    ends = segments.delimiters_of(F.col("identifier"))
-    like = (F.size(parts) == len(plan)) & (F.array_join(ends, "") == "".join(s.delimiter for s in plan))
-    cols = cols.withColumn("__odd", ~F.coalesce(like, F.lit(False)))
-    cols.where("__odd").select("rec_id", "identifier").write.parquet(f"{path}/odd_identifiers")
-    header = spark.createDataFrame([(s.pos, s.kind, s.max_len, s.first_value, s.delimiter) for s in plan], "pos int, kind string, max_len int, first_value string, delimiter string")
-    header.coalesce(1).write.parquet(f"{path}/segments")
-    for s in plan:
-        c = F.col(f"seg_{s.pos}")
+    shaped = materialize(plan.shaped(records), "shaped")
+    shaped.where("shape < 0").select("rec_id", "identifier").write.parquet(f"{path}/odd_identifiers")
+    header = [(s.pos, s.kind, s.max_len, s.first_value, s.delimiter, s.shape) for s in plan.segments]
+    spark.createDataFrame(header, "pos int, kind string, max_len int, first_value string, delimiter string, shape int").coalesce(1).write.parquet(f"{path}/segments")
+    spark.createDataFrame(list(enumerate(plan.shapes)), "shape int, form string").coalesce(1).write.parquet(f"{path}/shapes")
+    if len(plan.shapes) != 1:
+        shape_runs(shaped).write.parquet(f"{path}/shape_runs")
+    for s in plan.segments:
+        cols, c = plan.columns(shaped, s.shape), F.col(f"seg_{s.pos}")
         if s.kind == "numeric":
-            rle.numeric_encode(cols.select("rec_id", F.coalesce(c.try_cast("long"), F.lit(0).cast("long")).alias("v")), "rec_id", "v").write.parquet(f"{path}/segment_{s.pos}")
+            rle.numeric_encode(cols.select("k", F.coalesce(c.try_cast("long"), F.lit(0).cast("long")).alias("v")), "k", "v").write.parquet(f"{path}/{s.name}")
         elif s.kind == "string":
-            fixed = lz.fixed_width(cols, f"seg_{s.pos}", "rec_id", s.max_len)
+            fixed = lz.fixed_width(cols, f"seg_{s.pos}", "k", s.max_len)
             blocks = lz.compressed(lz.blocks(fixed, "data", ["part"]), ["part"])
-            blocks.write.parquet(f"{path}/segment_{s.pos}")
+            blocks.write.parquet(f"{path}/{s.name}")
     records.where("plus <> '+'").select("rec_id", "plus").write.parquet(f"{path}/plus")
     flat.with_offsets(records.select("rec_id", "bases")).select("rec_id", "length", "offset").write.parquet(f"{path}/lengths")
     n_bases, n_quality = (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in ("bases", "quality"))
@@ -143,7 +193,7 @@ def compress(records: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def _strings(blocks: DataFrame, width: int, rows_a_part: int = 1 << 14) -> DataFrame:
-    """(rec_id, v) of a string segment's blocks."""
+    """(k, v) of a string segment's blocks."""
 
     def join(table: pa.Table) -> pa.Table:
         order = sorted(range(table.num_rows), key=table.column("block_id").to_pylist().__getitem__)
@@ -152,27 +202,33 @@ def _strings(blocks: DataFrame, width: int, rows_a_part: int = 1 << 14) -> DataF
         n = len(data) // width
         part = table.column("part")[0].as_py()
         values = [data[i * width : (i + 1) * width].rstrip(b"\0").decode() for i in range(n)]
-        return pa.table({"rec_id": pa.array([part * rows_a_part + i for i in range(n)], pa.int64()), "v": pa.array(values, pa.string())})
+        return pa.table({"k": pa.array([part * rows_a_part + i for i in range(n)], pa.int64()), "v": pa.array(values, pa.string())})
 
-    return lz.expanded(blocks, ["part"]).groupBy("part").applyInArrow(join, T.StructType([T.StructField("rec_id", T.LongType()), T.StructField("v", T.StringType())]))
+    return lz.expanded(blocks, ["part"]).groupBy("part").applyInArrow(join, T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())]))
 
 
 def decompress(spark: SparkSession, path: str) -> DataFrame:
     """The records of a container."""
     read = archive.tables(spark, path)
-    plan = [Segment(*r) for r in read("segments").orderBy("pos").collect()]
-    lengths = read("lengths")
-    ids = lengths.select("rec_id")
-    pieces = []
-    for s in plan:
-        if s.kind == "static":
-            pieces.append(F.lit(s.first_value))
-        else:
-            rows = rle.numeric_decode(read(f"segment_{s.pos}"), "rec_id", "v").withColumn("v", F.col("v").cast("string")) if s.kind == "numeric" else _strings(read(f"segment_{s.pos}"), s.max_len)
-            ids = ids.join(rows.withColumnRenamed("v", f"v{s.pos}"), "rec_id")
-            pieces.append(F.col(f"v{s.pos}"))
-        pieces.append(F.lit(s.delimiter))
-    ids = ids.join(read("odd_identifiers"), "rec_id", "left").select("rec_id", F.coalesce("identifier", F.concat(*pieces)).alias("identifier"))
+    plan = Plan([r["form"] for r in read("shapes").orderBy("shape").collect()], [Segment(*r) for r in read("segments").orderBy("shape", "pos").collect()])
+    lengths, odd = read("lengths"), read("odd_identifiers")
+    if len(plan.shapes) == 1:
+        rows = lengths.select("rec_id", F.lit(0).alias("shape"), F.col("rec_id").alias("k")).join(odd.select("rec_id"), "rec_id", "left_anti")
+    else:
+        rows = rle.decode(read("shape_runs"), "shape").withColumnRenamed("start", "rec_id")
+        rows = materialize(running_sum(rows, "rec_id", {"k": F.lit(1).cast("long")}, by=["shape"], exclusive=True), "shaped")
+    ids = odd
+    for shape in range(len(plan.shapes)):
+        own, pieces = rows.where(F.col("shape") == shape).select("rec_id", "k"), []
+        for s in plan.of(shape):
+            if s.kind == "static":
+                pieces.append(F.lit(s.first_value))
+            else:
+                values = rle.numeric_decode(read(s.name), "k", "v").withColumn("v", F.col("v").cast("string")) if s.kind == "numeric" else _strings(read(s.name), s.max_len)
+                own = own.join(values.withColumnRenamed("v", f"v{s.pos}"), "k")
+                pieces.append(F.col(f"v{s.pos}"))
+            pieces.append(F.lit(s.delimiter))
+        ids = ids.unionByName(own.select("rec_id", F.concat(*pieces).alias("identifier")))
     bases = bits.reassembled(read("bases"), lengths)
     book = huffman.canonical({r["symbol"]: r["length"] for r in read("book").collect()})
     own = lengths.select("rec_id", "length").join(read("quality_lengths"), "rec_id", "left").select("rec_id", F.coalesce("n_quality", "length").alias("length"))

@@ -172,6 +172,30 @@ def test_container_restores_odd_reads(spark, tmp_path):
     assert fastq.read_fastq(spark, str(tmp_path / "t"), check=False).count() == 4
 
 
+def test_identifiers_of_several_shapes(spark, tmp_path):
+    """Two instruments' names in one file, and one name of 500 pieces."""
+    schema = "rec_id long, identifier string, bases string, plus string, quality string"
+    name = lambda i: f"@M0.{i} run:7/1" if i % 3 else f"@SRR:{i // 2}:lane{i % 7}."
+    names = [name(i) for i in range(3000)]
+    df = spark.createDataFrame([(i, n, "ACGT", "+", "IIII") for i, n in enumerate(names)], schema)
+    plan = fastq_plan.plan_segments(df)
+    assert len(plan.shapes) == 2 and [s.kind for s in plan.of(0)] == ["static", "numeric", "static", "static", "static"] and [s.kind for s in plan.of(1)] == ["static", "numeric", "string"]
+    fastq_plan.compress(df, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c" / "odd_identifiers")).count() == 0
+    assert {r["rec_id"]: r["identifier"] for r in fastq_plan.decompress(spark, str(tmp_path / "c")).collect()} == dict(enumerate(names))
+    names[77] = ":".join(map(str, range(500)))
+    names[78], names[79] = None, ""
+    odd = spark.createDataFrame([(i, n, "ACGT", "+", "IIII") for i, n in enumerate(names)], schema)
+    assert fastq_plan.plan_segments(odd).shapes == plan.shapes
+    fastq_plan.compress(odd, str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "o" / "odd_identifiers")).count() == 3
+    assert {r["rec_id"]: r["identifier"] for r in fastq_plan.decompress(spark, str(tmp_path / "o")).collect()} == dict(enumerate(names))
+    got = {r["part"]: r["bytes"] for r in fastq_plan.report(odd).collect()}
+    assert got["shape_1_segment_0_static"] == 4 and got["true_total"] > got["total"] + 1800
+    every = spark.createDataFrame([(i, "x." * i, "A", "+", "I") for i in range(20)], schema)
+    assert len(fastq_plan.plan_segments(every, mode="exact").shapes) == 16
+
+
 def test_report_totals(spark):
     df = spark.createDataFrame([(i, f"@A.{i + 1}", "ACGT", "+", "IIII") for i in range(50)], "rec_id long, identifier string, bases string, plus string, quality string")
     got = {r["part"]: r["bytes"] for r in fastq_plan.report(df).collect()}
