@@ -10,11 +10,15 @@ misses is quantized; the bound is tighter on the coarse levels.  Blocks of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import whole_groups
+
 #: Sides of a block along x, y, z; tightening per level, and its floor.
 BLOCK = (32, 8, 8)
 ALPHA, BETA = 1.75, 3.0
@@ -41,7 +45,7 @@ def _predict(v: np.ndarray, axis: int, at: int, unit: int, size: int) -> np.ndar
 
 
 def run_block(values: np.ndarray, codes: np.ndarray | None, eb: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, outliers (NaN: none) and restored values of a block [z, y, x] with its further planes.
+    """Codes, outliers (NaN: none) and restored values of a block [z, y, x, ...] with its further planes; what follows x counts blocks of one shape.
 
     With codes None they are made from the values; otherwise values hold the
     anchors, and the originals of outliers.
@@ -89,42 +93,45 @@ def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
-def _block_array(table: pa.Table, column: str) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
-    """The column as [z, y, x], the places of the rows, and which rows are the block's own."""
-    place, own = [], np.ones(table.num_rows, bool)
-    for a, b, side in (("z", "bz", BLOCK[2]), ("y", "by", BLOCK[1]), ("x", "bx", BLOCK[0])):
-        p = table.column(a).to_numpy() - table.column(b)[0].as_py() * side
-        own &= p < side
-        place.append(p)
-    shape = tuple(int(p.max()) + 1 for p in place)
-    out = np.full(shape, np.nan)
-    out[tuple(place)] = table.column(column).to_numpy()
-    return out, tuple(place), own
+def _in_blocks(df: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+    """What `work` makes of blocks of one shape: it gets an array [z, y, x, block] of each column, and gives columns of such arrays."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, group in whole_groups(batches, 3):
+            place = [c - b * side for c, b, side in zip(cols[3:6], cols[:3], BLOCK, strict=True)]
+            sides = [np.maximum.reduceat(p, np.flatnonzero(np.diff(group, prepend=-1))) + 1 for p in place]
+            shapes, of = np.unique(np.stack(sides, 1), axis=0, return_inverse=True)
+            for k, shape in enumerate(shapes):
+                rows = np.flatnonzero(of[group] == k)
+                number = np.cumsum(np.diff(group[rows], prepend=-1) != 0) - 1
+                at = (place[2][rows], place[1][rows], place[0][rows], number)
+                arrays = []
+                for c in cols[6:]:
+                    arrays.append(np.full((*shape[::-1], int(number[-1]) + 1), np.nan))
+                    arrays[-1][at] = c[rows]
+                own = np.logical_and.reduce([p[rows] < side for p, side in zip(place, BLOCK, strict=True)])
+                inner = tuple(a[own] for a in at)
+                made = [pa.array(x[inner], pa.float64(), mask=np.isnan(x[inner])) if x.dtype == np.float64 else pa.array(x[inner]) for x in work(*arrays)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[rows][own]) for c in cols[3:6]), *made], names=names)
+
+    rows = _dealt(df, columns).select("bx", "by", "bz", *[F.col(c).cast("long").alias(c) for c in "xyz"], *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.repartition("bx", "by", "bz").sortWithinPartitions("bx", "by", "bz").mapInArrow(run, schema)
 
 
 def predicted(df: DataFrame, value: str, eb: float, radius: int = 512) -> DataFrame:
     """(x, y, z, anchor, code, outlier) of a dense array."""
 
-    def run(table: pa.Table) -> pa.Table:
-        v, place, own = _block_array(table, value)
+    def work(v: np.ndarray) -> tuple[np.ndarray, ...]:
         codes, outlier, _ = run_block(v, None, eb, radius)
-        at = tuple(p[own] for p in place)
-        anchor = (at[0] % 8 == 0) & (at[1] % 8 == 0) & (at[2] % 8 == 0)
-        nulls = lambda x: pa.array(x, pa.float64(), mask=np.isnan(x))
-        return pa.table({**{c: table.column(c).filter(pa.array(own)) for c in ("x", "y", "z")}, "anchor": nulls(np.where(anchor, v[at], np.nan)), "code": pa.array(codes[at]), "outlier": nulls(outlier[at])})
+        anchor = np.full(v.shape, np.nan)
+        anchor[::8, ::8, ::8] = v[::8, ::8, ::8]
+        return anchor, codes, outlier
 
-    return _dealt(df, [value]).groupBy("bx", "by", "bz").applyInArrow(run, "x long, y long, z long, anchor double, code long, outlier double")
+    return _in_blocks(df, [value], work, "x long, y long, z long, anchor double, code long, outlier double")
 
 
 def restored(coded: DataFrame, eb: float, radius: int = 512) -> DataFrame:
     """(x, y, z, restored)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        exact, place, own = _block_array(table, "exact")
-        codes, _, _ = _block_array(table, "code")
-        _, _, out = run_block(exact, np.nan_to_num(codes).astype(np.int64), eb, radius)
-        at = tuple(p[own] for p in place)
-        return pa.table({**{c: table.column(c).filter(pa.array(own)) for c in ("x", "y", "z")}, "restored": pa.array(out[at])})
-
     rows = coded.withColumn("exact", F.coalesce("anchor", "outlier", F.lit(float("nan"))))
-    return _dealt(rows, ["exact", "code"]).groupBy("bx", "by", "bz").applyInArrow(run, "x long, y long, z long, restored double")
+    return _in_blocks(rows, ["exact", "code"], lambda exact, codes: run_block(exact, np.nan_to_num(codes).astype(np.int64), eb, radius)[2:], "x long, y long, z long, restored double")

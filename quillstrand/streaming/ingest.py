@@ -2,8 +2,9 @@
 
 Line arithmetic needs whole files, so files are the unit: each arriving file is
 one row of the stream, and is cut into records in the task that reads it.  This keeps
-the stream free of state.  Files over a gigabyte are opened in the task, through
-Arrow's file systems, and read a piece at a time.
+the stream free of state.  Files are opened in the task, through Arrow's file systems,
+and read a piece of some megabytes at a time; those that only Spark's readers can open
+come as rows of the binaryFile source and are cut into such pieces.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..sources.fastq import PIECE, ROLES, records_in
+from ..sources.files import openable, pieces
 
 SCHEMA = "file string, rec_id long, identifier string, bases string, plus string, quality string"
 _FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -21,39 +23,32 @@ _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 def _batches(path: str, pieces: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     """Records of a file that comes in pieces."""
-    rest, done = b"", 0
-    for piece in pieces:
-        lines = (rest + piece).split(b"\n")
-        whole = (len(lines) - 1) // 4 * 4
-        rest = b"\n".join(lines[whole:])
-        for at in range(0, whole, 1 << 16):
-            part = lines[at : min(at + (1 << 16), whole)]
-            n = len(part) // 4
-            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(done, done + n), pa.int64()), *(pa.array([x.decode("utf-8", "replace") for x in part[k::4]], pa.string()) for k in range(4))], names=["file", "rec_id", "identifier", "bases", "plus", "quality"])
-            done += n
-    if rest:
-        raise ValueError(f"{path} is not a whole FASTQ file of four-line records")
+    done = 0
+    for starts, _, columns in records_in(pieces, path, 0, 1 << 62):
+        n = len(starts)
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(done, done + n), pa.int64()), *columns], names=["file", "rec_id", *ROLES])
+        done += n
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            yield from _batches(path, iter([data]))
+        for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            own = memoryview(data.as_buffer())
+            yield from _batches(path, (bytes(own[at : at + PIECE]) for at in range(0, len(own), PIECE)))
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column(0).to_pylist():
-            system, where = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(where) as f:
-                yield from _batches(path, iter(lambda: f.read(1 << 24), b""))
+            yield from _batches(path, pieces(path))
 
 
-def read_stream(spark: SparkSession, folder: str, pattern: str = "*.fastq", files_a_trigger: int = 100, whole: int = 1 << 30) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, pattern: str = "*.fastq", files_a_trigger: int = 100, **unused: int) -> DataFrame:
     """Records of files as they arrive."""
     raw = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_a_trigger).load(folder)
-    small = raw.where(F.col("length") <= whole).select("path", "content").mapInArrow(_held, SCHEMA)
-    return small.unionByName(raw.where(F.col("length") > whole).select("path").mapInArrow(_opened, SCHEMA))
+    if openable(folder):
+        return raw.select("path").mapInArrow(_opened, SCHEMA)
+    return raw.select("path", "content").mapInArrow(_held, SCHEMA)
 
 
 def write_stream(records: DataFrame, path: str, checkpoint: str):

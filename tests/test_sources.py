@@ -225,6 +225,16 @@ def test_stream_of_files(spark, tmp_path):
         write(tmp_path / "in" / "b.fastq", READS)
 
 
+def test_stream_of_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    reads = [(f"@r{i}", "ACGT" * 50, "+", "IIII" * 50) for i in range(30_000)]  # more than one piece
+    write(tmp_path / "in" / "a.fastq", reads)
+    monkeypatch.setattr(ingest, "openable", lambda path: False)
+    ingest.write_stream(ingest.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("rec_id").collect()
+    assert [tuple(r)[2:] for r in got] == reads and [r["rec_id"] for r in got] == list(range(30_000))
+
+
 def test_options():
     o = options.parse("mode=abs,eb=1e-3,predictor=spline,codec=bitshuffle,shape=3600x1800,radius=256")
     assert (o.mode, o.eb, o.predictor, o.codec, o.shape, o.bins) == (options.Mode.ABS, 1e-3, options.Predictor.SPLINE, options.Codec.BITSHUFFLE, (3600, 1800, 1), 512)
