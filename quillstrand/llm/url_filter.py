@@ -30,7 +30,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +51,7 @@ class Rule:
     tokens: tuple[str, ...]
     name: str | None = None  # host rules and those of the text language are reported by it
     exact: bool = False  # whether capitals in the path matter
+    place: int = 0  # in the list: of rules of equal rank the first wins
 
     @staticmethod
     def host(rule: str, verdict: str) -> Rule:
@@ -69,7 +70,6 @@ class Rule:
         parts = words.split()
         return Rule(r"(?<![0-9a-z])" + "[^0-9a-z]+".join(map(re.escape, parts)) + r"(?![0-9a-z])", verdict, 0, tuple(parts))
 
-
     @staticmethod
     def parse(text: str) -> Rule:
         """A rule of the text language, such as ``||ads.example^``, ``*/track/*.gif|`` or ``@@||example.org/about``."""
@@ -107,7 +107,7 @@ GENERIC = tuple(Rule.of(x) for x in ("cheap pills", "spam farm", "casino", "viag
 
 def index(rules: Iterable[Rule], frequency: dict[str, int]) -> dict[str, list[Rule]]:
     """Rules by rarest token; those without tokens under the empty one."""
-    rules = list(rules)
+    rules = [replace(r, place=k) for k, r in enumerate(rules)]
     own = Counter(t for r in rules for t in set(r.tokens))
     out: dict[str, list[Rule]] = defaultdict(list)
     for r in rules:
@@ -133,7 +133,7 @@ def judge(host: str, path: str, by_token: dict[str, list[tuple[Rule, re.Pattern]
     best = None
     for token in ("", *dict.fromkeys(TOKEN.findall(where.lower()))):
         for rule, pattern in by_token.get(token, ()):
-            if best is None or rule.rank > best.rank:
+            if best is None or (rule.rank, -rule.place) > (best.rank, -best.place):
                 if tried is not None:
                     tried.append(rule)
                 if pattern.search(where if rule.exact else where.lower()):

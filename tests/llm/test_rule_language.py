@@ -55,3 +55,11 @@ def test_few_of_many_rules_are_tried():
         best = url_filter.judge(host, path, ready, tried)
         assert (best is not None) == any(re.search(r.pattern, host + path, re.DOTALL) for r in rules if set(r.tokens) <= set(url_filter.TOKEN.findall(host + path)))
     assert len(tried) <= 2 * len(urls)  # of 5,000 rules for each
+
+
+def test_of_equal_rank_the_first_wins(spark):
+    """Whatever token a rule is filed under, and wherever that stands in the URL."""
+    pages = spark.createDataFrame([(1, "http://aa.example/zz/x"), *((k, f"http://h{k}.example/aa/") for k in range(2, 9))], "page_id long, url string")
+    for names in (("/zz/", "||aa.example^"), ("||aa.example^", "/zz/"), ("/x|", "/zz/", "||aa.example^")):
+        rules = [Rule.parse(n) for n in names]
+        assert url_filter.filter_urls(pages, [], rules).where("page_id = 1").first()["rule"] == names[0]
