@@ -9,7 +9,11 @@ other names, or nothing), whether a blank line of its row comes before it, and
 features of its form.  Transitions and emissions are counted from transcripts
 whose turns are known.  Viterbi decoding gives each line its state, also where
 markers are missing or have names never met, and turns are rendered as
-``<|role|>\\n content <|end|>\\n``.  A marker is cut off only where a turn opens.
+``<|role|>\\n``, its lines and ``<|end|>\\n``.  A marker is cut off only where a turn
+opens.  Blank lines at a turn's start and end are left out, as styles differ in them,
+and so are those where a turn goes on in another row.  Content cannot forge a mark: between
+``<`` and ``|`` it gets a backslash, one more than there were, and ``turns_of`` takes it
+out again.  The end mark is no speaker.
 
 Fit and judgement can be kept apart: with ``folds``, a conversation is judged by
 tables counted from the conversations of the other folds.
@@ -75,7 +79,7 @@ def marker(line: str) -> tuple[int, str]:
     """What a line's marker says (0: it has none), and the line without it."""
     if (m := MARKER.match(line)) and m.end():
         return next(k + 1 for k, r in enumerate(ROLES) if m[r]), line[m.end() :]
-    if m := OTHER.match(line):
+    if line.strip() != END.strip() and (m := OTHER.match(line)):
         return 1 + len(ROLES) + zlib.crc32((m["colon"] or m["mark"]).lower().encode()) % OTHERS, line[m.end() :]
     return 0, line
 
@@ -318,14 +322,37 @@ def decode_path(found: list[int], tables: tuple, enter: int, leave: int | None)
     return path[::-1]
 
 
+def escaped(line: str) -> str:
+    """The line with one more backslash in every ``<|``, ``<\\|`` and so on, so that none is a mark."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", line)
+
+
+def turns_of(text: str) -> list[tuple[str, str]]:
+    """Role and content of the turns of a canonical text."""
+    found = re.findall(r"<\|(" + "|".join(ROLES) + r")\|>\n(.*?)<\|end\|>\n", text, re.DOTALL)
+    return [(role, re.sub(r"<\\(\\*)\|", r"<\1|", content).removesuffix("\n")) for role, content in found]
+
+
 def rendered(lines: list[str], bare: list[str], path: list[int], closes: bool) -> str:
     """Lines with their states; closes: whether the line after them opens a turn, or there is none."""
-    out = []
+    out, own = [], []  # own: the lines of one turn
+
+    def put() -> None:
+        full = [k for k, line in enumerate(own) if line.strip()]
+        if full:
+            out.extend(escaped(line) + "\n" for line in own[full[0] : full[-1] + 1])
+        own.clear()
+
     for k, s in enumerate(path):
         role, opens = STATES[s]
-        out.append(f"<|{role}|>\n{bare[k]}\n" if opens else lines[k] + "\n")
+        if opens:
+            put()
+            out.append(f"<|{role}|>\n")
+        own.append(bare[k] if opens else lines[k])
         if STATES[path[k + 1]][1] if k + 1 < len(path) else closes:
+            put()
             out.append(END)
+    put()
     return "".join(out)
 
 
@@ -386,7 +413,7 @@ def transcripts(rows: DataFrame, conv: str = "conv_id", order: str = "turn", rol
     mark = F.when(F.pmod(F.xxhash64(c, o), F.lit(every)) == 0, F.lit("")).otherwise(mark)
     blank = F.when(F.pmod(F.xxhash64(c, F.lit(1)), F.lit(2)) == 0, F.lit("\n")).otherwise(F.lit(""))
     said = F.concat(mark, F.coalesce(F.col(f"`{text}`"), F.lit("")), blank)
-    # rows without a place stand alone, so no group has more rows than `turns` places have
+    # rows without a place stand alone; a group has the rows of `turns` places, and as many of each as the input repeats
     place = F.coalesce(F.floor(o / turns), F.lit(-1) - F.pmod(F.xxhash64(said), F.lit(1 << 40)))
     turn = F.struct(o.alias("at"), said.alias("said"), r.alias("role"))
     grouped = rows.groupBy(c.alias(conv), place.alias("__place")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
