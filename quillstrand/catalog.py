@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import columns as C
-from .operators import bits, bitshuffle, delta, feedback, flat, huffman, lz, rle, segments, sparse, spline, stats
+from .operators import bits, bitshuffle, delta, feedback, flat, huffman, lz, rle, segments, sparse, spline, stats, wavefront
 from .operators.scan import dense_id, running_sum
 from .plans import arrays as array_plan
 from .plans import fastq as fastq_plan
@@ -663,6 +663,13 @@ def feedback3d_roundtrip(spark, sf):
     return _fed_back(cube(spark, sf), 3, EB2, 64)
 
 
+@query(f"with recursive {_E2}, ec as materialized (select cast(x as bigint) as x, y, value from e2), {oracles.wavefront2d('ec', EB2, 8, 'wf')} select x, y, code, round(restored, 9) + 0.0 as restored from wf")
+def feedback2d_whole(spark, sf):
+    """Feedback across tiles, compressed and restored."""
+    coded = wavefront.compressed(cells(spark, sf), "value", 2, EB2, 8).drop("restored")
+    return wavefront.decompressed(coded, 2, EB2, 8).drop("outlier").withColumn("restored", F.round("restored", 9) + 0.0)
+
+
 @query(f"with {_Q1} select x, d + 512 as code from c")
 def lorenzo_no_outlier(spark, sf):
     return delta.residuals(events(spark, sf).select("x", "value"), "value", 1, EB1, 512).select("x", "code")

@@ -20,13 +20,17 @@ from .delta import AXES, TILES
 CELLS = 1 << 20
 
 
-def run_blocks(values: np.ndarray, eb: float, radius: int, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0: outlier) and restored values of blocks of 1 to 3 dimensions, the first axis counting blocks; with codes, values need only hold outliers."""
+def run_blocks(values: np.ndarray, eb: float, radius: int, codes: np.ndarray | None = None, pad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (0: outlier) and restored values of blocks of 1 to 3 dimensions, the first axis counting blocks; with codes, values need only hold outliers.
+
+    pad: restored values with one more place in front of each axis for those before the block, which are zero
+    without it; blocks come last there, and it is filled in.
+    """
     side = values.shape[1:]
     dims = len(side)
     # cells come first, so that what all blocks have at a place lies together
     values, given = np.moveaxis(values, 0, -1), None if codes is None else np.moveaxis(codes, 0, -1)
-    pad = np.zeros((*(n + 1 for n in side), values.shape[-1]))
+    pad = np.zeros((*(n + 1 for n in side), values.shape[-1])) if pad is None else pad
     made = np.zeros(values.shape, np.int64)
     offsets = [(tuple(-((m >> a) & 1) for a in range(dims)), -((-1) ** m.bit_count())) for m in range(1, 1 << dims)]
     for at in np.ndindex(*side):

@@ -60,6 +60,20 @@ def feedback(cells: str, sides: tuple[int, ...], eb: float, radius: int, name: s
 {name} as (select c.{", c.".join(axes)}, codes[c.pos + 1] as code, done[c.pos + 1] as restored from {name}_cells c join {name}_run r on r.pos = {step} and {" and ".join(f"c.t{a} = r.t{a}" for a in axes)})"""
 
 
+def wavefront2d(cells: str, eb: float, radius: int, name: str) -> str:
+    """Expressions for feedback prediction over a whole 2-D array (x, y, value): name (x, y, code, restored), an anti-diagonal at a time."""
+    code = f"case when floor(abs(s) + 0.5) < {radius} then cast(floor(abs(s) + 0.5) * (case when s >= 0 then 1 else -1 end) as bigint) + {radius} else 0 end"
+    cell = f"select d, x, y, code, case when code <> 0 then pred + (code - {radius}) * 2 * cast({eb!r} as double) else value end as restored, 0 as age from (select *, {code} as code from (select *, (value - pred) / (2 * cast({eb!r} as double)) as s from"
+    return f"""{name}_steps(d, x, y, code, restored, age) as (
+  {cell} (select 0 as d, x, y, value, 0.0 as pred from {cells} where x = 0 and y = 0)))
+  union all ({cell} (select n.d as d, c.x, c.y, c.value, 0.0 + coalesce(l.restored, 0.0) + coalesce(u.restored, 0.0) - coalesce(e.restored, 0.0) as pred
+      from (select max(d) + 1 as d from {name}_steps) n join {cells} c on c.x + c.y = n.d
+      left join {name}_steps l on l.age = 0 and l.x = c.x - 1 and l.y = c.y left join {name}_steps u on u.age = 0 and u.x = c.x and u.y = c.y - 1
+      left join {name}_steps e on e.age = 1 and e.x = c.x - 1 and e.y = c.y - 1)))
+    union all select d + 1, x, y, code, restored, 1 from {name}_steps where age = 0 and d < (select max(x + y) from {cells}))),
+{name} as (select x, y, code, restored from {name}_steps where age = 0)"""
+
+
 def spline(cells: str, sizes: tuple[str, str, str], eb: float, radius: int, name: str) -> str:
     """Expressions for spline prediction of cells (x, y, z, value): name (x, y, z, value, code, restored).
 

@@ -279,3 +279,23 @@ def test_uncoded_bytes_of_long_characters(spark):
         data[r["pos"]] = r["symbol"]
     assert bytes(data) == "AéBA€𝔵C".encode() and set(flatted) <= set(b"AB")
     assert huffman.encoded(new, "quality", "rec_id", book).count() == 1
+
+
+@pytest.mark.parametrize("shape,sides", [((50,), (7,)), ((11, 9), (4, 5)), ((5, 7, 6), (3, 2, 4))])
+def test_feedback_across_tiles_is_the_serial_one(spark, shape, sides):
+    from quillstrand.operators import wavefront
+
+    rng = np.random.default_rng(len(shape))
+    v = np.cumsum(rng.normal(0, 1, shape), axis=0) * 3
+    rows = [(*map(int, at), float(v[at])) for at in np.ndindex(*shape)]
+    axes = ("x", "y", "z")[: len(shape)]
+    df = spark.createDataFrame(rows, ", ".join(f"{a} long" for a in axes) + ", value double").repartition(3)
+    codes, restored = wavefront.serial(v, 0.05, 16)
+    coded = wavefront.compressed(df, "value", len(shape), 0.05, 16, sides).cache()
+    got = {tuple(r[: len(shape)]): (r["code"], r["restored"], r["outlier"]) for r in coded.collect()}
+    assert len(got) == v.size and (codes == 0).any() and (codes != 0).any()
+    for at in np.ndindex(*shape):
+        assert got[at] == (codes[at], restored[at], None if codes[at] else v[at])
+    back = wavefront.decompressed(coded.drop("restored"), len(shape), 0.05, 16, sides)
+    assert {tuple(r[: len(shape)]): r["restored"] for r in back.collect()} == {at: restored[at] for at in np.ndindex(*shape)}
+    assert wavefront.compressed(df.limit(0), "value", len(shape), 0.05).count() == 0
