@@ -526,6 +526,17 @@ def huffman_limited(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.sum(F.col("n") * F.col("length")).alias("cost"), F.sum(F.expr("shiftleft(1L, 9 - length)")).alias("kraft"), (F.max("length") <= 9).alias("within"))
 
 
+@query("""with recursive h as (select list_sort(list(n)) as ws from (select count(*) as n from lineitem group by l_partkey)),
+t(nodes, cost) as (select ws, cast(0 as bigint) from h union all select list_sort(list_append(nodes[3:], nodes[1] + nodes[2])), cost + nodes[1] + nodes[2] from t where len(nodes) > 1)
+select cast(len(ws) as bigint) as symbols, cost as bits from t, h where len(nodes) = 1""")
+def huffman_rounds(spark, sf):
+    """What a code for part keys takes, with lengths merged a batch of nodes at a time."""
+    counts = read_table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy("n", "l_partkey").toArrow()  # a row a symbol
+    weights = counts["n"].to_numpy()
+    lengths = huffman.lengths_in_rounds(weights)
+    return spark.createDataFrame([(len(weights), int((weights * lengths).sum()))], "symbols long, bits long")
+
+
 @query(f"with {_FQ} select rec_id, quality from fq")
 def huffman_roundtrip(spark, sf):
     r = reads(spark, sf)

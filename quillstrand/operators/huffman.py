@@ -22,6 +22,8 @@ from .scan import running_sum
 
 #: Symbols of a lane, which decodes on its own.
 LANE = 256
+#: Symbols up to which lengths come from a heap; of larger alphabets batches of nodes are merged.
+HEAP = 1 << 13
 #: Bytes of a chunk of texts.
 CHUNK = 1 << 18
 #: Longest codes of 32-bit and 64-bit words.
@@ -54,6 +56,9 @@ def byte_histogram(texts: DataFrame, text: str, bins: int = 256, smooth: int = 0
 def code_lengths(counts: dict[int, int]) -> dict[int, int]:
     """Code length per symbol of positive count; a single symbol gets one bit."""
     heap = [(n, s, (s,)) for s, n in counts.items() if n > 0]
+    if len(heap) > HEAP:
+        order = sorted((n, s) for n, s, _ in heap)
+        return {s: int(k) for (_, s), k in zip(order, lengths_in_rounds(np.array([n for n, _ in order])), strict=True)}
     if len(heap) == 1:
         return {heap[0][1]: 1}
     depth = dict.fromkeys((s for _, s, _ in heap), 0)
@@ -66,6 +71,38 @@ def code_lengths(counts: dict[int, int]) -> dict[int, int]:
     return depth
 
 
+def lengths_in_rounds(weights: np.ndarray) -> np.ndarray:
+    """Code lengths for weights in rising order, whole batches of nodes at a time: for alphabets that are too large for a heap.
+
+    A node of the two least weighs `most`; all nodes up to that weight are pairs of neighbours
+    at once, as none of their sums can come between them.  The sums, in order already, are
+    merged with the nodes that are left.  From the root down, a node's children are one longer than it.
+    """
+    n = len(weights)
+    if n < 2:
+        return np.ones(n, np.int64)
+    own, number = weights.astype(np.int64), np.arange(n)
+    parent, made = np.zeros(2 * n - 1, np.int64), n
+    while len(own) > 1:
+        k = int(np.searchsorted(own, own[0] + own[1], "right"))
+        k -= k % 2
+        sums, new = own[:k:2] + own[1:k:2], np.arange(made, made + k // 2)
+        parent[number[:k]] = np.repeat(new, 2)
+        made += k // 2
+        # merge of two sorted lists: each node's place is its own and how many of the other list come before it
+        left, names = own[k:], number[k:]
+        at_left = np.arange(len(left)) + np.searchsorted(sums, left, "left")
+        at_sums = np.arange(len(sums)) + np.searchsorted(left, sums, "right")
+        own, number = np.empty(len(left) + len(sums), np.int64), np.empty(len(left) + len(sums), np.int64)
+        own[at_left], own[at_sums], number[at_left], number[at_sums] = left, sums, names, new
+    # lengths by pointer doubling: how far the root is
+    far, up = np.ones(2 * n - 1, np.int64), parent
+    far[2 * n - 2], up[2 * n - 2] = 0, 2 * n - 2
+    while (up != 2 * n - 2).any():
+        far, up = far + far[up], up[up]
+    return far[:n]
+
+
 def limited_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
     """The code lengths of least cost that are `most` at most, by package-merge.
 

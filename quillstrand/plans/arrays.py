@@ -7,12 +7,11 @@ Nothing has a fixed capacity.
 
 from __future__ import annotations
 
-import functools
 import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitshuffle, delta, huffman, spline, stats
@@ -30,6 +29,15 @@ def linear(shape: tuple[int, int, int]):
     return F.col("x") + F.col("y") * x + F.col("z") * (x * y)
 
 
+#: Parts of an archive in their order, bytes of the header, and bytes of a row of the others.
+PARTS, HEADER, WIDTHS = ("header", "book", "anchors", "outliers", "codes"), 128, {"book": 5, "anchors": 4, "outliers": 12}
+
+
+def _body(coded: bool):
+    """Bytes of a chunk, Huffman-coded or in bit planes."""
+    return F.octet_length("cells") + F.octet_length("marks") + 12 if coded else F.octet_length("flags") + F.octet_length("words") + 8
+
+
 def absolute_bound(df: DataFrame, options: Options, value: str = "value") -> float:
     return delta.relative_bound(df, value, options.eb) if options.mode is Mode.REL else options.eb
 
@@ -79,8 +87,15 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value", o
     lap("bound")
     coded = materialize(predict(df, options, eb, value).withColumn("idx", linear(options.shape)), "codes")
     lap("predict")
-    coded.where(F.col("outlier").isNotNull()).select("idx", "outlier").write.parquet(f"{path}/outliers")
-    coded.where(F.col("anchor").isNotNull()).select("idx", "anchor").write.parquet(f"{path}/anchors")
+    seen: list[tuple[str, Observation]] = []
+
+    def put(rows: DataFrame, name: str, width) -> None:
+        """Write a table, and see in the same pass how many rows and bytes it has."""
+        seen.append((name, Observation()))
+        rows.observe(seen[-1][1], F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.lit(1) * width), F.lit(0)).cast("long").alias("bytes")).write.parquet(f"{path}/{name}")
+
+    put(coded.where(F.col("outlier").isNotNull()).select("idx", "outlier"), "outliers", F.lit(WIDTHS["outliers"]))
+    put(coded.where(F.col("anchor").isNotNull()).select("idx", "anchor"), "anchors", F.lit(WIDTHS["anchors"]))
     lap("outliers")
     if "hist" in options.dump:
         huffman.histogram(coded, "code", options.bins).write.parquet(f"{path}/dump_hist")
@@ -88,12 +103,14 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value", o
         coded.select("idx", F.col("code").cast("int").alias("code")).write.parquet(f"{path}/dump_quant")
     if options.codec is Codec.HUFFMAN:
         book = options.codebook or huffman.build(huffman.histogram(coded, "code", options.bins))
-        huffman.book_frame(spark, book).coalesce(1).write.parquet(f"{path}/book")
+        put(huffman.book_frame(spark, book).coalesce(1), "book", F.lit(WIDTHS["book"]))
         lap("book")
-        _huffman_chunks(coded, book).write.parquet(f"{path}/codes")
+        put(_huffman_chunks(coded, book), "codes", _body(True))
     else:
-        bitshuffle.encoded(coded, "idx", "code").write.parquet(f"{path}/codes")
+        put(bitshuffle.encoded(coded, "idx", "code"), "codes", _body(False))
     lap("encode")
+    sizes = {"header": (1, HEADER)} | {name: (o.get["rows"], o.get["bytes"]) for name, o in seen}
+    spark.createDataFrame([(name, *sizes[name]) for name in PARTS if name in sizes], "part string, rows long, bytes long").coalesce(1).write.parquet(f"{path}/measures")
     x, y, z = options.shape
     header = [(options.mode.value, options.eb, eb, options.predictor.value, options.codec.value, options.radius, x, y, z)]
     spark.createDataFrame(header, "mode string, eb double, abs_eb double, predictor string, codec string, radius int, x long, y long, z long").coalesce(1).write.parquet(f"{path}/header")
@@ -126,22 +143,22 @@ def verify(original: DataFrame, restored: DataFrame, shape: tuple[int, int, int]
     return stats.assess(both, value, "restored", "idx")
 
 
-def size_report(spark: SparkSession, path: str) -> DataFrame:
-    """(part, start, bytes, share) of an archive, by what its rows hold; start is where a part would begin in one file of all of them."""
+def size_report(spark: SparkSession, path: str, again: bool = False) -> DataFrame:
+    """(part, start, bytes, share) of an archive, by what its rows hold; start is where a part would begin in one file of all of them.
+
+    Sizes are those that `compress` saw when it wrote; `again` counts them anew.
+    """
     read = archive.tables(spark, path)
-    h, chunks = read("header").first(), read("codes")
-    coded = h["codec"] == Codec.HUFFMAN.value
-    body = F.octet_length("cells") + F.octet_length("marks") + 12 if coded else F.octet_length("flags") + F.octet_length("words") + 8
-    parts = [spark.range(1).select(F.lit("header").alias("part"), F.lit(128).cast("long").alias("bytes"))]
-    if coded:
-        parts.append(read("book").agg((F.count("*") * 5).alias("bytes")).withColumn("part", F.lit("book")))
-    for name, width in (("anchors", 4), ("outliers", 12)):
-        parts.append(read(name).agg((F.count("*") * width).alias("bytes")).withColumn("part", F.lit(name)))
-    parts.append(chunks.agg(F.coalesce(F.sum(body), F.lit(0)).cast("long").alias("bytes")).withColumn("part", F.lit("codes")))
+    sizes = {r["part"]: r["bytes"] for r in read("measures").collect()}  # a row a part
+    if again:
+        coded = read("header").first()["codec"] == Codec.HUFFMAN.value
+        sizes = {"header": HEADER} | {name: read(name).count() * width for name, width in WIDTHS.items() if name in sizes}
+        sizes["codes"] = read("codes").agg(F.coalesce(F.sum(_body(coded)), F.lit(0)).cast("long")).first()[0]
     rows, at = [], 0
-    for row in functools.reduce(DataFrame.unionByName, [p.withColumn("k", F.lit(k)) for k, p in enumerate(parts)]).orderBy("k").collect():  # five rows
-        rows.append((row["part"], at, row["bytes"]))
-        at += row["bytes"]
+    for name in PARTS:
+        if name in sizes:
+            rows.append((name, at, sizes[name]))
+            at += sizes[name]
     return spark.createDataFrame([(*r, r[2] / at) for r in rows], "part string, start long, bytes long, share double")
 
 

@@ -299,3 +299,16 @@ def test_feedback_across_tiles_is_the_serial_one(spark, shape, sides):
     back = wavefront.decompressed(coded.drop("restored"), len(shape), 0.05, 16, sides)
     assert {tuple(r[: len(shape)]): r["restored"] for r in back.collect()} == {at: restored[at] for at in np.ndindex(*shape)}
     assert wavefront.compressed(df.limit(0), "value", len(shape), 0.05).count() == 0
+
+
+def test_lengths_in_rounds_cost_what_a_heap_gives(monkeypatch):
+    rng = np.random.default_rng(9)
+    for w in (rng.integers(1, 50, 65_536), rng.zipf(1.3, 5000) % 10**9 + 1, np.array([1, 1]), np.array([5]), np.ones(1000, np.int64), np.array([1, 1, 2, 3, 5, 8, 13, 21])):
+        w = np.sort(w.astype(np.int64))
+        got = huffman.lengths_in_rounds(w)
+        monkeypatch.setattr(huffman, "HEAP", 1 << 20)
+        plain = huffman.code_lengths(dict(enumerate(w.tolist())))
+        assert (got * w).sum() == sum(int(w[s]) * k for s, k in plain.items())
+        assert len(w) == 1 or sum(2.0 ** -got) == 1
+        monkeypatch.setattr(huffman, "HEAP", 0)
+        assert huffman.code_lengths(dict(enumerate(w.tolist()))) == dict(enumerate(got.tolist()))

@@ -252,6 +252,8 @@ def test_own_codebook(spark, tmp_path):
     o = options.Options(options.Mode.ABS, 0.1, shape=(600, 1, 1), codebook=book)
     took = array_plan.compress(df, o, str(tmp_path / "a"))
     assert set(took) >= {"predict", "encode"}
+    seen = array_plan.size_report(spark, str(tmp_path / "a"))
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, array_plan.size_report(spark, str(tmp_path / "a"), again=True).collect()))
     q = array_plan.verify(df, array_plan.decompress(spark, str(tmp_path / "a")), (600, 1, 1)).first()
     assert q["n"] == 600 and q["max_abs_err"] <= 0.1 * 1.001
 
