@@ -16,6 +16,7 @@ from .plans import fastq as fastq_plan
 from .plans.options import Codec, Mode, Options, Predictor
 from .session import materialize, read_table, scratch_path
 from .sources import arrays, fastq, parts
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -749,6 +750,15 @@ def fastq_file_roundtrip(spark, sf):
     return fastq.numbered_over_files(fastq.read_fastq(spark, path, range_bytes=10_000))
 
 
+@query(f"with {_FQ} select identifier, bases, plus, quality from fq")
+def fastq_stream(spark, sf):
+    """Reads written as FASTQ text and taken in as a stream, by all records that are whole."""
+    path = scratch_path(spark, "reads")
+    fastq.write_fastq(reads(spark, sf), path)
+    ingest.write_stream(ingest.read_growing(spark, path, range_bytes=10_000), f"{path}-out", f"{path}-state").awaitTermination()
+    return spark.read.parquet(f"{path}-out").select("identifier", "bases", "plus", "quality")
+
+
 @query(f"with {_FQ} select * from fq")
 def fastq_one_file_roundtrip(spark, sf):
     path = scratch_path(spark, "fastq")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader
 
 from ..operators.scan import dense_id
 from ..session import materialize
@@ -57,15 +57,18 @@ def as_text(column: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
 
 
-def records_in(parts: Iterator[bytes], name: str, at: int, until: int, whole: bool = True, strip_cr: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+def records_in(parts: Iterator[bytes], name: str, at: int, until: int, whole: bool | None = True, strip_cr: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
     """(starts, sizes, four columns) of the records that begin before byte `until`; `parts` go on from byte `at`, where a record begins.
 
-    What follows the last whole record of the file raises an error if `whole`; else it is a record that lacks lines, and its size counts the line feed that is missing.
+    What follows the last whole record of the file raises an error if `whole`; if that is false it is a record that
+    lacks lines, whose size counts the line feed that is missing; if it is None it is left for later.
     """
     rest, ended = b"", False
     while at < until and not ended:
         data = next(parts, None)
         ended = data is None
+        if ended and rest and whole is None:
+            return
         if ended and rest and not whole:
             lines = rest.split(b"\n")
             lines = lines[:-1] if len(lines) > 1 and not lines[-1] else lines
@@ -152,13 +155,57 @@ class FastqReader(DataSourceReader):
         if at >= r.b:
             return
         for starts, sizes, columns in records_in(files.pieces(r.file, at, PIECE), r.file, at, r.b, self.whole, self.strip_cr):
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array([r.file] * n, pa.string()), pa.array([r.number] * n, pa.int32()), pa.array(np.arange(nth, nth + n)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), *columns], names=["file", "range", "nth", "start", "size", *ROLES])
-            nth += n
+            yield _batch(r, nth, starts, sizes, columns)
+            nth += len(starts)
+
+
+def _batch(r: Range, nth: int, starts: np.ndarray, sizes: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
+    n = len(starts)
+    return pa.RecordBatch.from_arrays([pa.array([r.file] * n, pa.string()), pa.array([r.number] * n, pa.int32()), pa.array(np.arange(nth, nth + n)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), *columns], names=["file", "range", "nth", "start", "size", *ROLES])
+
+
+class FastqStream(DataSourceStreamReader):
+    """Records as files arrive and grow: an offset says how many bytes of each file have been read.
+
+    A record belongs to the batch, and to the range of it, that its last byte is in, so one
+    that is cut by what has been written so far waits for the rest.  The task finds where it
+    begins by going back from there.  Nothing but the offsets is kept between batches.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.options = dict(options)
+        self.range_bytes, self.strip_cr = int(options.get("rangebytes", RANGE)), options.get("stripcr", "false") == "true"
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {name: size for name, size in files.files_of(self.options) if name[name.rfind(".") :] not in files.PACKED}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for name, size in end.items():
+            if size < start.get(name, 0):
+                raise ValueError(f"{name} has shrunk")
+            out += [Range(name, size, k, a, min(a + self.range_bytes, size)) for k, a in enumerate(range(start.get(name, 0), size, self.range_bytes))]
+        return out
+
+    def read(self, r: Range | None) -> Iterator[pa.RecordBatch]:
+        if r is None:
+            return
+        back, at = 1 << 16, 0
+        while r.a > back and (at := first_record(Range(r.file, r.size, 0, r.a - back, r.a + 1))) > r.a:
+            back, at = back * 4, 0
+        nth = 0
+        for starts, sizes, columns in records_in(files.pieces(r.file, at, PIECE), r.file, at, r.b, None, self.strip_cr):
+            own = np.flatnonzero((starts + sizes > r.a) & (starts + sizes <= r.b))
+            if len(own):
+                yield _batch(r, nth, starts[own], sizes[own], [c.take(pa.array(own)) for c in columns])
+                nth += len(own)
 
 
 class Fastq(DataSource):
-    """spark.read.format("fastq"): records of four lines, from byte ranges that are fixed when the source is planned.
+    """spark.read.format("fastq"), and spark.readStream for files that arrive and grow: records of four lines, from byte ranges that are fixed when the source is planned.
 
     A record belongs to the range that it begins in, and tasks find the first one
     themselves, so files are read once, and no setting of the session changes rows.
@@ -177,6 +224,9 @@ class Fastq(DataSource):
     def reader(self, schema: T.StructType) -> FastqReader:
         return FastqReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> FastqStream:
+        return FastqStream(self.options)
+
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
     """(file, split, size, nth, line), written once: nth numbers the lines of a task without gaps, so those of a split too."""

@@ -1,10 +1,13 @@
-"""New FASTQ files as a stream.
+"""FASTQ files as a stream: whole ones as they arrive, or files that grow.
 
-Line arithmetic needs whole files, so files are the unit: each arriving file is
+Where files are the unit (`read_stream`), each arriving file is
 one row of the stream, and is cut into records in the task that reads it.  This keeps
 the stream free of state.  Files are opened in the task, through Arrow's file systems,
 and read a piece of some megabytes at a time; those that only Spark's readers can open
 come as rows of the binaryFile source and are cut into such pieces.
+
+Files that are appended to (`read_growing`) are read on from where the last batch ended,
+which the checkpoint holds.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.fastq import PIECE, ROLES, records_in
-from ..sources.files import openable, pieces
+from ..sources.fastq import PIECE, RANGE, ROLES, Fastq, records_in
+from ..sources.files import openable, pieces, registered
 
 SCHEMA = "file string, rec_id long, identifier string, bases string, plus string, quality string"
 _FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -51,6 +54,11 @@ def read_stream(spark: SparkSession, folder: str, pattern: str = "*.fastq", file
     return raw.select("path", "content").mapInArrow(_held, SCHEMA)
 
 
+def read_growing(spark: SparkSession, folder: str, range_bytes: int = RANGE) -> DataFrame:
+    """Records of files that arrive and are appended to, with the byte at which each begins; a record comes when it is whole."""
+    return registered(spark, Fastq).readStream.format("fastq").option("rangeBytes", range_bytes).load(folder).select("file", "start", *ROLES)
+
+
 def write_stream(records: DataFrame, path: str, checkpoint: str):
     """Append records to a Parquet folder, once for everything there is."""
     return records.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)

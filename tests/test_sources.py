@@ -235,6 +235,29 @@ def test_stream_of_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
     assert [tuple(r)[2:] for r in got] == reads and [r["rec_id"] for r in got] == list(range(30_000))
 
 
+@pytest.mark.parametrize("range_bytes", [1 << 20, 5000])
+def test_a_file_that_grows(spark, tmp_path, range_bytes):
+    """Three steps, cut inside records, with a new start from the checkpoint each time."""
+    (tmp_path / "in").mkdir()
+    reads = [(f"@r{i}", "ACGT" * (i % 23), "+", "@+!I" * (i % 23)) for i in range(3000)]
+    text = ("\n".join("\n".join(r) for r in reads) + "\n").encode()
+    at, counts = 0, []
+    for to in (70_001, 150_123, len(text)):
+        with open(tmp_path / "in" / "a.fastq", "ab") as f:
+            f.write(text[at:to])
+        at = to
+        if counts:
+            write(tmp_path / "in" / f"b{len(counts)}.fastq", READS[:3])
+        ingest.write_stream(ingest.read_growing(spark, str(tmp_path / "in"), range_bytes), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        counts.append(spark.read.parquet(str(tmp_path / "out")).count())
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("file", "start").collect()
+    whole = text[:70_001].count(b"\n") // 4
+    assert counts[0] == whole and [tuple(r)[2:] for r in got if r["file"].endswith("a.fastq")] == reads
+    assert [tuple(r)[2:] for r in got if not r["file"].endswith("a.fastq")] == READS[:3] * 2
+    one = files.registered(spark, fastq.Fastq).read.format("fastq").load(str(tmp_path / "in")).select("file", "start", *fastq.ROLES)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, got))
+
+
 def test_options():
     o = options.parse("mode=abs,eb=1e-3,predictor=spline,codec=bitshuffle,shape=3600x1800,radius=256")
     assert (o.mode, o.eb, o.predictor, o.codec, o.shape, o.bins) == (options.Mode.ABS, 1e-3, options.Predictor.SPLINE, options.Codec.BITSHUFFLE, (3600, 1800, 1), 512)
