@@ -44,34 +44,47 @@ def matches(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(better, run, best), np.where(better, first, away)
 
 
+def _orbit(then: np.ndarray) -> np.ndarray:
+    """Which places are come by from 0, going from each to then[place]; the last place stays where it is."""
+    seen = np.zeros(len(then), bool)
+    seen[0] = True
+    for _ in range(len(then).bit_length()):
+        seen[then[seen]] = True
+        then = then[then]  # twice as far with every round
+    return seen
+
+
 def compress(data: bytes) -> tuple[bytes, bytes]:
     """Flags and tokens of one block."""
     block = np.frombuffer(data.ljust(BLOCK, b"\0"), np.uint8)
-    length, away = (x.tolist() for x in matches(block))
-    raw, out, flags, i = block.tolist(), bytearray(), [], 0
-    while i < len(raw):
-        pair = length[i] >= LEAST
-        flags.append(pair)
-        out += bytes((length[i], away[i])) if pair else bytes((raw[i],))
-        i += length[i] if pair else 1
-    return np.packbits(flags, bitorder="little").tobytes(), bytes(out)
+    length, away = matches(block)
+    pair = length >= LEAST
+    then = np.append(np.minimum(np.arange(len(block)) + np.where(pair, length, 1), len(block)), len(block))
+    at = np.flatnonzero(_orbit(then)[:-1])
+    own = pair[at]
+    place = np.cumsum(1 + own) - 1 - own
+    out = np.empty(int((1 + own).sum()), np.uint8)
+    out[place] = np.where(own, length[at], block[at])
+    out[place[own] + 1] = away[at][own]
+    return np.packbits(own, bitorder="little").tobytes(), out.tobytes()
 
 
 def expand(flags: bytes, tokens: bytes, size: int = BLOCK) -> bytes:
-    """The block of its flags and tokens."""
-    out, i = bytearray(), 0
-    for pair in np.unpackbits(np.frombuffer(flags, np.uint8), bitorder="little"):
-        if len(out) >= size:
-            break
-        if pair:
-            length, away = tokens[i], tokens[i + 1]
-            at = len(out) - away
-            out += out[at : at + length]
-            i += 2
-        else:
-            out.append(tokens[i])
-            i += 1
-    return bytes(out)
+    """The block of its flags and tokens: places that repeat others point to them, and pointers are followed twice as far with every round."""
+    pair = np.unpackbits(np.frombuffer(flags, np.uint8), bitorder="little").astype(np.int64)
+    raw = np.frombuffer(tokens, np.uint8)
+    at = np.cumsum(1 + pair) - 1 - pair
+    pair, at = pair[at < len(raw)], at[at < len(raw)]  # the last flags byte may have flags of no token
+    length = np.where(pair, raw[at], 1).astype(np.int64)
+    away = np.where(pair, raw[np.minimum(at + 1, len(raw) - 1)], 0)
+    start = np.cumsum(length) - length
+    length = np.minimum(length, np.maximum(size - start, 0))
+    token = np.repeat(np.arange(len(at)), length)
+    place = np.arange(len(token))
+    source = place - away[token]
+    while (source[source] != source).any():
+        source = source[source]
+    return raw[at[token]][source].tobytes()
 
 
 def blocks(df: DataFrame, data: str, keys: list[str]) -> DataFrame:
