@@ -1,8 +1,8 @@
 """Lorenzo prediction with feedback: each value is predicted from restored neighbours.
 
-The recurrence is serial inside a block and values outside a block count as
-zero, so blocks are independent: a task takes many at a time and they go
-through their cells in step, one cell of all blocks after the other.
+Values outside a block count as zero, so blocks are independent: a task takes
+many at a time and they go through their cells in step, one anti-diagonal of all
+blocks after the other.
 """
 
 from __future__ import annotations
@@ -33,7 +33,12 @@ def run_blocks(values: np.ndarray, eb: float, radius: int, codes: np.ndarray | N
     pad = np.zeros((*(n + 1 for n in side), values.shape[-1])) if pad is None else pad
     made = np.zeros(values.shape, np.int64)
     offsets = [(tuple(-((m >> a) & 1) for a in range(dims)), -((-1) ** m.bit_count())) for m in range(1, 1 << dims)]
-    for at in np.ndindex(*side):
+    # cells whose places add up to the same do not need each other
+    place = np.indices(side).reshape(dims, -1)
+    total = place.sum(0)
+    order = np.argsort(total, kind="stable")
+    for cells in np.split(order, np.flatnonzero(np.diff(total[order])) + 1):
+        at = tuple(place[:, cells])
         pred = sum(sign * pad[tuple(i + 1 + o for i, o in zip(at, off, strict=True))] for off, sign in offsets)
         if given is None:
             steps = (values[at] - pred) / (2 * eb)
