@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import columns as C
-from .operators import bits, bitshuffle, delta, feedback, flat, huffman, lz, rle, segments, sparse, spline, stats, wavefront
-from .operators.scan import dense_id, running_sum
+from .operators import bits, bitshuffle, delta, feedback, flat, huffman, lz, rle, segments, sparse, spline, stats, wavefront, wide
+from .operators.scan import dense_id, lagged, running_sum
 from .plans import arrays as array_plan
 from .plans import fastq as fastq_plan
 from .plans.options import Codec, Mode, Options, Predictor
@@ -531,11 +531,38 @@ def huffman_limited(spark, sf):
 t(nodes, cost) as (select ws, cast(0 as bigint) from h union all select list_sort(list_append(nodes[3:], nodes[1] + nodes[2])), cost + nodes[1] + nodes[2] from t where len(nodes) > 1)
 select cast(len(ws) as bigint) as symbols, cost as bits from t, h where len(nodes) = 1""")
 def huffman_rounds(spark, sf):
-    """What a code for part keys takes, with lengths merged a batch of nodes at a time."""
-    counts = read_table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy("n", "l_partkey").toArrow()  # a row a symbol
-    weights = counts["n"].to_numpy()
-    lengths = huffman.lengths_in_rounds(weights)
-    return spark.createDataFrame([(len(weights), int((weights * lengths).sum()))], "symbols long, bits long")
+    """What a code for part keys takes, with all nodes of a weight merged at a time."""
+    return wide.cost(read_table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")))
+
+
+#: Words of eight bases, as numbers of eight digits to the base of five.
+_WORDS = f"""{_FQ}, w as (select 4 * rec_id + i as idx, substr(bases, cast(8 * i + 1 as bigint), 8) as word from fq, (select unnest(range(4)) as i)),
+words as (select idx, cast(list_sum(list_transform(range(8), lambda k: (instr('ACGTN', substr(word, k + 1, 1)) - 1) * cast(5 ** (7 - k) as bigint))) as bigint) as symbol from w)"""
+
+
+def base_words(spark: SparkSession, sf: str) -> DataFrame:
+    """(idx, symbol): reads as words of eight bases, whose alphabet has 5**8 symbols."""
+    words = F.posexplode(F.array(*[F.substring("bases", 8 * i + 1, 8) for i in range(4)])).alias("i", "word")
+    return reads(spark, sf).select("rec_id", words).select((4 * F.col("rec_id") + F.col("i")).alias("idx"), F.conv(F.translate("word", "ACGTN", "01234"), 5, 10).cast("long").alias("symbol"))
+
+
+@query(f"with {_WORDS} select idx, symbol from words")
+def huffman_wide_roundtrip(spark, sf):
+    """Words of bases, coded by a book that no task holds, and back."""
+    words = materialize(base_words(spark, sf), "words")
+    book = wide.book(words)
+    return wide.decoded(materialize(wide.encoded(words, book), "chunks"), book)
+
+
+@query(f"with {_WORDS}, n as (select symbol, count(*) as n from words group by 1) select n, count(*) as symbols, cast(1 as double) as kraft, true as in_order, true as one_code from n group by n")
+def huffman_wide_book(spark, sf):
+    """The book of words of bases by how often they occur: symbols, Kraft's sum of the whole book, whether no rarer word has a shorter code, and whether no two words share one."""
+    book = wide.book(base_words(spark, sf))
+    kraft = book.agg(F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("kraft"), (F.countDistinct("length", "code") == F.count("*")).alias("one_code"))
+    spans = book.groupBy("n").agg(F.count("*").alias("symbols"), F.min("length").alias("least"), F.max("length").alias("most"))
+    rarer = lagged(spans, "n", {"before": F.col("least")})
+    # weights in order: the longest code of one is no longer than the shortest of the next rarer
+    return rarer.crossJoin(kraft).select("n", "symbols", "kraft", F.coalesce(F.col("most") <= F.col("before"), F.lit(True)).alias("in_order"), "one_code")  # a one-row table
 
 
 @query(f"with {_FQ} select rec_id, quality from fq")

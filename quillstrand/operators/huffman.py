@@ -149,6 +149,15 @@ class Book:
         return [(s, n, c) for s, (c, n) in sorted(self.codes.items())]
 
 
+def first_codes(symbols: dict[int, int]) -> dict[int, int]:
+    """The least code of each length up to the longest, by how many symbols each has."""
+    first, at = {}, 0
+    for n in range(max(symbols, default=0), 0, -1):
+        first[n] = at
+        at = -(-(at + symbols.get(n, 0)) // 2)
+    return first
+
+
 def canonical(lengths: dict[int, int], word: int = 32) -> Book:
     """Codes from lengths alone: the longest length starts at zero, and each shorter one after half of what the longer ones used."""
     most = max(lengths.values(), default=0)
@@ -157,10 +166,7 @@ def canonical(lengths: dict[int, int], word: int = 32) -> Book:
     by: dict[int, list[int]] = {}
     for s in sorted(lengths):
         by.setdefault(lengths[s], []).append(s)
-    first, at = {}, 0
-    for n in range(most, 0, -1):
-        first[n] = at
-        at = -(-(at + len(by.get(n, ()))) // 2)
+    first = first_codes({n: len(symbols) for n, symbols in by.items()})
     codes, entry, keys = {}, {}, []
     for n in range(1, most + 1):
         entry[n] = len(keys)
@@ -221,43 +227,57 @@ def encode_chunk(symbols: np.ndarray, book: Book) -> tuple[int, bytes, bytes]:
     n = length[symbols]
     if (n == 0).any():
         raise ValueError("a symbol has no code in this book")
+    return pack_codes(code[symbols], n)
+
+
+def pack_codes(code: np.ndarray, n: np.ndarray) -> tuple[int, bytes, bytes]:
+    """What `encode_chunk` gives, of codes (unsigned) and their lengths."""
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
     if total >= 1 << 32:
         raise ValueError("a chunk of over 512 MB of code")
     # bit j of a code, counted from its end
     back = np.repeat(ends, n) - 1 - np.arange(total)
-    bits = (np.repeat(code[symbols], n) >> back.astype(np.uint64)) & np.uint64(1)
+    bits = (np.repeat(code, n) >> back.astype(np.uint64)) & np.uint64(1)
     return total, np.packbits(bits.astype(np.uint8)).tobytes().ljust(-(-total // 32) * 4, b"\0"), (ends - n)[::LANE].astype("<u4").tobytes()
 
 
 def decode_chunk(cells: bytes, n: int, marks: bytes, book: Book) -> np.ndarray:
-    """The n symbols of a chunk: all its lanes go in step, a symbol each at a time.
+    """The n symbols of a chunk."""
+    sizes = {length for _, length in book.codes.values()}
+    length, code = split_codes(cells, n, marks, {k: book.first[k] for k in sizes})
+    place = np.zeros(book.longest + 1, np.int64)  # of a length's code 0 among the sorted symbols, were there one
+    for k in sizes:
+        place[k] = book.entry[k] - book.first[k]
+    return np.array(book.keys, np.int64)[place[length] + code] if n else np.zeros(0, np.int64)
+
+
+def split_codes(cells: bytes, n: int, marks: bytes, first: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and codes of a chunk's n symbols, from the least code of each length that has any: all its lanes go in step, a symbol each at a time.
 
     Left-justified, the codes of a length are a range of their own, and longer
     ones come lower: the place of what comes next among the ranges tells its length.
     """
     at = np.frombuffer(marks, "<u4").astype(np.int64)
     if not n:
-        return np.zeros(0, np.int64)
-    most = book.longest
-    sizes = sorted({length for _, length in book.codes.values()}, reverse=True)
-    lowest = np.array([book.first[k] << (most - k) for k in sizes], np.uint64)
-    size, first, entry = np.array(sizes), np.array([book.first[k] for k in sizes], np.int64), np.array([book.entry[k] for k in sizes])
-    keys, word = np.array(book.keys), np.concatenate([np.frombuffer(cells, ">u4").astype(np.uint64), np.zeros(3, np.uint64)])
-    left = np.minimum(np.full(len(at), LANE), n - np.arange(len(at)) * LANE)
-    out = np.zeros((len(at), LANE), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = sorted(first, reverse=True)
+    most = sizes[0]
+    lowest, size = np.array([first[k] << (most - k) for k in sizes], np.uint64), np.array(sizes)
+    word = np.concatenate([np.frombuffer(cells, ">u4").astype(np.uint64), np.zeros(3, np.uint64)])
+    left = n - LANE * (len(at) - 1)
+    length, code = np.zeros((2, len(at), LANE), np.int64)
     for step in range(min(n, LANE)):
-        live = len(at) if left[-1] > step else len(at) - 1  # only the last lane may be shorter
+        live = len(at) if left > step else len(at) - 1  # only the last lane may be shorter
         p = at[:live]
         cell, shift = p >> 5, (p & 31).astype(np.uint64)
         ahead = (word[cell] << np.uint64(32) | word[cell + 1]) << shift | word[cell + 2] >> (np.uint64(32) - shift)
         peek = ahead >> np.uint64(64 - most)
-        k = np.searchsorted(lowest, peek, "right") - 1
-        n_bits = size[k]
-        out[:live, step] = keys[entry[k] + (peek >> (most - n_bits).astype(np.uint64)).astype(np.int64) - first[k]]
+        n_bits = size[np.searchsorted(lowest, peek, "right") - 1]
+        length[:live, step] = n_bits
+        code[:live, step] = (peek >> (most - n_bits).astype(np.uint64)).astype(np.int64)
         at[:live] += n_bits
-    return out.ravel()[:n] if left[-1] == LANE else np.concatenate([out[:-1].ravel(), out[-1, : left[-1]]])
+    return length.ravel()[:n], code.ravel()[:n]
 
 
 def without_uncoded(texts: DataFrame, text: str, key: str, book: Book, replacement: int) -> tuple[DataFrame, DataFrame]:

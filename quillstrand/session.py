@@ -84,8 +84,8 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n", least: int = 256, share:
     return counts.where(F.col(n) > max(least, total // share))
 
 
-def join_hot(rows: DataFrame, counts: DataFrame, key: str, n: str = "n", least: int = 256) -> DataFrame:
-    """rows joined to the one row of `counts` that has their key; rows of hot keys stay where they are.
+def join_hot(rows: DataFrame, counts: DataFrame, key: str, n: str = "n", least: int = 256, how: str = "inner") -> DataFrame:
+    """rows joined to the one row of `counts` that has their key; rows of hot keys stay where they are.  how is inner, or left to keep rows without one.
 
     `counts` has a row for each key with the number `n` of its rows.  Keys over a
     thousandth of all rows, fewer than 1,000, are broadcast; the others meet by a
@@ -93,9 +93,9 @@ def join_hot(rows: DataFrame, counts: DataFrame, key: str, n: str = "n", least:
     """
     hot = hot_keys(counts, key, n, least)
     if hot.isEmpty():
-        return rows.join(counts, key)
+        return rows.join(counts, key, how)
     names = F.broadcast(hot.select(key))
-    cold = rows.join(names, key, "left_anti").join(counts.join(names, key, "left_anti"), key)
+    cold = rows.join(names, key, "left_anti").join(counts.join(names, key, "left_anti"), key, how)
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
