@@ -33,9 +33,22 @@ def linear(shape: tuple[int, int, int]):
 PARTS, HEADER, WIDTHS = ("header", "book", "anchors", "outliers", "codes"), 128, {"book": 5, "anchors": 4, "outliers": 12}
 
 
-def _body(coded: bool):
-    """Bytes of a chunk, Huffman-coded or in bit planes."""
-    return F.octet_length("cells") + F.octet_length("marks") + 12 if coded else F.octet_length("flags") + F.octet_length("words") + 8
+def _body(codec: Codec):
+    """Bytes of a row of codes: a Huffman-coded chunk, one in bit planes, or one code of two bytes."""
+    sizes = {
+        Codec.HUFFMAN: lambda: F.octet_length("cells") + F.octet_length("marks") + 12,
+        Codec.BITSHUFFLE: lambda: F.octet_length("flags") + F.octet_length("words") + 8,
+        Codec.PLAIN: lambda: F.lit(2),
+    }
+    return sizes[codec]()
+
+
+def book_of(spark: SparkSession, path: str) -> huffman.Book:
+    """The book of an archive, which others may be coded by (`Options.codebook`)."""
+    lengths = {r["symbol"]: r["length"] for r in archive.tables(spark, path)("book").collect()}  # a row a symbol of at most some thousand
+    if sum(1 << huffman.LONGEST[64] - n for n in lengths.values()) > 1 << huffman.LONGEST[64]:
+        raise ValueError(f"no codes have the lengths of the book in {path}")
+    return huffman.canonical(lengths)
 
 
 def absolute_bound(df: DataFrame, options: Options, value: str = "value") -> float:
@@ -83,6 +96,8 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value", o
 
     if options.shape is None:
         raise ValueError("the array's shape is needed")
+    if options.codebook and (missing := set(range(options.bins)) - set(options.codebook.codes)):
+        raise ValueError(f"the book has no codes for {len(missing)} of the {options.bins} codes that a radius of {options.radius} has")
     eb = absolute_bound(df, options, value)
     lap("bound")
     coded = materialize(predict(df, options, eb, value).withColumn("idx", linear(options.shape)), "codes")
@@ -105,9 +120,11 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value", o
         book = options.codebook or huffman.build(huffman.histogram(coded, "code", options.bins))
         put(huffman.book_frame(spark, book).coalesce(1), "book", F.lit(WIDTHS["book"]))
         lap("book")
-        put(_huffman_chunks(coded, book), "codes", _body(True))
+        put(_huffman_chunks(coded, book), "codes", _body(options.codec))
+    elif options.codec is Codec.PLAIN:
+        put(coded.select("idx", "code"), "codes", _body(options.codec))
     else:
-        put(bitshuffle.encoded(coded, "idx", "code"), "codes", _body(False))
+        put(bitshuffle.encoded(coded, "idx", "code"), "codes", _body(options.codec))
     lap("encode")
     sizes = {"header": (1, HEADER)} | {name: (o.get["rows"], o.get["bytes"]) for name, o in seen}
     spark.createDataFrame([(name, *sizes[name]) for name in PARTS if name in sizes], "part string, rows long, bytes long").coalesce(1).write.parquet(f"{path}/measures")
@@ -124,8 +141,9 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
     shape = (h["x"], h["y"], h["z"])
     chunks = read("codes")
     if h["codec"] == Codec.HUFFMAN.value:
-        lengths = {r["symbol"]: r["length"] for r in read("book").collect()}
-        codes = _huffman_codes(chunks, huffman.canonical(lengths))
+        codes = _huffman_codes(chunks, book_of(spark, path))
+    elif h["codec"] == Codec.PLAIN.value:
+        codes = chunks
     else:
         codes = bitshuffle.decoded(chunks)
     rows = codes.join(read("outliers"), "idx", "left").join(read("anchors"), "idx", "left")
@@ -151,9 +169,9 @@ def size_report(spark: SparkSession, path: str, again: bool = False) -> DataFram
     read = archive.tables(spark, path)
     sizes = {r["part"]: r["bytes"] for r in read("measures").collect()}  # a row a part
     if again:
-        coded = read("header").first()["codec"] == Codec.HUFFMAN.value
+        codec = Codec(read("header").first()["codec"])
         sizes = {"header": HEADER} | {name: read(name).count() * width for name, width in WIDTHS.items() if name in sizes}
-        sizes["codes"] = read("codes").agg(F.coalesce(F.sum(_body(coded)), F.lit(0)).cast("long")).first()[0]
+        sizes["codes"] = read("codes").agg(F.coalesce(F.sum(_body(codec)), F.lit(0)).cast("long")).first()[0]
     rows, at = [], 0
     for name in PARTS:
         if name in sizes:

@@ -27,6 +27,7 @@ class Hist(Enum):
 class Codec(Enum):
     HUFFMAN = "huffman"
     BITSHUFFLE = "bitshuffle"
+    PLAIN = "plain"  # codes as they are, a row each
 
 
 @dataclass(frozen=True)

@@ -164,6 +164,38 @@ def test_command_line(spark, tmp_path, capsys):
     assert "true_ratio" in out and "gib_per_s" in out and "bitrate" in out
 
 
+def test_command_line_skips_steps_and_takes_books(spark, tmp_path, capsys):
+    from quillstrand.__main__ import main, parser
+    from quillstrand.operators import huffman
+
+    v = np.sin(np.arange(600) / 30).astype("<f4")
+    (tmp_path / "v.f32").write_bytes(v.tobytes())
+    raw, common = str(tmp_path / "v.f32"), ["-o", "mode=abs,eb=1e-3,radius=64", "-l", "600"]
+    assert main(["array", "compress", raw, str(tmp_path / "plain"), *common, "--skip", "huffman"]) == 0
+    assert spark.read.parquet(str(tmp_path / "plain" / "codes")).count() == 600 and not (tmp_path / "plain" / "book").exists()
+    seen = array_plan.size_report(spark, str(tmp_path / "plain"))
+    assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, array_plan.size_report(spark, str(tmp_path / "plain"), again=True).collect()))
+    # a book of all codes, as made from counts that are smoothed
+    book = huffman.canonical({s: 8 if s % 4 else 6 for s in range(128)})
+    huffman.book_frame(spark, book).write.parquet(str(tmp_path / "other" / "book"))
+    assert main(["array", "compress", raw, str(tmp_path / "z"), *common, "--import-book", str(tmp_path / "other")]) == 0
+    assert array_plan.book_of(spark, str(tmp_path / "z")).codes == book.codes
+    capsys.readouterr()
+    for made in ("plain", "z"):
+        assert main(["array", "decompress", str(tmp_path / made), "-S", "write", "--compare", raw]) == 0
+        assert "max_abs_err" in capsys.readouterr().out
+        assert abs(array_plan.verify(arrays.read_array(spark, raw, shape=(600, 1, 1)), array_plan.decompress(spark, str(tmp_path / made)), (600, 1, 1)).first()["max_abs_err"]) <= 1.01e-3
+    assert parser().parse_args(["array", "report", raw, "--demo", "cesm"]).demo == "cesm"
+    for bad in (["--skip", "all"], ["--skip", "write"], ["--skip", "huffman", "--import-book", "x"], ["--demo", "nothing"]):
+        with pytest.raises(SystemExit):
+            main(["array", "compress", raw, str(tmp_path / "y"), *common[:2], *bad])
+    spark.createDataFrame([(0, 1), (1, 1), (2, 2)], "symbol int, length int").write.parquet(str(tmp_path / "broken" / "book"))
+    with pytest.raises(ValueError, match="no codes have"):
+        array_plan.book_of(spark, str(tmp_path / "broken"))
+    with pytest.raises(ValueError, match="no codes for"):
+        main(["array", "compress", raw, str(tmp_path / "y"), "-o", "mode=abs,eb=1e-3", "-l", "600", "--import-book", str(tmp_path / "other")])
+
+
 def test_container_restores_odd_reads(spark, tmp_path):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(READS)], "rec_id long, identifier string, bases string, plus string, quality string")
     fastq_plan.compress(df, str(tmp_path / "c"))
