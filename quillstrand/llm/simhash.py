@@ -134,7 +134,8 @@ def links(fps: DataFrame, spec: SimHash) -> DataFrame:
     extra = blocks_for(fps.count(), spec.distance) if spec.extra is None else spec.extra
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in block_keys(spec.distance, extra)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("which", "key"))
-    sizes = keyed.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    # written first: read from files, sizes are broadcast only if they are small, and else adaptive execution may split a common key's rows
+    sizes = materialize(keyed.groupBy("which", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "sizes")
     # most buckets hold two fingerprints that agree there by chance: no need to gather those
     pairs = sizes.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= spec.distance).select("a", "b")
     met = keyed.join(sizes.where("n > 2").select("which", "key", "n"), ["which", "key"])
