@@ -353,11 +353,12 @@ def write_fastq(records: DataFrame, path: str) -> None:
 
 def synthesize(documents: DataFrame) -> DataFrame:
     """Reads made of the documents' hashes, for tables that hold no sequencing data."""
-    out = dense_id(documents.select("doc_id", "text"), "doc_id")
+    # hashed before they are numbered, so that no text is shuffled
+    out = dense_id(documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash")), "doc_id")
     return out.select(
         "rec_id",
         F.concat(F.lit("@SIM1."), F.col("doc_id") + 1, F.lit(" RUN:7:"), F.lit(1100) + F.floor(F.col("doc_id") / 100), F.lit("/1")).alias("identifier"),
-        F.translate(F.md5(F.col("text").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGN").alias("bases"),
+        F.translate("hash", "0123456789abcdef", "ACGTACGTACGTACGN").alias("bases"),
         F.lit("+").alias("plus"),
         F.translate(F.md5(F.col("doc_id").cast("string").cast("binary")), "0123456789abcdef", "IIIIFFFFDDBB@<:#").alias("quality"),
     )
