@@ -30,7 +30,7 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """The document of the smallest id of each group of near-duplicates: SimHash of five-word shingles, and bands for what four bits do not reach, judged by Jaccard similarity of 0.8 or more."""
     return near_copies.keep_one(docs)
 
 

@@ -1,18 +1,23 @@
-"""Near copies by exact shingle similarity, found by MinHash bands.
+"""Near copies by SimHash and MinHash bands, judged by exact shingle similarity.
 
 A text's set is the XXH64 values of its shingles (``shingle`` words, as in
 ``simhash``).  Two texts are near copies if their sets' Jaccard similarity is
 ``num / den`` or more, which is judged on the sets themselves; the groups are
-the connected components.
+the connected components.  Two ways bring candidates together:
 
-SimHash is no way to find such pairs: at similarity 0.8 fingerprints of 64 bits
-differ in up to some 17, and pigeonhole blocks for that distance have three
-bits.  Here a pair shares a band of ``rows`` least hashes with probability
+SimHash: fingerprints of the same shingles' hashes, which operator 3's pigeonhole
+blocks link at ``distance`` or fewer differing bits.  They reach texts that are
+almost the same.  At similarity 0.8 fingerprints of 64 bits differ in up to
+some 17, and pigeonhole blocks for that distance have three bits.
+
+Bands: a pair shares a band of ``rows`` least hashes with probability
 J ** rows, so one of similarity 0.8 misses all of ``bands`` with probability
-(1 - 0.8 ** 4) ** 24 = 3e-6, and none is cut afterwards:
+(1 - 0.8 ** 4) ** 24 = 3e-6, and none is cut afterwards.
 
-1. texts of the same set are one class; classes meet in the buckets of a band;
-2. every member is compared with the least of its bucket, a linear number of pairs;
+1. texts of the same set are one class; classes meet by their fingerprints,
+   and in the buckets of a band;
+2. linked fingerprints' classes are compared, and every member of a bucket with
+   the least of it, a linear number of pairs;
 3. only buckets whose members are not yet in one component hold pairs that
    could still add a link: their members are all compared across components,
    by pairs of tiles.
@@ -37,7 +42,8 @@ from pyspark.sql import types as T
 from ..session import bound_batches, materialize
 from ._text import mix, pieces
 from .components import components
-from .simhash import SALTS, shingle_hashes
+from .simhash import SALTS, SimHash, of_hashes, shingle_hashes
+from .simhash import links as linked_fingerprints
 
 
 @dataclass(frozen=True)
@@ -47,6 +53,7 @@ class NearCopies:
     den: int = 5
     rows: int = 4
     bands: int = 24
+    distance: int = 4
     seed: int = 42
     tile: int = 256
 
@@ -77,17 +84,31 @@ def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, sp
 
 
 def signatures(docs: DataFrame, spec: NearCopies, id_col: str, text: str) -> DataFrame:
-    """(id, h, keys) of every document: the hash of its set, and its bands' keys."""
+    """(id, h, fp, keys) of every document: the hash of its set, its fingerprint as a signed long, and its bands' keys."""
     bound_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "__text"):
-                own = [shingle_set(x, spec) for x in part.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) for s in own], pa.int64()), pa.array([band_keys(s, spec) for s in own], pa.list_(pa.int64()))], names=["id", "h", "keys"])
+                hashes = [shingle_hashes(x or b"", spec.shingle, spec.seed) for x in part.column(1).cast(pa.large_binary()).to_pylist()]
+                own = [np.unique(h) for h in hashes]
+                prints = np.array([of_hashes(h) for h in hashes], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) for s in own], pa.int64()), pa.array(prints), pa.array([band_keys(s, spec) for s in own], pa.list_(pa.int64()))], names=["id", "h", "fp", "keys"])
+
+    return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+
 
-    return src.mapInArrow(run, T.StructType([src.schema["id"], T.StructField("h", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def by_fingerprint(prints: DataFrame, spec: NearCopies) -> DataFrame:
+    """Pairs (a, b) of classes, a < b, that span the groups of fingerprints within `distance`, from (h, fp); a class has several where shingles repeat."""
+    held = materialize(prints.select("fp", "h").distinct(), "fingerprints")
+    roots = materialize(held.groupBy("fp").agg(F.min("h").alias("root")), "roots")
+    same = held.join(roots, "fp").where("h <> root").select(F.col("root").alias("a"), F.col("h").alias("b"))
+    near = linked_fingerprints(roots.select("fp"), SimHash(spec.shingle, spec.distance, seed=spec.seed))
+    for side in ("a", "b"):
+        near = near.join(roots.select(F.col("fp").alias(side), F.col("root").alias(f"{side}_root")), side)
+    near = near.where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+    return materialize(same.union(near).distinct(), "by_fingerprint")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, spec: NearCopies, id_col: str, text: str) -> DataFrame:
@@ -174,14 +195,15 @@ def across(open_members: DataFrame, sets: DataFrame, spec: NearCopies) -> DataFr
     return materialize(met.mapInArrow(run, "a long, b long"), "links")
 
 
-def links(classes: DataFrame, docs: DataFrame, spec: NearCopies, id_col: str, text: str) -> DataFrame:
-    """(node, component) of the classes (h, least, keys) that have a near copy."""
+def links(classes: DataFrame, near: DataFrame, docs: DataFrame, spec: NearCopies, id_col: str, text: str) -> DataFrame:
+    """(node, component) of the classes (h, least, keys) that have a near copy; near has the pairs that fingerprints link."""
     keyed = classes.select("h", F.explode("keys").alias("key"))
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("root")).where("n > 1"), "buckets")
     members = materialize(keyed.join(buckets, "key").select("key", "n", "root", "h"), "bucketed")
-    wanted = members.select("h").distinct().join(classes.select("h", "least"), "h")
+    met = members.select("h").union(near.select(F.explode(F.array("a", "b"))))
+    wanted = met.distinct().join(classes.select("h", "least"), "h")
     sets = materialize(sets_of(docs, wanted, spec, id_col, text), "sets")
-    first = compared(members.where("h <> root").select(F.col("root").alias("a"), F.col("h").alias("b")).distinct(), sets, spec)
+    first = compared(near.union(members.where("h <> root").select(F.col("root").alias("a"), F.col("h").alias("b"))).distinct(), sets, spec)
     groups = components(first)
     placed = members.where("n > 2").join(groups.withColumnRenamed("node", "h"), "h", "left").select("key", "n", "h", F.coalesce("component", "h").alias("c"))
     placed = materialize(placed, "placed")
@@ -197,7 +219,7 @@ def near_copies(docs: DataFrame, spec: NearCopies = NearCopies(), id_col: str =
     """Per document: its id and ``component_id``, the least id of its near copies, and of theirs."""
     prints = materialize(signatures(docs, spec, id_col, text), "signatures")
     classes = materialize(prints.groupBy("h").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "classes")
-    groups = links(classes, docs, spec, id_col, text)
+    groups = links(classes, by_fingerprint(prints, spec), docs, spec, id_col, text)
     # a component may be large, so its id is dealt out under several salts
     found = materialize(groups.join(classes, F.col("node") == F.col("h")).select("h", "component", "least"), "members")
     least = found.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -71,7 +71,11 @@ def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, spec: SimHash = SimHash()) -> int:
-    h = shingle_hashes(text, spec.shingle, spec.seed)
+    return of_hashes(shingle_hashes(text, spec.shingle, spec.seed))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     n, ones = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)

@@ -84,3 +84,28 @@ def test_documents_that_differ_in_many_bits_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = plain_components([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {i for i in want if want[i] == i}
+
+
+def test_fingerprints_alone_bring_copies_of_four_bits_together(spark):
+    from quillstrand.llm import simhash
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows += [" ".join(base), *(" ".join([*base[:at], f"e{k}", *base[at + 1 :]]) for at in (0, 200, 399))]
+    rows += ["", None, "one two", "again and again and again and again and again", "again and again and again and again and again and again"]
+    rng.shuffle(rows)
+    sets, spec = plain_sets(enumerate(rows)), simhash.SimHash(shingle=5)
+    prints = [simhash.fingerprint((t or "").encode(), spec) for t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if (prints[a] ^ prints[b]).bit_count() <= 4 and 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert sum(r != i for i, r in enumerate(root)) > 30
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, near_copies.NearCopies(bands=0)).collect()}
+    assert got == dict(enumerate(root))
