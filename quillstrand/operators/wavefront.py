@@ -3,7 +3,9 @@
 Each value is predicted from restored neighbours, across tiles too, so a tile
 can be worked on when those before it along each axis are done.  Tiles whose
 numbers add up to the same are independent: they are a step, and there are as
-many steps as the sum of the tiles' numbers along the axes.  A step's result is written to the
+many steps as the sum of the tiles' numbers along the axes.  Tiles grow with the array, up to
+half a million cells, so that steps stay few; a narrow array still has a step for each of these,
+as nothing else in it is independent.  A step's result is written to the
 shared folder; of it, the next steps read only what touches them: a face, an edge or a corner
 of restored values for each tile.  A task holds as many tiles as have some million
 cells, and goes through them in step.
@@ -18,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path
+from ..session import bound_batches, scratch_path
 from .delta import AXES
 from .feedback import CELLS, run_blocks
 from .groups import whole_groups
 
-#: Sides of a tile by number of dimensions.
-SIDES = {1: (1 << 14,), 2: (64, 128), 3: (32, 16, 16)}
+#: Least sides of a tile by number of dimensions, the most cells that one grows to, and steps that are few enough.
+SIDES, MOST, FEW = {1: (1 << 14,), 2: (64, 128), 3: (32, 16, 16)}, 1 << 19, 8
 #: A tile, or what one gives to another: numbers along three axes, the step, what it is (-1: a tile; else axes that it
 #: comes over, as bits), cells along three axes, and values, codes and restored values.
 ROWS = "a long, b long, c long, step long, kind int, na int, nb int, nc int, v binary, code binary, restored binary"
@@ -36,6 +38,16 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
 
 
+def sides_for(shape: tuple[int, ...]) -> tuple[int, ...]:
+    """Sides of the tiles of an array: the axis of most tiles gets longer ones until steps are few or tiles large."""
+    sides = [min(s, 1 << (n - 1).bit_length()) for s, n in zip(SIDES[len(shape)], shape, strict=True)]
+    while True:
+        tiles = [-(-n // s) for n, s in zip(shape, sides, strict=True)]
+        if sum(tiles) - len(tiles) + 1 <= FEW or 2 * int(np.prod(sides)) > MOST:
+            return tuple(sides)
+        sides[tiles.index(max(tiles))] *= 2
+
+
 def packed(df: DataFrame, value: str, code: str | None, dims: int, sides: tuple[int, ...]) -> DataFrame:
     """A row for each tile."""
     axes = AXES[:dims]
@@ -57,7 +69,9 @@ def packed(df: DataFrame, value: str, code: str | None, dims: int, sides: tuple[
 
     names = [f"t{a}" for a in axes]
     tiles = src.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, ROWS)
-    return materialize(tiles.repartitionByRange("step", "a", "b", "c").sortWithinPartitions("step"), "tiles")
+    path = scratch_path(df.sparkSession, "tiles")
+    tiles.write.partitionBy("step").parquet(path)
+    return df.sparkSession.read.schema(ROWS).parquet(path).select(*NAMES)
 
 
 def _step(tiles: DataFrame, dims: int, sides: tuple[int, ...], eb: float, radius: int) -> DataFrame:
@@ -102,19 +116,23 @@ def _step(tiles: DataFrame, dims: int, sides: tuple[int, ...], eb: float, radius
 
 
 def _whole(df: DataFrame, value: str, code: str | None, dims: int, eb: float, radius: int, sides: tuple[int, ...] | None) -> DataFrame:
-    spark, sides, axes = df.sparkSession, sides or SIDES[dims], AXES[:dims]
+    spark, axes = df.sparkSession, AXES[:dims]
+    bound_batches(spark)  # a tile has megabytes
+    if sides is None:
+        ends = df.agg(*[F.max(a) for a in axes]).first()
+        sides = SIDES[dims] if ends[0] is None else sides_for(tuple(int(n) + 1 for n in ends))
     tiles = packed(df, value, code, dims, sides)
     last = tiles.agg(F.max("step").alias("n")).first()["n"]
-    base, paths = scratch_path(spark, "wavefront"), []
+    base = scratch_path(spark, "wavefront")
+    read = lambda *paths: spark.read.schema(ROWS).option("basePath", base).parquet(*paths).select(*NAMES)
     for step in range(0 if last is None else last + 1):
-        now = tiles
-        if paths:
-            now = now.unionByName(spark.read.schema(ROWS).parquet(*paths[-dims:]).where("kind > 0"))
-        paths.append(f"{base}/{step}")
-        _step(now.where(F.col("step") == step), dims, sides, eb, radius).write.parquet(paths[-1])
+        now = tiles.where(F.col("step") == step)
+        if step:
+            now = now.unionByName(read(*(f"{base}/at={k}" for k in range(max(0, step - dims), step))).where((F.col("kind") > 0) & (F.col("step") == step)))
+        _step(now, dims, sides, eb, radius).write.partitionBy("kind").parquet(f"{base}/at={step}")
     names = [*axes, "code", "outlier", "restored"]
     schema = ", ".join(f"{a} long" for a in axes) + ", code long, outlier double, restored double"
-    if not paths:
+    if last is None:
         return spark.createDataFrame([], schema)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +143,7 @@ def _whole(df: DataFrame, value: str, code: str | None, dims: int, eb: float, ra
                 place = np.meshgrid(*(np.arange(n) + t * s for n, t, s in zip(row[5 : 5 + dims], row[:dims], sides, strict=True)), indexing="ij")
                 yield pa.RecordBatch.from_arrays([*(pa.array(p.ravel()) for p in place), pa.array(c), pa.array(v, mask=c != 0), pa.array(r)], names=names)
 
-    return spark.read.schema(ROWS).parquet(*paths).where("kind = -1").mapInArrow(cells, schema)
+    return read(base).where("kind = -1").mapInArrow(cells, schema)
 
 
 def compressed(df: DataFrame, value: str, dims: int, eb: float, radius: int = 512, sides: tuple[int, ...] | None = None) -> DataFrame:

@@ -301,6 +301,23 @@ def test_feedback_across_tiles_is_the_serial_one(spark, shape, sides):
     assert wavefront.compressed(df.limit(0), "value", len(shape), 0.05).count() == 0
 
 
+def test_feedback_over_a_narrow_array_takes_few_steps(spark, monkeypatch):
+    from quillstrand.operators import wavefront
+
+    for shape in ((64, 400_000), (400_000, 3), (5_000, 7_000), (10**7,), (400, 500, 600)):
+        sides = wavefront.sides_for(shape)
+        tiles = [-(-n // s) for n, s in zip(shape, sides, strict=True)]
+        assert np.prod(sides) <= wavefront.MOST and sum(tiles) <= 60
+    steps, one = [], wavefront._step
+    monkeypatch.setattr(wavefront, "_step", lambda *a: steps.append(1) or one(*a))
+    v = np.cumsum(np.random.default_rng(3).normal(0, 1, (3, 2500)), axis=1)
+    df = spark.createDataFrame([(int(x), int(y), float(v[x, y])) for x, y in np.ndindex(*v.shape)], "x long, y long, value double").repartition(3)
+    codes, restored = wavefront.serial(v, 0.05, 16)
+    got = wavefront.compressed(df, "value", 2, 0.05, 16).collect()
+    assert len(steps) <= 8 and len(got) == v.size
+    assert all((r["code"], r["restored"]) == (codes[r["x"], r["y"]], restored[r["x"], r["y"]]) for r in got)
+
+
 def test_lengths_in_rounds_cost_what_a_heap_gives(monkeypatch):
     rng = np.random.default_rng(9)
     for w in (rng.integers(1, 50, 65_536), rng.zipf(1.3, 5000) % 10**9 + 1, np.array([1, 1]), np.array([5]), np.ones(1000, np.int64), np.array([1, 1, 2, 3, 5, 8, 13, 21])):
