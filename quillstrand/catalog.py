@@ -14,7 +14,7 @@ from .operators.scan import dense_id, lagged, running_sum
 from .plans import arrays as array_plan
 from .plans import fastq as fastq_plan
 from .plans.options import Codec, Mode, Options, Predictor
-from .session import materialize, read_table, scratch_path
+from .session import dealt, materialize, read_table, scratch_path
 from .sources import arrays, fastq, parts
 from .streaming import ingest
 
@@ -679,7 +679,8 @@ def _spline_sql(select: str) -> str:
 @query(_spline_sql("select x, y, z, code, round(restored, 9) + 0.0 as restored from sp"))
 def spline3d_roundtrip(spark, sf):
     coded = materialize(spline.predicted(cube(spark, sf), "value", EB3, 512), "spline")
-    return coded.select("x", "y", "z", "code").join(spline.restored(coded, EB3, 512), ["x", "y", "z"]).withColumn("restored", F.round("restored", 9) + 0.0)
+    n, axes = coded.count(), ["x", "y", "z"]
+    return dealt(coded.select(*axes, "code"), n, *axes).join(dealt(spline.restored(coded, EB3, 512, n), n, *axes).hint("merge"), axes).withColumn("restored", F.round("restored", 9) + 0.0)
 
 
 def _fed_back(a: DataFrame, dims: int, eb: float, radius: int) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .groups import whole_groups
 
 #: Sides of a block along x, y, z; tightening per level, and its floor.
@@ -93,7 +94,7 @@ def _dealt(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
-def _in_blocks(df: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
+def _in_blocks(df: DataFrame, columns: list[str], work, schema: str, cells: int | None) -> DataFrame:
     """What `work` makes of blocks of one shape: it gets an array [z, y, x, block] of each column, and gives columns of such arrays."""
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -116,11 +117,11 @@ def _in_blocks(df: DataFrame, columns: list[str], work, schema: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[rows][own]) for c in cols[3:6]), *made], names=names)
 
     rows = _dealt(df, columns).select("bx", "by", "bz", *[F.col(c).cast("long").alias(c) for c in "xyz"], *[F.col(c).cast("double").alias(c) for c in columns])
-    return rows.repartition("bx", "by", "bz").sortWithinPartitions("bx", "by", "bz").mapInArrow(run, schema)
+    return dealt(rows, df.count() if cells is None else cells, "bx", "by", "bz").sortWithinPartitions("bx", "by", "bz").mapInArrow(run, schema)
 
 
-def predicted(df: DataFrame, value: str, eb: float, radius: int = 512) -> DataFrame:
-    """(x, y, z, anchor, code, outlier) of a dense array."""
+def predicted(df: DataFrame, value: str, eb: float, radius: int = 512, cells: int | None = None) -> DataFrame:
+    """(x, y, z, anchor, code, outlier) of a dense array; its cells are counted if their number is not given."""
 
     def work(v: np.ndarray) -> tuple[np.ndarray, ...]:
         codes, outlier, _ = run_block(v, None, eb, radius)
@@ -128,10 +129,10 @@ def predicted(df: DataFrame, value: str, eb: float, radius: int = 512) -> DataFr
         anchor[::8, ::8, ::8] = v[::8, ::8, ::8]
         return anchor, codes, outlier
 
-    return _in_blocks(df, [value], work, "x long, y long, z long, anchor double, code long, outlier double")
+    return _in_blocks(df, [value], work, "x long, y long, z long, anchor double, code long, outlier double", cells)
 
 
-def restored(coded: DataFrame, eb: float, radius: int = 512) -> DataFrame:
+def restored(coded: DataFrame, eb: float, radius: int = 512, cells: int | None = None) -> DataFrame:
     """(x, y, z, restored)."""
     rows = coded.withColumn("exact", F.coalesce("anchor", "outlier", F.lit(float("nan"))))
-    return _in_blocks(rows, ["exact", "code"], lambda exact, codes: run_block(exact, np.nan_to_num(codes).astype(np.int64), eb, radius)[2:], "x long, y long, z long, restored double")
+    return _in_blocks(rows, ["exact", "code"], lambda exact, codes: run_block(exact, np.nan_to_num(codes).astype(np.int64), eb, radius)[2:], "x long, y long, z long, restored double", cells)

@@ -55,6 +55,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task sorts at a time, about.
+DEALT = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df by keys, in as many partitions as its number of rows asks for (None: they are counted).
+
+    Adaptive execution joins partitions by their compressed bytes, and of cells a few megabytes are
+    millions of rows, which a task sorts at once; a number that is given stays.
+    """
+    n = -(-(df.count() if rows is None else rows) // DEALT)
+    return df.repartition(*keys) if n <= 1 else df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm

@@ -329,3 +329,13 @@ def test_lengths_in_rounds_cost_what_a_heap_gives(monkeypatch):
         assert len(w) == 1 or sum(2.0 ** -got) == 1
         monkeypatch.setattr(huffman, "HEAP", 0)
         assert huffman.code_lengths(dict(enumerate(w.tolist()))) == dict(enumerate(got.tolist()))
+
+
+def test_blocks_are_dealt_out_by_the_number_of_cells(spark, monkeypatch):
+    from quillstrand import session
+
+    monkeypatch.setattr(session, "DEALT", 1000)
+    cells = spark.range(10240).selectExpr("id % 16 as x", "id div 16 % 16 as y", "id div 256 as z", "sin(id) as value")
+    coded = spline.predicted(cells, "value", 0.1)
+    assert coded.rdd.getNumPartitions() == 11
+    assert spline.restored(coded, 0.1).rdd.getNumPartitions() == 11
