@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from .groups import whole_groups
 
 CODES = 2048
@@ -49,8 +50,8 @@ def decode(flags: bytes, words: bytes) -> np.ndarray:
     return codes_of(planes)[0]
 
 
-def encoded(df: DataFrame, idx: str, code: str) -> DataFrame:
-    """(chunk_id, n, flags, words) of codes by index; the index has no gaps."""
+def encoded(df: DataFrame, idx: str, code: str, total: int | None = None) -> DataFrame:
+    """(chunk_id, n, flags, words) of codes by index; the index has no gaps, and codes are counted if their number is not given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (chunk, at, code), group in whole_groups(batches, 1):
@@ -66,7 +67,7 @@ def encoded(df: DataFrame, idx: str, code: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(n), pa.array([f.tobytes() for f in flags], pa.binary()), pa.array(words, pa.binary())], names=["chunk_id", "n", "flags", "words"])
 
     rows = df.select(F.floor(F.col(idx) / CODES).alias("chunk_id"), F.col(idx).cast("long").alias("idx"), F.col(code).cast("int").alias("code"))
-    return rows.repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(run, "chunk_id long, n long, flags binary, words binary")
+    return dealt(rows, total, "chunk_id").sortWithinPartitions("chunk_id").mapInArrow(run, "chunk_id long, n long, flags binary, words binary")
 
 
 def decoded(chunks: DataFrame, idx: str = "idx", code: str = "code") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dequantize, prequantize, unzigzag, zigzag
+from ..session import dealt
 from .scan import lagged, running_sum
 
 #: Tile sides of the predictors by number of dimensions.
@@ -27,14 +28,14 @@ def tile_columns(axes: tuple[str, ...], tile: tuple[int, ...]) -> dict[str, Colu
     return {f"t{a}": F.floor(F.col(a) / t) for a, t in zip(axes, tile, strict=True)}
 
 
-def lorenzo(df: DataFrame, value: str, dims: int, out: str = "d", tile: tuple[int, ...] | None = None) -> DataFrame:
+def lorenzo(df: DataFrame, value: str, dims: int, out: str = "d", tile: tuple[int, ...] | None = None, cells: int | None = None) -> DataFrame:
     """Lorenzo residual inside tiles: differences along x, then y, then z; outside a tile all is zero.
 
-    All windows of a tile share its key, so the tiles are dealt out once.
+    All windows of a tile share its key, so the tiles are dealt out once; cells are counted if their number is not given.
     """
     axes, tile = AXES[:dims], tile or TILES[dims]
     cols = tile_columns(axes, tile)
-    res = df.withColumns(cols).repartition(*cols)
+    res = dealt(df.withColumns(cols), cells, *cols)
     now = F.col(value)
     for a in axes:
         w = Window.partitionBy(*cols, *[b for b in axes if b != a]).orderBy(a)
@@ -43,11 +44,11 @@ def lorenzo(df: DataFrame, value: str, dims: int, out: str = "d", tile: tuple[in
     return res.drop(*cols)
 
 
-def unlorenzo(df: DataFrame, residual: str, dims: int, out: str = "q", tile: tuple[int, ...] | None = None) -> DataFrame:
+def unlorenzo(df: DataFrame, residual: str, dims: int, out: str = "q", tile: tuple[int, ...] | None = None, cells: int | None = None) -> DataFrame:
     """Running sums along each axis inside tiles."""
     axes, tile = AXES[:dims], tile or TILES[dims]
     cols = tile_columns(axes, tile)
-    res = df.withColumns(cols).repartition(*cols)
+    res = dealt(df.withColumns(cols), cells, *cols)
     now = F.col(residual)
     for a in axes:
         w = Window.partitionBy(*cols, *[b for b in axes if b != a]).orderBy(a).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -56,13 +57,13 @@ def unlorenzo(df: DataFrame, residual: str, dims: int, out: str = "q", tile: tup
     return res.drop(*cols)
 
 
-def quantized(df: DataFrame, value: str, dims: int, eb: float, radius: int = 512, use_zigzag: bool = False, tile: tuple[int, ...] | None = None) -> DataFrame:
+def quantized(df: DataFrame, value: str, dims: int, eb: float, radius: int = 512, use_zigzag: bool = False, tile: tuple[int, ...] | None = None, cells: int | None = None) -> DataFrame:
     """df with q, d, code and outlier (null where the code says all).
 
     code is d + radius, or the zig-zag of d, where abs(d) < radius, and else 0
     with the outlier d + radius, or d.
     """
-    res = lorenzo(df.withColumn("q", prequantize(F.col(value), eb)), "q", dims, "d", tile)
+    res = lorenzo(df.withColumn("q", prequantize(F.col(value), eb)), "q", dims, "d", tile, cells)
     inside = F.abs("d") < radius
     code = zigzag(F.col("d")) if use_zigzag else F.col("d") + radius
     return res.withColumns({"code": F.when(inside, code).otherwise(0), "outlier": F.when(~inside, F.col("d") if use_zigzag else F.col("d") + radius)})
@@ -74,11 +75,11 @@ def residuals(df: DataFrame, value: str, dims: int, eb: float, radius: int | Non
     return res if radius is None else res.withColumn("code", F.col("d") + radius)
 
 
-def restored(df: DataFrame, dims: int, eb: float, radius: int = 512, use_zigzag: bool = False, tile: tuple[int, ...] | None = None) -> DataFrame:
+def restored(df: DataFrame, dims: int, eb: float, radius: int = 512, use_zigzag: bool = False, tile: tuple[int, ...] | None = None, cells: int | None = None) -> DataFrame:
     """df (place, code, outlier) with q2 and the restored value."""
     inside = unzigzag(F.col("code")) if use_zigzag else F.col("code") - radius
     d = F.when(F.col("outlier").isNotNull(), F.col("outlier") - (0 if use_zigzag else radius)).otherwise(inside)
-    res = unlorenzo(df.withColumn("__d", d), "__d", dims, "q2", tile)
+    res = unlorenzo(df.withColumn("__d", d), "__d", dims, "q2", tile, cells)
     return res.withColumn("restored", dequantize(F.col("q2"), eb)).drop("__d")
 
 

@@ -7,6 +7,7 @@ Nothing has a fixed capacity.
 
 from __future__ import annotations
 
+import math
 import time
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitshuffle, delta, huffman, spline, stats
-from ..session import materialize
+from ..session import dealt, materialize
 from ..sources import parts as archive
 from ..sources.arrays import dims as dims_of
 from .options import Codec, Mode, Options, Predictor
@@ -59,8 +60,8 @@ def predict(df: DataFrame, options: Options, eb: float, value: str = "value") ->
     """(x, y, z, code, outlier, anchor)"""
     rank = dims_of(options.shape)
     if options.predictor is Predictor.SPLINE:
-        return spline.predicted(df, value, eb, options.radius)
-    out = delta.quantized(df, value, rank, eb, options.radius, options.predictor is Predictor.ZIGZAG)
+        return spline.predicted(df, value, eb, options.radius, math.prod(options.shape))
+    out = delta.quantized(df, value, rank, eb, options.radius, options.predictor is Predictor.ZIGZAG, cells=math.prod(options.shape))
     return out.select("x", "y", "z", "code", F.col("outlier").cast("double").alias("outlier"), F.lit(None).cast("double").alias("anchor"))
 
 
@@ -124,7 +125,7 @@ def compress(df: DataFrame, options: Options, path: str, value: str = "value", o
     elif options.codec is Codec.PLAIN:
         put(coded.select("idx", "code"), "codes", _body(options.codec))
     else:
-        put(bitshuffle.encoded(coded, "idx", "code"), "codes", _body(options.codec))
+        put(bitshuffle.encoded(coded, "idx", "code", math.prod(options.shape)), "codes", _body(options.codec))
     lap("encode")
     sizes = {"header": (1, HEADER)} | {name: (o.get["rows"], o.get["bytes"]) for name, o in seen}
     spark.createDataFrame([(name, *sizes[name]) for name in PARTS if name in sizes], "part string, rows long, bytes long").coalesce(1).write.parquet(f"{path}/measures")
@@ -146,18 +147,21 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
         codes = chunks
     else:
         codes = bitshuffle.decoded(chunks)
-    rows = codes.join(read("outliers"), "idx", "left").join(read("anchors"), "idx", "left")
+    n = math.prod(shape)
+    rows = dealt(codes, n, "idx").join(dealt(read("outliers"), n, "idx").hint("merge"), "idx", "left").join(dealt(read("anchors"), n, "idx").hint("merge"), "idx", "left")
     x, y, _ = shape
     rows = rows.withColumns({"x": F.col("idx") % x, "y": F.floor(F.col("idx") / x) % y, "z": F.floor(F.col("idx") / (x * y))})
     if h["predictor"] == Predictor.SPLINE.value:
-        return spline.restored(rows, h["abs_eb"], h["radius"])
+        return spline.restored(rows, h["abs_eb"], h["radius"], n)
     rows = rows.withColumn("outlier", F.col("outlier").cast("long"))
-    return delta.restored(rows, dims_of(shape), h["abs_eb"], h["radius"], h["predictor"] == Predictor.ZIGZAG.value).select("x", "y", "z", "restored")
+    return delta.restored(rows, dims_of(shape), h["abs_eb"], h["radius"], h["predictor"] == Predictor.ZIGZAG.value, cells=n).select("x", "y", "z", "restored")
 
 
 def verify(original: DataFrame, restored: DataFrame, shape: tuple[int, int, int], value: str = "value") -> DataFrame:
     """Quality of an archive's contents against the original."""
-    both = original.select("x", "y", "z", value).join(restored, ["x", "y", "z"]).withColumn("idx", linear(shape))
+    n, idx = math.prod(shape), linear(shape).cast("long").alias("idx")
+    # cells that were exploded from few bytes look small enough to broadcast, and are not
+    both = dealt(original.select(idx, value), n, "idx").join(dealt(restored.select(idx, "restored"), n, "idx").hint("merge"), "idx")
     return stats.assess(both, value, "restored", "idx")
 
 

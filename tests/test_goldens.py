@@ -339,3 +339,13 @@ def test_blocks_are_dealt_out_by_the_number_of_cells(spark, monkeypatch):
     coded = spline.predicted(cells, "value", 0.1)
     assert coded.rdd.getNumPartitions() == 11
     assert spline.restored(coded, 0.1).rdd.getNumPartitions() == 11
+
+
+def test_tiles_and_chunks_are_dealt_out_by_the_number_of_cells(spark, monkeypatch):
+    from quillstrand import session
+
+    monkeypatch.setattr(session, "DEALT", 1000)
+    cells = spark.range(10240).selectExpr("id", "id % 16 as x", "id div 16 as y", "sin(id) as value")
+    coded = delta.quantized(cells, "value", 2, 0.1)
+    assert coded.rdd.getNumPartitions() == 11
+    assert bitshuffle.encoded(coded, "id", "code").rdd.getNumPartitions() == 11
